@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, sharding, warc
+from . import decontam, media, neardup, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: five-word shingles, similarity of 0.75 or more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a WAV column, read back and fingerprinted; the digest of its time-coded pairs is ``feature``."""
     found = media.media_features(table(spark, sf_dir, "documents"))
@@ -42,5 +47,5 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_media_fingerprints, op6_decontaminate, op8_warc, op9_rendezvous_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_duplicates, op5_media_fingerprints, op6_decontaminate, op8_warc, op9_rendezvous_shards)}
 ORACLES: dict[str, str] = {}
