@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, neardup, sharding, warc
+from . import bpe, decontam, media, neardup, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by the public byte-level BPE and decoded again."""
+    found = bpe.encode_decode(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives with revisits and segments, then read back and reassembled."""
     pages = table(spark, sf_dir, "pages")
@@ -47,5 +53,5 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_duplicates, op5_media_fingerprints, op6_decontaminate, op8_warc, op9_rendezvous_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_duplicates, op5_media_fingerprints, op6_decontaminate, op7_bpe, op8_warc, op9_rendezvous_shards)}
 ORACLES: dict[str, str] = {}
