@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, media, neardup, sharding, warc
+from . import bpe, decontam, linedup, media, neardup, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat an earlier line, exactly or but for one character."""
+    return linedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op5_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a WAV column, read back and fingerprinted; the digest of its time-coded pairs is ``feature``."""
     found = media.media_features(table(spark, sf_dir, "documents"))
@@ -53,5 +58,5 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_duplicates, op5_media_fingerprints, op6_decontaminate, op7_bpe, op8_warc, op9_rendezvous_shards)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_duplicates, op4_line_dedup, op5_media_fingerprints, op6_decontaminate, op7_bpe, op8_warc, op9_rendezvous_shards)}
+ORACLES: dict[str, str] = {"op4_line_dedup": linedup.ORACLE}
