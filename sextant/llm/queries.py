@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linedup, media, neardup, sharding, warc
+from . import bpe, decontam, linedup, media, neardup, pii, quality, sharding, warc
+from .common import held_out
+
+
+#: For tests and the check only; a real run takes its key from its own secret store.
+PII_KEY = b"example key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by a model of the non-negative positive-unlabelled risk, learnt from rows not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: five-word shingles, similarity of 0.75 or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -58,5 +71,12 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_duplicates, op4_line_dedup, op5_media_fingerprints, op6_decontaminate, op7_bpe, op8_warc, op9_rendezvous_shards)}
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced by keyed pseudonyms of the same format."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymise(docs, PII_KEY)
+    return found.select("doc_id", F.size("pii").cast("long").alias("n_values"), F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",").alias("kinds"), "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pu_quality, op2_minhash_near_duplicates, op4_line_dedup, op5_media_fingerprints, op6_decontaminate, op7_bpe, op8_warc, op9_rendezvous_shards, op10_pii_pseudonyms)}
 ORACLES: dict[str, str] = {"op4_line_dedup": linedup.ORACLE}
