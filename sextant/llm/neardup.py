@@ -5,10 +5,11 @@ signature is cut into chunks; by the pigeonhole principle two signatures that di
 ``len(chunks) * (ERRORS + 1) - 1`` symbols have a chunk with at most ERRORS errors. For every chunk and every choice of
 ERRORS positions, the other positions are hashed to a key: all pairs under that distance share a key. With K = 24,
 chunks of 4 and 2 errors the distance is 17, and a pair of similarity 0.75 (mean distance 6) lies above it with a
-probability of 4e-7. Pairs that share a key are confirmed on their full sets.
+probability of 4e-7. Pairs that share a key must also be near in a longer signature of SKETCH symbols of 2 bits, which
+tells apart documents that only share a common passage; they are then confirmed on their full sets.
 
 Groups may be large, so not all pairs of a key are tried: a hub of each key is compared with the others, what is linked
-becomes one component, and only keys that still hold several components go on, with eight times as many hubs each
+becomes one component, and only keys that still hold several components go on, with 64 times as many hubs each
 round. A pair is left out only when both are in one component already, or were compared.
 """
 
@@ -20,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import group_min, small_batches, written
@@ -30,9 +31,13 @@ K = 24
 CHUNK = 4
 ERRORS = 2
 SALTS = 64
+#: Symbols of 2 bits for the pair filter. A pair of similarity 0.75 differs in 12 of them; more than MOST has a
+#: probability of 1e-7.
+SKETCH = 64
+MOST = 30
 _RNG = np.random.default_rng(20_240_601)
-_MUL = _RNG.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, K, dtype=np.uint64)
+_MUL = _RNG.integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 2**63, SKETCH, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,14 +60,26 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(shingle_set: np.ndarray) -> np.ndarray:
-    """K minima of the set under K hash functions, 16 bits of each."""
-    low = np.empty(K, np.uint64)
-    for k in range(K):
+def minima(shingle_set: np.ndarray) -> np.ndarray:
+    """The mixed minima of the set under SKETCH hash functions."""
+    low = np.empty(SKETCH, np.uint64)
+    for k in range(SKETCH):
         x = shingle_set * _MUL[k] + _ADD[k]
         x ^= x >> np.uint64(32)
         low[k] = (x * _MIX).min()
-    return ((low * _MUL) >> np.uint64(48)).astype(np.uint16)
+    low = (low ^ (low >> np.uint64(31))) * _MIX
+    return low ^ (low >> np.uint64(29))
+
+
+def signature(low: np.ndarray) -> np.ndarray:
+    """16 bits of the first K minima."""
+    return (low[:K] >> np.uint64(48)).astype(np.uint16)
+
+
+def sketch(low: np.ndarray) -> tuple[int, int]:
+    """2 bits of each of the minima, as two longs."""
+    bits = (low & np.uint64(3)) << (np.arange(SKETCH, dtype=np.uint64) * np.uint64(2) % np.uint64(64))
+    return tuple(signed(int(np.bitwise_or.reduce(h))) for h in bits.reshape(2, -1))
 
 
 def keys(sig: np.ndarray) -> list[int]:
@@ -80,23 +97,26 @@ def signed(x: int) -> int:
 
 
 def shingle_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, node, keys, print): set size, the set's 64-bit hash (none for an empty set), its signature's keys, and
-    the text's own hash, which is that of Spark's xxhash64."""
+    """(key, n, node, keys, print, s1, s2): set size, the set's 64-bit hash (none for an empty set), its signature's keys,
+    the text's own hash, which is that of Spark's xxhash64, and its sketch s1, s2."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, key_lists, own = [], [], [], []
+            n, node, key_lists, own, s1, s2 = [], [], [], [], [], []
             for x in b.column(1).to_pylist():
                 s = shingles(x)
                 n.append(len(s))
                 node.append(signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None)
-                key_lists.append(keys(signature(s)) if len(s) else [])
+                low = minima(s) if len(s) else None
+                key_lists.append(keys(signature(low)) if len(s) else [])
+                for column, half in zip((s1, s2), sketch(low) if len(s) else (0, 0), strict=True):
+                    column.append(half)
                 own.append(signed(xxhash.xxh64_intdigest((x or "").encode(), 42)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(key_lists, pa.list_(pa.int64())), pa.array(own, pa.int64())], [key, "n", "node", "keys", "print"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(key_lists, pa.list_(pa.int64())), pa.array(own, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], [key, "n", "node", "keys", "print", "s1", "s2"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, node long, keys array<long>, print long")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, node long, keys array<long>, print long, s1 long, s2 long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -149,15 +169,23 @@ def multiple(rows: DataFrame, value: str | None = None) -> DataFrame:
     return salted.join(parts.select("key", F.explode("_salts").alias("_salt")), ["key", "_salt"]).select(*rows.columns)
 
 
+def differing(a: Column, b: Column) -> Column:
+    """Symbols of 2 bits in which two longs differ."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
 def hub_pairs(rows: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of each key's hubs with its other nodes, a < b, of sizes that allow a link; and the hubs."""
+    """Pairs (a, b) of each key's hubs with its other nodes, a < b, whose sizes and sketches allow a link; and the hubs."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     slot = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(hubs))
-    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "n")).alias("hub")).select("key", "hub")
+    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "n", "s1", "s2")).alias("hub")).select("key", "hub")
     salts = salted.groupBy("key").agg(F.collect_set("_salt").alias("_salts"))
-    spread = hub.join(salts, "key").select("key", F.explode("_salts").alias("_salt"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-    near = salted.join(spread, ["key", "_salt"]).where((F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-    return near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), hub.select("key", F.col("hub.node").alias("node"))
+    spread = hub.join(salts, "key").select("key", F.explode("_salts").alias("_salt"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "s1", "s2")))
+    near = (F.col("node") != F.col("hub_node")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    near = near & (differing(F.col("s1"), F.col("hub_s1")) + differing(F.col("s2"), F.col("hub_s2")) <= MOST)
+    found = salted.join(spread, ["key", "_salt"]).where(near)
+    return found.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct(), hub.select("key", F.col("hub.node").alias("node"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -171,10 +199,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     spark = docs.sparkSession
     rows = written(shingle_rows(docs, key, text), "shingles")
     # one node for each distinct set
-    own = group_min(rows.where("node is not null"), "node", key, "_least", salt_on=key)
-    own = written(own.select(key, "n", "node", "_least", "keys", "print"), "nodes")
-    one = own.where(F.col(key).eqNullSafe(F.col("_least"))).dropDuplicates(["node", key])
-    buckets = written(multiple(one.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("n"))), "buckets")
+    found = group_min(rows.where("node is not null"), "node", key, "_least", salt_on=key)
+    own = written(found.select(key, "n", "node", "_least", "print", "s1", "s2"), "nodes")
+    is_least = F.col(key).eqNullSafe(F.col("_least"))
+    one = own.where(is_least).select("node", F.col("n").cast("int").alias("n"), "s1", "s2").dropDuplicates(["node"])
+    marks = found.where(is_least).select(F.explode("keys").alias("key"), "node").distinct()
+    buckets = written(multiple(marks).join(one, "node").select("key", "node", "n", "s1", "s2"), "buckets")
     labels = None
     if not buckets.isEmpty():
         texts = node_texts(docs, key, text, own, buckets)
@@ -209,11 +239,11 @@ def linked(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame | No
         links = confirmed(pairs, texts, percent)
         labels = components(links if labels is None else links.unionByName(labels.toDF("a", "b").where("a <> b")))
         rest = buckets.join(hub_rows, ["key", "node"], "left_anti").join(labels, "node", "left")
-        rest = multiple(rest.select("key", "node", "n", F.coalesce("root", "node").alias("root")), "root")
-        buckets = written(rest.select("key", "node", "n"), "buckets")
+        rest = multiple(rest.withColumn("root", F.coalesce("root", "node")), "root")
+        buckets = written(rest.select("key", "node", "n", "s1", "s2"), "buckets")
         if buckets.isEmpty():
             return labels
-        hubs *= 8
+        hubs *= 64
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
