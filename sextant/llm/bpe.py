@@ -1,24 +1,34 @@
-"""Byte-level BPE through a table of distinct words: each is encoded once, ids come back by position."""
+"""Byte-level BPE through a table of distinct words: each is encoded once, ids come back by position.
+
+Texts are split into words and kept as numbers of words in blocks of documents. The distinct words of the blocks are
+dealt to buckets by their hash; within its bucket each word is encoded once for all blocks, and its ids are joined with
+the vocabulary's (id, bytes). Ids and bytes go back to the blocks by word number. Block tables are bucketed by block, so
+that the number sequences, by far the largest part, are never shuffled.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import small_batches, written
+from .common import new_path, small_batches
 
 #: The word pattern of byte-level BPE, its alternatives in an order that gives the same words.
 WORD = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text whose words share one local dictionary; a longer text has a block of its own.
 BLOCK_CHARS = 32_000_000
+#: Buckets of distinct words; a task holds the words of one bucket at a time.
+BUCKETS = 1024
 
 
 def public_path(name: str = "byte_bpe_50k.json") -> str:
@@ -76,10 +86,22 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-def split_blocks(docs: DataFrame, key: str, text: str, spec: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks of documents: (block, rows array<struct<key, n>>, seq, words). ``seq`` holds the documents' word numbers
-    one after another, ``n`` how many are each one's, and ``words`` the block's distinct words by number."""
+def flat(parts: list[bytes]) -> tuple[bytes, bytes]:
+    """Byte strings as one, and their lengths as 32-bit integers."""
+    return b"".join(parts), np.fromiter(map(len, parts), "<i4", len(parts)).tobytes()
+
+
+def unflat(data: bytes, sizes: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def split_blocks(docs: DataFrame, key: str, text: str, spec: str, block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS) -> DataFrame:
+    """Blocks of documents: (block, rows array<struct<key, n>>, seq, parts). ``seq`` holds the documents' word numbers
+    one after another, ``n`` how many are each one's, and ``parts`` the block's distinct words by bucket: at (their
+    numbers, 32-bit) and words."""
     kind = docs.schema[key].dataType
+    part = pa.struct([("bucket", pa.int32()), ("at", pa.binary()), ("words", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(spec)
@@ -93,10 +115,13 @@ def split_blocks(docs: DataFrame, key: str, text: str, spec: str, block_chars: i
             order = np.argsort(-np.bincount(seq, minlength=len(number)), kind="stable")  # frequent words get small numbers
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            words = list(number)
+            words = np.array([*number, ""], object)[:-1][order]
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int32, len(words))
+            by_bucket = np.argsort(bucket, kind="stable")
+            parts = [{"bucket": int(bucket[i[0]]), "at": i.astype("<i4").tobytes(), "words": words[i].tolist()} for i in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1) if len(i)]
             rows = pa.StructArray.from_arrays([pa.concat_arrays(keys), pa.array(list(map(len, seqs)), pa.int32())], ["key", "n"])
             lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            return pa.RecordBatch.from_arrays([lists, pa.array([packed(rank[seq])], pa.binary()), pa.array([[words[i] for i in order.tolist()]], pa.list_(pa.string()))], ["rows", "seq", "words"])
+            return pa.RecordBatch.from_arrays([lists, pa.array([packed(rank[seq])], pa.binary()), pa.array([parts], pa.list_(part))], ["rows", "seq", "parts"])
 
         for b in batches:
             for i, x in enumerate(b.column(1).to_pylist()):
@@ -111,21 +136,44 @@ def split_blocks(docs: DataFrame, key: str, text: str, spec: str, block_chars: i
         if keys:
             yield block()
 
-    blocks = docs.select(key, text).mapInArrow(run, f"rows array<struct<key: {kind.simpleString()}, n: int>>, seq binary, words array<string>")
+    blocks = docs.select(key, text).mapInArrow(run, f"rows array<struct<key: {kind.simpleString()}, n: int>>, seq binary, parts array<struct<bucket: int, at: binary, words: array<string>>>")
     return blocks.withColumn("block", F.monotonically_increasing_id())
 
 
-def word_table(words: DataFrame, spec: str) -> DataFrame:
-    """(word, ids binary, piece binary) for each distinct word: its ids, and the bytes they decode to by a join with the
-    vocabulary's (id, bytes), whose size does not depend on the corpus."""
+def bucketed(blocks: DataFrame) -> DataFrame:
+    """``blocks`` written to the shared folder as a table bucketed by block, and read again."""
+    spark = blocks.sparkSession
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(n, "block").option("compression", "zstd").option("path", new_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
+def encoded(places: DataFrame, spec: str) -> DataFrame:
+    """The rows of ``places`` (block, bucket, at, words) with the words' ids and the bytes that the ids decode to.
+
+    All rows of a bucket lie together; each of its distinct words is encoded once, and its ids are joined with the
+    vocabulary, whose size does not depend on the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, piece = load(spec).encode, dict(piece_rows(spec)).__getitem__
+        now, table = None, {}
         for b in batches:
-            ids = [encode(w, add_special_tokens=False).ids for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary()), pa.array([b"".join(map(piece, x)) for x in ids], pa.binary())], ["word", "ids", "piece"])
-
-    return words.select("word").distinct().mapInArrow(run, "word string, ids binary, piece binary")
+            out: list[tuple[bytes, ...]] = []
+            for bucket, words in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if bucket != now:
+                    now, table = bucket, {}
+                for w in words:
+                    if w not in table:
+                        ids = encode(w, add_special_tokens=False).ids
+                        table[w] = np.array(ids, "<u4").tobytes(), b"".join(map(piece, ids))
+                out.append((*flat([table[w][0] for w in words]), *flat([table[w][1] for w in words])))
+            columns = [pa.array([x[i] for x in out], pa.binary()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], ["of", "at", "ids", "id_sizes", "pieces", "piece_sizes"])
+
+    dealt = places.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "of long, at binary, ids binary, id_sizes binary, pieces binary, piece_sizes binary")
 
 
 def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -141,15 +189,15 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
     with open(tokenizer or public_path(), encoding="utf-8") as f:
         spec = f.read()
     kind = docs.schema[key].dataType.simpleString()
-    blocks = written(split_blocks(docs, key, text, spec, block_chars), "blocks")
-    places = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    back = places.join(word_table(places.select("word"), spec), "word").select(F.col("block").alias("of"), "at", "ids", "piece")
+    blocks = bucketed(split_blocks(docs, key, text, spec, block_chars))
+    places = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.bucket", "p.at", "p.words")
+    back = encoded(places, spec)
 
-    def join(rows: pa.Table, words: pa.Table) -> pa.Table:
-        at = words.column("at").to_numpy()
+    def join(rows: pa.Table, parts: pa.Table) -> pa.Table:
+        at = np.frombuffer(b"".join(parts.column("at").to_pylist()), "<i4")
         ids, pieces = np.empty(len(at), object), np.empty(len(at), object)
-        ids[at] = words.column("ids").to_pylist()
-        pieces[at] = words.column("piece").to_pylist()
+        for out, data, sizes in ((ids, "ids", "id_sizes"), (pieces, "pieces", "piece_sizes")):
+            out[at] = [x for d, s in zip(parts.column(data).to_pylist(), parts.column(sizes).to_pylist(), strict=True) for x in unflat(d, s)]
         seq = unpacked(rows.column("seq")[0].as_py())
         found = rows.column("rows").combine_chunks().flatten()
         ends = np.cumsum(found.field("n").to_numpy())
