@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linedup, media, neardup, pii, quality, sharding, warc
+from . import bpe, decontam, linedup, media, neardup, pii, quality, sharding, sitetree, warc
 from .common import held_out
 
 
@@ -32,6 +32,13 @@ def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by the style tree of its host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = sitetree.extract(pages)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that repeat an earlier line, exactly or but for one character."""
     return linedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
@@ -78,5 +85,5 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("pii").cast("long").alias("n_values"), F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",").alias("kinds"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pu_quality, op2_minhash_near_duplicates, op4_line_dedup, op5_media_fingerprints, op6_decontaminate, op7_bpe, op8_warc, op9_rendezvous_shards, op10_pii_pseudonyms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pu_quality, op2_minhash_near_duplicates, op3_site_style_tree, op4_line_dedup, op5_media_fingerprints, op6_decontaminate, op7_bpe, op8_warc, op9_rendezvous_shards, op10_pii_pseudonyms)}
 ORACLES: dict[str, str] = {"op4_line_dedup": linedup.ORACLE}
