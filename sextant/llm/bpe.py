@@ -1,9 +1,9 @@
 """Byte-level BPE through a table of distinct words: each is encoded once, ids come back by position.
 
 Texts are split into words and kept as numbers of words in blocks of documents. The distinct words of the blocks are
-dealt to buckets by their hash; within its bucket each word is encoded once for all blocks, and its ids are joined with
-the vocabulary's (id, bytes). Ids and bytes go back to the blocks by word number. Block tables are bucketed by block, so
-that the number sequences, by far the largest part, are never shuffled.
+dealt to buckets by their hash; within its bucket each word is encoded once for all blocks. Ids go back to the blocks by
+word number and are joined there with the vocabulary's (id, bytes) to decode. Block tables are bucketed by block, so that
+the number sequences, by far the largest part, are never shuffled.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import new_path, small_batches
 #: The word pattern of byte-level BPE, its alternatives in an order that gives the same words.
 WORD = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text whose words share one local dictionary; a longer text has a block of its own.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Buckets of distinct words; a task holds the words of one bucket at a time.
 BUCKETS = 1024
 
@@ -76,6 +76,20 @@ def piece_rows(spec: str) -> list[tuple[int, bytes]]:
     return sorted((i, bytes(table[c] for c in p) if all(c in table for c in p) else p.encode()) for p, i in vocab.items())
 
 
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _pieces(spec: str) -> np.ndarray:
+    """The vocabulary's bytes by id, made once in a worker."""
+    if spec not in _TABLES:
+        rows = piece_rows(spec)
+        table = np.full(rows[-1][0] + 1, b"", object)
+        for i, x in rows:
+            table[i] = x
+        _TABLES[spec] = table
+    return _TABLES[spec]
+
+
 def packed(seq: np.ndarray) -> bytes:
     """Word numbers as deflated byte planes: the first planes hold most, the others are nearly all 0."""
     return zlib.compress(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
@@ -86,22 +100,26 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-def flat(parts: list[bytes]) -> tuple[bytes, bytes]:
-    """Byte strings as one, and their lengths as 32-bit integers."""
-    return b"".join(parts), np.fromiter(map(len, parts), "<i4", len(parts)).tobytes()
+def flat(parts: list[bytes]) -> bytes:
+    """Byte strings as one deflated string, their lengths first."""
+    sizes = np.fromiter(map(len, parts), "<u4", len(parts)).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zlib.compress(b"".join([len(parts).to_bytes(4, "little"), sizes, *parts]), 1)
 
 
-def unflat(data: bytes, sizes: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
-    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+def unflat(blob: bytes) -> list[bytes]:
+    data = zlib.decompress(blob)
+    n = int.from_bytes(data[:4], "little")
+    sizes = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, 4).reshape(4, -1).T).view("<u4").ravel()
+    ends = (np.cumsum(sizes) + 4 + 4 * n).tolist()
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
 def split_blocks(docs: DataFrame, key: str, text: str, spec: str, block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS) -> DataFrame:
     """Blocks of documents: (block, rows array<struct<key, n>>, seq, parts). ``seq`` holds the documents' word numbers
     one after another, ``n`` how many are each one's, and ``parts`` the block's distinct words by bucket: at (their
-    numbers, 32-bit) and words."""
+    numbers, 32-bit) and words (deflated)."""
     kind = docs.schema[key].dataType
-    part = pa.struct([("bucket", pa.int32()), ("at", pa.binary()), ("words", pa.list_(pa.string()))])
+    part = pa.struct([("bucket", pa.int32()), ("at", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(spec)
@@ -118,7 +136,7 @@ def split_blocks(docs: DataFrame, key: str, text: str, spec: str, block_chars: i
             words = np.array([*number, ""], object)[:-1][order]
             bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int32, len(words))
             by_bucket = np.argsort(bucket, kind="stable")
-            parts = [{"bucket": int(bucket[i[0]]), "at": i.astype("<i4").tobytes(), "words": words[i].tolist()} for i in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1) if len(i)]
+            parts = [{"bucket": int(bucket[i[0]]), "at": i.astype("<i4").tobytes(), "words": flat([w.encode() for w in words[i]])} for i in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1) if len(i)]
             rows = pa.StructArray.from_arrays([pa.concat_arrays(keys), pa.array(list(map(len, seqs)), pa.int32())], ["key", "n"])
             lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
             return pa.RecordBatch.from_arrays([lists, pa.array([packed(rank[seq])], pa.binary()), pa.array([parts], pa.list_(part))], ["rows", "seq", "parts"])
@@ -136,7 +154,7 @@ def split_blocks(docs: DataFrame, key: str, text: str, spec: str, block_chars: i
         if keys:
             yield block()
 
-    blocks = docs.select(key, text).mapInArrow(run, f"rows array<struct<key: {kind.simpleString()}, n: int>>, seq binary, parts array<struct<bucket: int, at: binary, words: array<string>>>")
+    blocks = docs.select(key, text).mapInArrow(run, f"rows array<struct<key: {kind.simpleString()}, n: int>>, seq binary, parts array<struct<bucket: int, at: binary, words: binary>>")
     return blocks.withColumn("block", F.monotonically_increasing_id())
 
 
@@ -150,30 +168,28 @@ def bucketed(blocks: DataFrame) -> DataFrame:
 
 
 def encoded(places: DataFrame, spec: str) -> DataFrame:
-    """The rows of ``places`` (block, bucket, at, words) with the words' ids and the bytes that the ids decode to.
+    """(of, bucket, ids) for the rows of ``places`` (block, bucket, words): the ids of each word, in order, deflated.
 
-    All rows of a bucket lie together; each of its distinct words is encoded once, and its ids are joined with the
-    vocabulary, whose size does not depend on the corpus.
+    All rows of a bucket lie together, and each of its distinct words is encoded once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, piece = load(spec).encode, dict(piece_rows(spec)).__getitem__
+        encode = load(spec).encode
         now, table = None, {}
         for b in batches:
-            out: list[tuple[bytes, ...]] = []
-            for bucket, words in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+            out = []
+            for bucket, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if bucket != now:
                     now, table = bucket, {}
+                words = unflat(blob)
                 for w in words:
                     if w not in table:
-                        ids = encode(w, add_special_tokens=False).ids
-                        table[w] = np.array(ids, "<u4").tobytes(), b"".join(map(piece, ids))
-                out.append((*flat([table[w][0] for w in words]), *flat([table[w][1] for w in words])))
-            columns = [pa.array([x[i] for x in out], pa.binary()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], ["of", "at", "ids", "id_sizes", "pieces", "piece_sizes"])
+                        table[w] = np.array(encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                out.append(flat([table[w] for w in words]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["of", "bucket", "ids"])
 
     dealt = places.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "of long, at binary, ids binary, id_sizes binary, pieces binary, piece_sizes binary")
+    return dealt.mapInArrow(run, "of long, bucket int, ids binary")
 
 
 def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -190,18 +206,25 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
         spec = f.read()
     kind = docs.schema[key].dataType.simpleString()
     blocks = bucketed(split_blocks(docs, key, text, spec, block_chars))
-    places = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.bucket", "p.at", "p.words")
+    places = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.bucket", "p.words")
     back = encoded(places, spec)
 
     def join(rows: pa.Table, parts: pa.Table) -> pa.Table:
-        at = np.frombuffer(b"".join(parts.column("at").to_pylist()), "<i4")
-        ids, pieces = np.empty(len(at), object), np.empty(len(at), object)
-        for out, data, sizes in ((ids, "ids", "id_sizes"), (pieces, "pieces", "piece_sizes")):
-            out[at] = [x for d, s in zip(parts.column(data).to_pylist(), parts.column(sizes).to_pylist(), strict=True) for x in unflat(d, s)]
+        piece = _pieces(spec)
+        coded = dict(zip(parts.column("bucket").to_pylist(), parts.column("ids").to_pylist(), strict=True))
+        own = rows.column("parts")[0].as_py()
+        n = sum(len(p["at"]) // 4 for p in own)
+        ids, pieces = np.empty(n, object), np.empty(n, object)
+        for p in own:
+            found = unflat(coded[p["bucket"]])
+            at = np.frombuffer(p["at"], "<i4")
+            ids[at] = found
+            pieces[at] = [b"".join(piece[np.frombuffer(x, "<u4")]) for x in found]  # the join with (id, bytes)
         seq = unpacked(rows.column("seq")[0].as_py())
         found = rows.column("rows").combine_chunks().flatten()
         ends = np.cumsum(found.field("n").to_numpy())
         spans = [seq[e - n : e] for e, n in zip(ends, found.field("n").to_pylist(), strict=True)]
         return pa.Table.from_arrays([found.field("key"), pa.array([b"".join(ids[s]) for s in spans], pa.binary()), pa.array([b"".join(pieces[s]).decode("utf-8", "replace") for s in spans], pa.string())], [key, "ids", "decoded"])
 
-    return blocks.select("block", "rows", "seq").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(join, f"`{key}` {kind}, ids binary, decoded string")
+    own = blocks.select("block", "rows", "seq", F.transform("parts", lambda p: F.struct(p["bucket"], p["at"])).alias("parts"))
+    return own.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(join, f"`{key}` {kind}, ids binary, decoded string")
