@@ -2,57 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("symbol").orderBy("d")
-PERIOD = Window.partitionBy("d")
 
+def series() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("d")
 
-def rolling(agg, value: Column, n: int, w=SERIES) -> Column:
+
+def period() -> WindowSpec:
+    return Window.partitionBy("d")
+
+
+def rolling(agg, value: Column, n: int, w: WindowSpec | None = None) -> Column:
     """``agg`` over the last ``n`` rows; null until there are ``n``, and while any of them is null."""
-    frame = w.rowsBetween(-(n - 1), 0)
+    frame = (w or series()).rowsBetween(-(n - 1), 0)
     return F.when(F.count(value).over(frame) == n, agg(value).over(frame))
 
 
-def bias_ratio(value: Column, n: int, w=SERIES) -> Column:
+def bias_ratio(value: Column, n: int, w: WindowSpec | None = None) -> Column:
     """Distance from the moving average, relative to it."""
     mean = rolling(F.avg, value, n, w)
     return F.try_divide(value - mean, mean)
 
 
-def range_tightness(value: Column, n: int, w=SERIES) -> Column:
+def range_tightness(value: Column, n: int, w: WindowSpec | None = None) -> Column:
     return 1 - F.try_divide(rolling(F.min, value, n, w), rolling(F.max, value, n, w))
 
 
-def breakout(value: Column, n: int, w=SERIES) -> Column:
+def breakout(value: Column, n: int, w: WindowSpec | None = None) -> Column:
     """Whether a value is the highest of the last ``n``, itself included; ties count."""
     return value == rolling(F.max, value, n, w)
 
 
-def zscore(value: Column, cap: float | None = 3.0, w=PERIOD) -> Column:
+def zscore(value: Column, cap: float | None = 3.0, w: WindowSpec | None = None) -> Column:
     """Population z-score within a period, nulls omitted; null where there is no spread or beyond ``cap``."""
+    w = w or period()
     z = (value - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0))
     return z if cap is None else F.when(F.abs(z) <= cap, z)
 
 
-def pct_change(value: Column, w=SERIES) -> Column:
+def pct_change(value: Column, w: WindowSpec | None = None) -> Column:
     """Change from the last value that is not null."""
+    w = w or series()
     held = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return F.try_divide(held, before) - 1
 
 
-def compounded(rate: Column, w=SERIES) -> Column:
+def compounded(rate: Column, w: WindowSpec | None = None) -> Column:
     """Product of 1 + rate so far, nulls skipped."""
-    return F.product(1 + rate).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return F.product(1 + rate).over((w or series()).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def rising_streak(df: DataFrame, value: str, mean_rows: int, steps: int, weight: float = 1.0, out: str = "streak") -> DataFrame:
     """``weight`` where the ``mean_rows`` average rose strictly in each of the last ``steps`` steps, else 0."""
-    ma = df.withColumns({"_ma": rolling(F.avg, F.col(value), mean_rows), "_i": F.row_number().over(SERIES)})
-    up = ma.withColumn("_up", F.coalesce((F.col("_ma") > F.lag("_ma").over(SERIES)).cast("int"), F.lit(0)))
-    rose = F.sum("_up").over(SERIES.rowsBetween(-(steps - 1), 0)) == steps
+    ma = df.withColumns({"_ma": rolling(F.avg, F.col(value), mean_rows), "_i": F.row_number().over(series())})
+    up = ma.withColumn("_up", F.coalesce((F.col("_ma") > F.lag("_ma").over(series())).cast("int"), F.lit(0)))
+    rose = F.sum("_up").over(series().rowsBetween(-(steps - 1), 0)) == steps
     return up.withColumn(out, F.when(rose & (F.col("_i") > steps), F.lit(weight)).otherwise(0.0)).drop("_ma", "_i", "_up")
 
 
@@ -61,7 +68,7 @@ def densify(df: DataFrame, values: list[str]) -> DataFrame:
     span = df.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     days = span.select(F.explode(F.sequence("lo", "hi")).alias("d"))
     grid = df.select("symbol").distinct().join(F.broadcast(days))  # a calendar's days, whatever the panel's size
-    held = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    held = series().rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(df, ["symbol", "d"], "left").select("symbol", "d", *(F.last(v, ignorenulls=True).over(held).alias(v) for v in values))
 
 
@@ -88,9 +95,9 @@ def top_k(df: DataFrame, period: str, value: str, k: int) -> DataFrame:
     return df.where(F.col(value).isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def period_return(df: DataFrame, value: str, period: str, w=None) -> DataFrame:
+def period_return(df: DataFrame, value: str, by: str, w: WindowSpec | None = None) -> DataFrame:
     """Percent change from the period before, stamped on the end; the first has none and goes."""
-    w = w or Window.partitionBy("symbol").orderBy(period)
+    w = w or Window.partitionBy("symbol").orderBy(by)
     return df.withColumn("period_return", 100 * (F.try_divide(F.col(value), F.lag(value).over(w)) - 1)).where("period_return is not null")
 
 

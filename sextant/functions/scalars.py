@@ -14,13 +14,18 @@ PAYWALL_HOSTS = ("wsj.com", "ft.com", "bloomberg.com", "nytimes.com", "economist
 POST_CHARS = 2000
 
 
+def cents(x: Column, digits: int = 2) -> Column:
+    """Half-up rounding in which the binary neighbours of a half count as the half."""
+    return F.round(x + 1e-9, digits)
+
+
 def z_weight(z: Column) -> Column:
     """1 + z for z of 0 or more, 1 / (1 - z) below; null stays null."""
     return F.when(z >= 0, 1 + z).when(z < 0, F.try_divide(F.lit(1.0), 1 - z))
 
 
 def edge(p: Column, price: Column) -> Column:
-    return F.round(p - price, 4)
+    return cents(p - price, 4)
 
 
 def kelly(p: Column, odds: Column) -> Column:
@@ -34,16 +39,16 @@ def bet_size(p: Column, price: Column, fraction: float = 0.25, most: float = 1.0
     yes = kelly(p, F.try_divide(F.lit(1.0), price) - 1)
     no = kelly(1 - p, F.try_divide(F.lit(1.0), 1 - price) - 1)
     size = F.least(F.when(p > price, yes).otherwise(no) * fraction, F.lit(most))
-    return F.when((price <= 0) | (price >= 1), F.lit(0.0)).otherwise(F.round(size, 2))
+    return F.when((price <= 0) | (price >= 1), F.lit(0.0)).otherwise(cents(size))
 
 
 def limit_price(price: Column, direction: Column, offset: float = 0.005) -> Column:
     raw = F.when(direction == "YES", price + offset).otherwise(price - offset)
-    return F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.round(raw, 2)))
+    return F.least(F.lit(0.99), F.greatest(F.lit(0.01), cents(raw)))
 
 
 def trade_cost(size: Column, price: Column, direction: Column) -> Column:
-    return F.round(F.when(direction == "YES", size * price).otherwise(size * (1 - price)), 2)
+    return cents(F.when(direction == "YES", size * price).otherwise(size * (1 - price)))
 
 
 def payoff(size: Column, price: Column, direction: Column, outcome: Column) -> Column:

@@ -18,7 +18,7 @@ def derived_ratios(df: DataFrame) -> DataFrame:
     """Market cap, enterprise value and the ratios that the scores use; division by 0 gives null."""
     c = F.col
     cap = f.market_cap(c("shares"), c("close"))
-    before = F.lag("shares", 4).over(panel.SERIES)
+    before = F.lag("shares", 4).over(panel.series())
     return df.withColumn("cap", cap).withColumn("ev", f.enterprise_value(F.col("cap"), c("debt"), c("cash"))).withColumns({
         "ebitda_ev": F.try_divide(c("ebitda"), F.col("ev")), "earnings_yield": F.try_divide(c("eps"), c("close")), "shareholder_yield": f.repurchase_rate(c("shares"), before, c("close"), F.col("cap")),
         "cash_flow_assets": F.try_divide(c("cash_flow"), c("assets")), "gross_profit_assets": F.try_divide(c("gross_profit"), c("assets")), "leverage": -F.try_divide(c("debt"), c("assets")),
@@ -43,13 +43,13 @@ def multi_factor_rating(df: DataFrame, universe: DataFrame, quantile: float = 0.
     z = z.withColumns({"value": value, "quality": quality, "momentum": F.col("z_mom") + F.col("eps_streak")})
     total = f.blend(*((w, F.col(n)) for n, w in TOTAL.items()))
     scored = z.withColumn("score", F.round(f.z_weight(total), 6))
-    cut = F.percentile("score", F.lit(quantile)).over(panel.PERIOD)
+    cut = F.percentile("score", F.lit(quantile)).over(panel.period())
     return scored.withColumn("selected", F.coalesce(F.col("score") >= cut, F.lit(False)))
 
 
 def low_price_screen(prices: DataFrame, quantile: float = 0.15, most: float | None = None, days: int = 60) -> DataFrame:
     """Rows whose price is below the day's quantile (and ``most``), with their range tightness."""
-    cut = F.percentile("close", F.lit(quantile)).over(panel.PERIOD)
+    cut = F.percentile("close", F.lit(quantile)).over(panel.period())
     rows = prices.withColumns({"cut": cut, "tightness": panel.range_tightness(F.col("close"), days)})
     keep = F.col("close") < F.col("cut")
     return rows.where(keep if most is None else keep & (F.col("close") <= most))
@@ -70,7 +70,7 @@ def bias_backtest(prices: DataFrame, n: int = 20) -> DataFrame:
 
 def signal_backtest(rows: DataFrame) -> DataFrame:
     """Market and strategy return of the position that yesterday's ``signal`` gives, both compounded."""
-    s = rows.withColumns({"ret": panel.pct_change(F.col("close")), "position": F.lag("signal").over(panel.SERIES)})
+    s = rows.withColumns({"ret": panel.pct_change(F.col("close")), "position": F.lag("signal").over(panel.series())})
     s = s.withColumn("strategy_ret", F.col("ret") * F.col("position"))
     return s.withColumns({"market_growth": panel.compounded(F.col("ret")), "strategy_growth": panel.compounded(F.col("strategy_ret"))})
 

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as f
+
 MAX_SIZE = 1.00
 MAX_EXPOSURE = 10.00
 MAX_DAY_LOSS = 4.00
@@ -34,5 +36,5 @@ def admit(trades: DataFrame, max_size: float = MAX_SIZE, max_exposure: float = M
 def halts(results: DataFrame, max_loss: float = MAX_DAY_LOSS) -> DataFrame:
     """Adds ``day_pnl`` so far and ``halted``, true from the result on that takes the day's loss to ``max_loss``."""
     w = Window.partitionBy("book", "d").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    run = results.withColumn("day_pnl", F.round(F.sum("pnl").over(w), 2))
+    run = results.withColumn("day_pnl", f.cents(F.sum("pnl").over(w)))
     return run.withColumn("halted", F.max(F.col("day_pnl") <= -max_loss).over(w))

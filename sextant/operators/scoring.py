@@ -15,24 +15,24 @@ def resolved(trades: DataFrame, predictions: DataFrame) -> DataFrame:
 def brier(rows: DataFrame) -> DataFrame:
     """Mean squared difference of forecast and outcome; the forecast of a NO trade is 1 - p. Null without rows."""
     p = F.when(F.col("direction") == "NO", 1 - F.col("probability")).otherwise(F.col("probability"))
-    return rows.agg(F.round(F.avg(F.pow(p - F.col("outcome"), 2)), 4).alias("brier"))
+    return rows.agg(f.cents(F.avg(F.pow(p - F.col("outcome"), 2)), 4).alias("brier"))
 
 
 def calibration(rows: DataFrame, width: float = 0.1) -> DataFrame:
     """Forecasts by bucket: how many, and how often they came true."""
     index = f.bucket_index(F.col("probability"), width)
-    found = rows.groupBy(index.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("outcome"), 3).alias("actual"))
+    found = rows.groupBy(index.alias("bucket")).agg(F.count("*").alias("n"), f.cents(F.avg("outcome"), 3).alias("actual"))
     return found.withColumn("label", f.bucket_label(F.col("bucket"), width))
 
 
 def daily_pnl(trades: DataFrame) -> DataFrame:
     pnl = f.payoff(F.col("size"), F.col("limit_price"), F.col("direction"), F.col("outcome"))
-    return trades.where("outcome is not null").groupBy(F.to_date("timestamp").alias("d")).agg(F.round(F.sum(pnl), 2).alias("pnl"), F.count("*").alias("n"))
+    return trades.where("outcome is not null").groupBy(F.to_date("timestamp").alias("d")).agg(f.cents(F.sum(pnl)).alias("pnl"), F.count("*").alias("n"))
 
 
 def exposure(trades: DataFrame) -> DataFrame:
     cost = f.trade_cost(F.col("size"), F.col("limit_price"), F.col("direction"))
-    return trades.groupBy("book").agg(F.round(F.sum(F.when(f.open_trade(F.col("status"), F.col("outcome")), cost).otherwise(0.0)), 2).alias("exposure"))
+    return trades.groupBy("book").agg(f.cents(F.sum(F.when(f.open_trade(F.col("status"), F.col("outcome")), cost).otherwise(0.0))).alias("exposure"))
 
 
 def report(trades: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def report(trades: DataFrame, predictions: DataFrame) -> DataFrame:
     return joined.agg(
         F.count_distinct("prediction_id").alias("n_predictions"), F.count("trade_id").alias("n_trades"),
         F.count_if(F.col("trade_id").isNotNull() & f.open_trade(F.col("status"), F.col("outcome"))).alias("n_open"), F.count("outcome").alias("n_resolved"),
-        F.round(F.avg(F.when(F.col("outcome").isNotNull(), F.pow(p - F.col("outcome"), 2))), 4).alias("brier"), F.round(F.sum(pnl), 2).alias("pnl"),
+        f.cents(F.avg(F.when(F.col("outcome").isNotNull(), F.pow(p - F.col("outcome"), 2))), 4).alias("brier"), f.cents(F.sum(pnl)).alias("pnl"),
     )
 
 
