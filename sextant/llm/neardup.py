@@ -176,13 +176,14 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def hub_pairs(rows: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of each key's hubs with its other nodes, a < b, whose sizes and sketches allow a link; and the hubs."""
+    """Pairs (a, b) of each key's hubs with its nodes of other components, a < b, whose sizes and sketches allow a link;
+    and the hubs."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     slot = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(hubs))
-    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "n", "s1", "s2")).alias("hub")).select("key", "hub")
+    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "n", "s1", "s2", "root")).alias("hub")).select("key", "hub")
     salts = salted.groupBy("key").agg(F.collect_set("_salt").alias("_salts"))
-    spread = hub.join(salts, "key").select("key", F.explode("_salts").alias("_salt"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "s1", "s2")))
-    near = (F.col("node") != F.col("hub_node")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    spread = hub.join(salts, "key").select("key", F.explode("_salts").alias("_salt"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "s1", "s2", "root")))
+    near = (F.col("root") != F.col("hub_root")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
     near = near & (differing(F.col("s1"), F.col("hub_s1")) + differing(F.col("s2"), F.col("hub_s2")) <= MOST)
     found = salted.join(spread, ["key", "_salt"]).where(near)
     return found.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct(), hub.select("key", F.col("hub.node").alias("node"))
@@ -204,7 +205,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     is_least = F.col(key).eqNullSafe(F.col("_least"))
     one = own.where(is_least).select("node", F.col("n").cast("int").alias("n"), "s1", "s2").dropDuplicates(["node"])
     marks = found.where(is_least).select(F.explode("keys").alias("key"), "node").distinct()
-    buckets = written(multiple(marks).join(one, "node").select("key", "node", "n", "s1", "s2"), "buckets")
+    buckets = written(multiple(marks).join(one, "node").select("key", "node", "n", "s1", "s2", F.col("node").alias("root")), "buckets")
     labels = None
     if not buckets.isEmpty():
         texts = node_texts(docs, key, text, own, buckets)
@@ -232,15 +233,11 @@ def linked(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame | No
     labels, hubs = None, 1
     while True:
         pairs, hub_rows = hub_pairs(buckets, hubs, percent)
-        if labels is not None:
-            for side in ("a", "b"):
-                pairs = pairs.join(labels.toDF(side, f"root_{side}"), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-            pairs = pairs.where("root_a <> root_b").select("a", "b")
         links = confirmed(pairs, texts, percent)
         labels = components(links if labels is None else links.unionByName(labels.toDF("a", "b").where("a <> b")))
-        rest = buckets.join(hub_rows, ["key", "node"], "left_anti").join(labels, "node", "left")
+        rest = buckets.drop("root").join(hub_rows, ["key", "node"], "left_anti").join(labels, "node", "left")
         rest = multiple(rest.withColumn("root", F.coalesce("root", "node")), "root")
-        buckets = written(rest.select("key", "node", "n", "s1", "s2"), "buckets")
+        buckets = written(rest.select("key", "node", "n", "s1", "s2", "root"), "buckets")
         if buckets.isEmpty():
             return labels
         hubs *= 64
