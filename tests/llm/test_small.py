@@ -201,7 +201,7 @@ def test_wav_round_trip(spark, texts):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
         assert r["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest() and r["media_bytes"] == len(media.to_wav(payload))
     assert media.from_wav(media.to_wav(b"\x00\xff" * 7)) == b"\x00\xff" * 7
-    assert len(found[2001]["peaks"]) == 0 and len(found[2000]["peaks"]) > 0
+    assert len(found[2000]["peaks"]) > 0 and found[2001]["peaks"] != found[2000]["peaks"]
 
 
 def test_chunked_framing():
@@ -310,7 +310,7 @@ def test_classifier_learns_from_positives_and_unlabelled(spark):
     good = lambda: ". ".join(sentence(rng, 8).capitalize() for _ in range(6))
     bad = lambda: " | ".join(sentence(rng, 2).upper() + "!!" for _ in range(12))
     rows = [(i, good() if i % 4 else bad()) for i in range(800)]
-    labels = spark.createDataFrame([(i, int(bool(i % 4))) for i in range(0, 800, 2)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(bool(i % 4))) for i in range(800) if i % 5 < 2], "doc_id long, quality int")
     docs = frame(spark, [*rows, (900, None), (901, "")])
     model = quality.fit(docs, labels)
     found = {r["doc_id"]: r["score"] for r in quality.score(docs.withColumn("score", F.lit("x")), model).collect()}
