@@ -113,7 +113,8 @@ def source_quality(name: Column) -> Column:
 def post_body(text: Column, marker: str = POST_END) -> Column:
     """The text before ``marker``, if that is not at its start, trimmed and cut to POST_CHARS."""
     at = F.locate(marker, text)
-    return F.left(F.trim(F.when(at > 1, F.substring(text, F.lit(1), at - 1)).otherwise(text)), F.lit(POST_CHARS))
+    body = F.when(at > 1, F.substring(text, F.lit(1), at - 1)).otherwise(text)
+    return F.left(F.regexp_replace(body, r"^\s+|\s+$", ""), F.lit(POST_CHARS))
 
 
 def ideographic(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +73,14 @@ def opportunities(markets: DataFrame, predictions: DataFrame, min_edge: float =
     both = both.withColumns({"edge": f.edge(p, price), "direction": F.when(p > price, "YES").otherwise("NO"), "size": f.bet_size(p, price)})
     kept = both.where((F.abs("edge") >= min_edge) & F.col("confidence").isin(*CONFIDENT) & (F.col("size") > 0))
     return kept.withColumns({"limit_price": f.limit_price(price, F.col("direction")), "low_evidence": F.col("n_articles") < MIN_ARTICLES})
+
+
+def scored(df: DataFrame, scorer: Callable[[list[dict]], list[str]]) -> DataFrame:
+    """``df`` with ``response``, what ``scorer`` answers for each batch of rows; the place for a model of one's own."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer(b.to_pylist()), pa.string())], [*names, "response"])
+
+    return df.mapInArrow(run, df.withColumn("response", F.lit("")).schema)

@@ -9,6 +9,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from ..functions import scalars
 
 TAG = re.compile(r"<[^>]*>")
 ANCHOR = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", re.S | re.I)
@@ -21,7 +24,12 @@ def plain(fragment: str) -> str:
 
 def binary_text(spark: SparkSession, path: str, charset: str = "Big5") -> DataFrame:
     """(path, text) of landed files in a legacy encoding."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", charset).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode(charset, "replace") for x in b.column(1).to_pylist()], pa.string())], ["path", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string")
 
 
 def html_tables(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -78,3 +86,42 @@ def search_results(df: DataFrame, text: str = "value") -> DataFrame:
 
 def has_data(text: Column, marker: str) -> Column:
     return ~text.contains(marker)
+
+
+def _inner(fragment: str, kind: str) -> str:
+    """The inside of the first element of class ``kind``, up to the next end of its tag."""
+    m = re.search(rf"<(\w+)[^>]*class=[\"'][^\"']*\b{kind}\b[^\"']*[\"'][^>]*>(.*?)</\1>", fragment, re.S)
+    return m[2] if m else ""
+
+
+def forum_listing(df: DataFrame, key: str, text: str, base: str = "") -> DataFrame:
+    """(key, title, url, author, date, push_count) of a board page's entries; entries without a title link go."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, x in enumerate(b.column(1).to_pylist()):
+                for entry in re.split(r"<div[^>]*class=[\"'][^\"']*\br-ent\b", x or "")[1:]:
+                    link = ANCHOR.search(_inner(entry, "title"))
+                    if link:
+                        rows.append((i, plain(link[2]), base + html.unescape(link[1]), plain(_inner(entry, "author")), plain(_inner(entry, "date")), plain(_inner(entry, "nrec")) or "0"))
+            at, *columns = zip(*rows, strict=True) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], [key, "title", "url", "author", "date", "push_count"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, title string, url string, author string, date string, push_count string")
+
+
+def forum_posts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, body, push_up, push_down, total_comments) of a post's page; a page without a main part gives no row."""
+    main = F.regexp_extract(text, r"(?s)<div[^>]*id=[\"']main-content[\"'][^>]*>(.*)", 1)
+    bare = F.regexp_replace(main, r"(?s)<div[^>]*class=[\"']article-metaline[^>]*>.*?</div>", "")
+    tags = F.regexp_extract_all(text, F.lit(r"(?s)class=[\"'][^\"']*push-tag[^\"']*[\"'][^>]*>([^<]*)<"), F.lit(1))
+    rows = df.where(F.col(text).contains("main-content")).select(key, F.regexp_replace(bare, r"<[^>]*>", "").alias("raw"), tags.alias("tags"))
+    has = lambda mark: F.size(F.filter("tags", lambda t: t.contains(mark)))
+    return rows.select(key, scalars.post_body(F.col("raw")).alias("body"), has("推").alias("push_up"), has("噓").alias("push_down"), F.size("tags").alias("total_comments"))
+
+
+def numeric_columns(df: DataFrame, n: int = 5) -> list[str]:
+    """The first ``n`` columns of a number type."""
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType)][:n]

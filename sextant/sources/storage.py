@@ -88,3 +88,13 @@ def resolve_trades(trades: DataFrame, outcomes: DataFrame) -> DataFrame:
     both = trades.join(new, "trade_id", "left")
     hit = F.col("_outcome").isNotNull()
     return both.withColumns({"outcome": F.coalesce("_outcome", "outcome"), "status": F.when(hit, "filled").otherwise(F.col("status"))}).drop("_outcome")
+
+
+def only(df: DataFrame, universe: DataFrame) -> DataFrame:
+    """Rows of symbols in the universe."""
+    return df.join(universe.select("symbol").distinct(), "symbol", "left_semi")
+
+
+def without(df: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Rows of symbols that are not listed; rows that repeat stay."""
+    return df.join(symbols.select("symbol").distinct(), "symbol", "left_anti")

@@ -118,3 +118,42 @@ def test_bond_rows_drop_header_and_footer(spark):
     df = spark.createDataFrame([(f"head\n{line}\n{line}\n2 筆",)], "text string")
     found = clean.bond_rows(df, "text", F.lit("2024-01-01").cast("date")).collect()
     assert len(found) == 1 and found[0]["month_end_balance"] == "11"
+
+
+def test_forum_pages(spark):
+    entry = '<div class="r-ent"><div class="nrec"><span class="hl">9</span></div><div class="title"><a href="/p1">[標的] 2330</a></div><div class="meta"><div class="author">me</div><div class="date">1/02</div></div></div>'
+    gone = '<div class="r-ent"><div class="title">(deleted)</div></div>'
+    listing = landed.forum_listing(spark.createDataFrame([(1, entry + gone), (2, None)], "id int, html string"), "id", "html", "http://b")
+    assert [tuple(r) for r in listing.collect()] == [(1, "[標的] 2330", "http://b/p1", "me", "1/02", "9")]
+    assert clean.posts(listing).first()["post_type"] == "target"
+    post = '<div id="main-content" class="x"><div class="article-metaline"><span>meta</span></div>body text\n※ 發信站 x<div class="push"><span class="hl push-tag">推 </span></div><div class="push"><span class="push-tag">噓 </span></div></div>'
+    found = landed.forum_posts(spark.createDataFrame([(1, post), (2, "none")], "id int, html string"), "id", "html").collect()
+    assert [tuple(r) for r in found] == [(1, "body text", 1, 1, 2)]
+
+
+def test_scorer_and_helpers(spark):
+    df = spark.createDataFrame([("q", 0.5)], "question string, market_price double")
+    answers = market.scored(df, lambda rows: [json.dumps(GOOD) for _ in rows])
+    assert market.parsed_responses(answers).first()["probability"] == 0.65
+    assert landed.numeric_columns(df) == ["market_price"]
+    a = spark.createDataFrame([("x",), ("x",), ("y",)], "symbol string")
+    assert storage.without(a, a.where("symbol = 'y'")).count() == 2 and storage.only(a, a.where("symbol = 'y'")).count() == 1
+
+
+def test_rss_and_legacy_files(spark, tmp_path):
+    (tmp_path / "f.xml").write_text("<rss><channel><item><title>a</title><link>u</link></item><item><title>b</title><link>v</link></item></channel></rss>")
+    assert [r["title"] for r in landed.rss_items(spark, str(tmp_path / "f.xml")).orderBy("title").collect()] == ["a", "b"]
+    (tmp_path / "t.html").write_bytes("<table><tr><td>合計</td></tr></table>".encode("big5"))
+    rows = landed.html_tables(landed.binary_text(spark, str(tmp_path / "t.html")), "path", "text").collect()
+    assert rows[0]["cells"] == ["合計"]
+
+
+def test_stateful_admission_stream(spark, tmp_path):
+    from sextant.streaming import ingest
+
+    rows = [(1, 1, "d1", 1.0, 9.0, None), (1, 2, "d1", 1.0, 2.0, None), (1, 3, "d1", 1.0, 9.0, -4.5), (1, 4, "d1", 0.1, 0.1, None), (1, 5, "d2", 0.1, 0.1, None)]
+    df = spark.createDataFrame(rows, "book long, seq long, day string, size double, cost double, pnl double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = ingest.admissions(ingest.landed(spark, str(tmp_path / "in"), df.schema))
+    found.writeStream.format("memory").queryName("admissions").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert [(r["accepted"], r["halted"]) for r in spark.table("admissions").orderBy("seq").collect()] == [(True, False), (False, False), (False, True), (False, True), (True, False)]
