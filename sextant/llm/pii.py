@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
+import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import small_batches
@@ -28,24 +29,41 @@ DATE_FORMATS = {"ymd": (1, 2, 3), "dmy": (3, 2, 1)}
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?:token|password|secret|api_?key)\s?[=:]\s?[\"']?)[A-Za-z0-9+/_-]{8,128})",
+    "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"[A-Za-z0-9+/_-]{8,128}",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
     "ymd": r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)",
     "dmy": r"(?<![\d./])(\d{2})[./](\d{2})[./](\d{4})(?![\d./]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]*\d)",
+    "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-]*\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
 }
-FIND = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+#: What stands before a secret, and signs one of which is in or before every value: most texts have none of them.
+BEFORE = {"secret": r"(?:token|password|secret|api_?key)\s?[=:]\s?[\"']?"}
+SIGN = re.compile("[0-9@]|AKIA|token|password|secret|api_?key")
+#: Characters around a sign that are searched; no value is longer.
+AROUND = 600
+FIND = re.compile("|".join(f"{BEFORE.get(k, '')}(?P<{k}>{p})" for k, p in PATTERNS.items()))
+
+
+def places(text: str) -> Iterator[re.Match]:
+    """The matches of all patterns, searched for near signs only."""
+    start = end = -1
+    for sign in SIGN.finditer(text):
+        if sign.start() - AROUND > end:
+            if end >= 0:
+                yield from FIND.finditer(text, start, end)
+            start = max(0, sign.start() - AROUND)
+        end = sign.end() + AROUND
+    if end >= 0:
+        yield from FIND.finditer(text, start, end)
 
 
 def feistel(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
     """A keyed permutation of 0 .. size - 1: unbalanced rounds over the mixed-radix halves of the value."""
     if size < 2:
         return value
-    a = max(2, int(size**0.5))
-    while a * a < size:
-        a += 1
+    a = math.isqrt(size - 1) + 1
 
     def rounds(x: int) -> int:
         left, right = divmod(x, a)
@@ -170,31 +188,32 @@ def _card(v: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(v: str, key: bytes, back: bool) -> str:
-    keep = regex.match(r"\+\d{1,3}(?=[ .(-])|", v)[0]
+    keep = re.match(r"\+\d{1,3}(?=[ .(-])|", v)[0]
     digits = "".join(c for c in v[len(keep) :] if c in DIGITS)
     return keep + _placed(v[len(keep) :], permuted(digits, key, f"phone|{keep}", back), DIGITS)
 
 
-RULES: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": _email, "iban": _iban, "secret": _secret, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
+RULES: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": _email, "iban": _iban, "key": _secret, "secret": _secret, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
 def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | None:
     """The pseudonym of a value of ``kind``, or with ``back`` the value of a pseudonym; None where it is not valid."""
     if kind in DATE_FORMATS:
-        return _date(value, key, back, regex.fullmatch(PATTERNS[kind], value).groups(), DATE_FORMATS[kind])
+        return _date(value, key, back, re.fullmatch(PATTERNS[kind], value).groups(), DATE_FORMATS[kind])
     return RULES[kind](value, key, back)
 
 
 def replaced(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """``text`` with pseudonyms, and (kind, start, end) of each in the original text."""
     out, spans, at = [], [], 0
-    for m in FIND.finditer(text):
+    for m in places(text):
         kind = next(k for k in PATTERNS if m.group(k) is not None)
-        new = pseudonym(kind, m[0], key, back)
+        begin, end = m.span(kind)
+        new = pseudonym(kind, m.group(kind), key, back)
         if new is not None:
-            out += [text[at : m.start()], new]
-            spans.append((kind, m.start(), m.end()))
-            at = m.end()
+            out += [text[at:begin], new]
+            spans.append((kind, begin, end))
+            at = end
     return "".join([*out, text[at:]]), spans
 
 
