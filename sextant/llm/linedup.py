@@ -2,14 +2,16 @@
 
 Two lines are alike when they are equal or one character edit (substitution, insertion, deletion) apart. Such lines
 agree in the first or in the last half of their characters, so lines that share no half with a different line are left
-out, and the rest of the others, which holds the edit, is halved the same way twice more. For the short middles that are
-still shared, all variants within the edit bound are emitted as hashed keys: the text itself, without each of its
-characters, and with each of them open. What shares a variant is one edit apart, which the Levenshtein distance of the
+out, and the rest of the others, which holds the edit, is halved the same way twice more, and in long lines as often as
+it takes until the rest is short. For the short middles that are still shared, all variants within the edit bound are emitted as hashed keys: the text itself, without each of its
+characters, and with each of them open. What shares a variant is one edit apart, which a comparison of the
 whole lines then confirms; groups of equal variants are only aggregated, never paired.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,14 @@ from .common import written
 
 #: Shorter lines always stay: "Yes." and "No." are no boilerplate.
 MIN_CHARS = 24
-#: Longer lines are compared for equality only.
+#: The SQL beside the query compares longer lines for equality only; the operator has no such bound.
 MAX_CHARS = 65_536
-#: Halvings before characters are left out.
+#: Halvings of all lines before characters are left out.
 HALVINGS = 3
+#: Middles that are longer after these are halved on: all variants of n characters are n^2 characters to hash.
+LAST_CHARS = 8_192
+#: Spark's Levenshtein distance takes quadratic time even under a bound; longer lines are compared by ``one_edit``.
+LEVENSHTEIN_CHARS = 512
 SALTS = 64
 #: Rows of longs that are broadcast at most (16 MB); beyond it the same join shuffles.
 SMALL_ROWS = 1_000_000
@@ -69,6 +75,27 @@ def in_shared(rows: DataFrame) -> DataFrame:
     return salted.join(both.select("context", F.explode("salts").alias("salt")), ["context", "salt"]).select(*rows.columns)
 
 
+def short_middles(rows: DataFrame) -> DataFrame:
+    """``rows`` (h, context, middle) with middles of LAST_CHARS at most, longer ones halved on. Those of just LAST_CHARS go
+    both ways, since of two middles one edit apart one may be a character longer."""
+    done = []
+    while (rows.agg(F.max(F.length("middle"))).first()[0] or 0) > LAST_CHARS:
+        done.append(rows.where(F.length("middle") <= LAST_CHARS))
+        rows = written(in_shared(halved(rows.where(F.length("middle") >= LAST_CHARS), "middle", "h")), "halves")
+    return reduce(DataFrame.unionByName, done, rows)
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether different texts are one edit apart: bisection finds their common prefix, and what follows it is compared."""
+    least = F.least(F.length(a), F.length(b))
+    agree = lambda n: (n <= least) & (F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))
+    step = lambda k: F.pow(F.lit(2), k).cast("int")
+    same = F.aggregate(F.sequence(F.lit(29), F.lit(0)), F.lit(0), lambda n, k: F.when(agree(n + step(k)), n + step(k)).otherwise(n))
+    rest = lambda x, n: F.substring(x, n + 1, F.length(x))
+    close = lambda n: (rest(a, n + 1) == rest(b, n + 1)) | (rest(a, n + 1) == rest(b, n)) | (rest(a, n) == rest(b, n + 1))
+    return F.exists(F.array(same), close)
+
+
 def last_variants(text: Column, context: Column) -> Column:
     """Array of (group, role): role s for a place where the character may differ, d for a text one character shorter,
     w for the text itself."""
@@ -88,12 +115,12 @@ def near_lines(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: D
     marks = lines.select("h", F.explode("contexts").alias("context"))
     common = written(marks.groupBy("context").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("context"), "contexts")
     some = written(marks.join(few(common), "context", "left_semi").select("h").distinct().join(firsts, "h"), "lines")
-    fit = line_rows(docs, key, text).where(F.length("line").between(MIN_CHARS, MAX_CHARS)).select("h", "line")
+    fit = line_rows(docs, key, text).where(F.length("line") >= MIN_CHARS).select("h", "line")
     texts = written(fit.join(few(some.select("h")), "h", "left_semi").dropDuplicates(["h"]).join(some, "h"), "texts")
     narrow = texts.select("h", F.lit(0).cast("long").alias("context"), F.col("line").alias("middle"))
     for _ in range(HALVINGS):
         narrow = written(in_shared(halved(narrow, "middle", "h")), "halves")
-    narrow = narrow.join(some, "h")
+    narrow = short_middles(narrow).join(some, "h")
     marks = narrow.select("h", "first", F.explode(last_variants(F.col("middle"), F.col("context"))).alias("g")).select("h", "first", "g.*")
     # a group of role s is pairwise one edit apart; in the others the whole text is one edit from each longer one
     least = lambda role: F.min(F.when(F.col("role") == role, F.struct("first", "h"))).alias(role)
@@ -105,13 +132,15 @@ def near_lines(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: D
     pairs = spread.join(lows, ["group", "salt"]).withColumn("partner", partner).where("partner.first < first").select("h", F.col("partner.h").alias("other")).distinct()
     line = texts.select("h", "line")
     checked = pairs.join(line, "h").join(line.toDF("other", "other_line"), "other")
-    return checked.where(F.levenshtein("line", "other_line", 1) >= 0).select("h").distinct()
+    a, b = F.col("line"), F.col("other_line")
+    short = F.greatest(F.length(a), F.length(b)) <= LEVENSHTEIN_CHARS
+    return checked.where(F.when(short, F.levenshtein(a, b, 1) >= 0).otherwise(one_edit(a, b))).select("h").distinct()
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, at) of the lines to drop: those with an equal line earlier, or an earlier line one edit apart."""
     rows = line_rows(docs, key, text).where(F.length("line") >= MIN_CHARS)
-    start = F.when(F.length("line") <= MAX_CHARS, half_contexts(F.lit(0).cast("long"), F.col("line")))
+    start = half_contexts(F.lit(0).cast("long"), F.col("line"))
     lines = written(rows.select("h", F.struct("key", "at").alias("place"), start.alias("contexts")), "lines")
     fit = lines.select("h", "place")
     salted = fit.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int"))
@@ -127,8 +156,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """``docs`` with lines dropped that repeat an earlier one, exactly or but for one character.
 
     Lines are parted by \\n; earlier means a smaller (key, line number). A line goes if any earlier line, dropped or not,
-    is equal to it or one edit apart. Lines under MIN_CHARS characters stay, lines over MAX_CHARS are compared for
-    equality. Null texts stay null, a text that loses all lines is empty, no row goes; rows with the same key count as
+    is equal to it or one edit apart. Lines under MIN_CHARS characters stay. Null texts stay null, a text that loses all lines is empty, no row goes; rows with the same key count as
     one document. Adds n_lines and n_dropped, in place of columns of these names.
     """
     gone = dropped_lines(docs, key, text).groupBy("key").agg(F.collect_set("at").alias("_gone")).withColumnRenamed("key", "_key")

@@ -126,6 +126,25 @@ def test_line_dedup_matches_all_pairs(spark):
     assert sum(r["n_dropped"] for r in found) == len(gone)
 
 
+def test_line_dedup_of_very_long_lines(spark):
+    rng = random.Random(11)
+    a, b, c, d = ("".join(rng.choice("abcdé 漢") for _ in range(n)) for n in (65_536, 70_000, 140_001, 70_000))
+    rows = [(1, a), (2, b), (3, c), (4, d), (5, a + "x"), (6, b[:35_000] + "#" + b[35_001:]), (7, c[:-1]), (8, d[:5] + "##" + d[7:]), (9, "#" + b), (10, b[:69_000] + b[69_001:])]
+    found = {r["doc_id"]: r["n_dropped"] for r in linedup.dedup_lines(frame(spark, rows)).collect()}
+    assert found == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1, 8: 0, 9: 1, 10: 1}
+
+
+def test_line_dedup_halves_on_to_any_length(spark, monkeypatch):
+    monkeypatch.setattr(linedup, "LAST_CHARS", 4)
+    monkeypatch.setattr(linedup, "LEVENSHTEIN_CHARS", 0)
+    rng = random.Random(12)
+    bases = ["".join(rng.choice("ab") for _ in range(n)) for n in range(24, 84)]
+    lines = [x for t in bases for i in [rng.randrange(len(t))] for x in (t, t[:i] + "c" + t[i + 1 :], t[:i] + t[i + 1 :], t[:i] + "cc" + t[i + 1 :])]
+    rng.shuffle(lines)
+    found = {r["doc_id"]: r["n_dropped"] for r in linedup.dedup_lines(frame(spark, list(enumerate(lines)))).collect()}
+    assert found == {k: int(len(x) >= linedup.MIN_CHARS and any(len(y) >= linedup.MIN_CHARS and near(x, y) for y in lines[:k])) for k, x in enumerate(lines)}
+
+
 def test_line_dedup_of_nothing(spark):
     assert linedup.dedup_lines(frame(spark, [])).count() == 0
     assert linedup.dedup_lines(frame(spark, [(1, None)])).first()["text"] is None
