@@ -43,22 +43,44 @@ BEFORE = {"secret": r"(?:token|password|secret|api_?key)\s?[=:]\s?[\"']?"}
 SIGN = re.compile("[0-9@]|AKIA|token|password|secret|api_?key")
 #: Characters around a sign that are searched; no value is longer.
 AROUND = 600
-FIND = re.compile("|".join(f"{BEFORE.get(k, '')}(?P<{k}>{p})" for k, p in PATTERNS.items()))
+EACH = {k: re.compile(f"{BEFORE.get(k, '')}(?P<{k}>{p})") for k, p in PATTERNS.items()}
+FIND = re.compile("|".join(p.pattern for p in EACH.values()))
+#: Characters of a bank account by country; those of other countries end at any group.
+IBAN_CHARS = {c[:2]: int(c[2:]) for c in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29
+ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27
+MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23
+TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()}
 
 
-def places(text: str) -> Iterator[re.Match]:
-    """The matches of all patterns, searched for near signs only."""
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """The parts of ``text`` that are near signs."""
     start = end = -1
     for sign in SIGN.finditer(text):
         if sign.start() - AROUND > end:
             if end >= 0:
-                yield from FIND.finditer(text, start, end)
+                yield start, end
             start = max(0, sign.start() - AROUND)
         end = sign.end() + AROUND
     if end >= 0:
+        yield start, end
+
+
+def places(text: str) -> Iterator[re.Match]:
+    """The matches of all patterns, searched for near signs only."""
+    for start, end in windows(text):
         yield from FIND.finditer(text, start, end)
 
 
+def ends(kind: str, value: str) -> Iterator[int]:
+    """The lengths at which a match may end: an account's pattern also takes words that follow it, so it may end at any
+    group; those with the characters of its country come first, then the longest."""
+    if kind == "iban":
+        at = [len(value), *(m.start() for m in re.finditer(" ", value))]
+        yield from sorted(at, key=lambda n: (len(value[:n].replace(" ", "")) != IBAN_CHARS.get(value[:2]), -n))
+    else:
+        yield len(value)
+
+
 def feistel(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
     """A keyed permutation of 0 .. size - 1: unbalanced rounds over the mixed-radix halves of the value."""
     if size < 2:
@@ -203,17 +225,31 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
     return RULES[kind](value, key, back)
 
 
+def valid(m: re.Match, text: str, stop: int, key: bytes, back: bool) -> tuple[str, int, int, str] | None:
+    """(kind, start, end, pseudonym) of the first kind that is valid where ``m`` begins."""
+    for kind, pattern in EACH.items():
+        other = pattern.match(text, m.start(), stop)
+        if other:
+            begin = other.start(kind)
+            for n in ends(kind, other.group(kind)):
+                new = pseudonym(kind, other.group(kind)[:n], key, back)
+                if new is not None:
+                    return kind, begin, begin + n, new
+    return None
+
+
 def replaced(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """``text`` with pseudonyms, and (kind, start, end) of each in the original text."""
     out, spans, at = [], [], 0
-    for m in places(text):
-        kind = next(k for k in PATTERNS if m.group(k) is not None)
-        begin, end = m.span(kind)
-        new = pseudonym(kind, m.group(kind), key, back)
-        if new is not None:
-            out += [text[at:begin], new]
-            spans.append((kind, begin, end))
-            at = end
+    for start, stop in windows(text):
+        while m := FIND.search(text, start, stop):
+            found = valid(m, text, stop, key, back)
+            start = m.start() + 1
+            if found:
+                kind, begin, start, new = found
+                out += [text[at:begin], new]
+                spans.append((kind, begin, start))
+                at = start
     return "".join([*out, text[at:]]), spans
 
 
