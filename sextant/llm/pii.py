@@ -24,25 +24,30 @@ ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Dates are permuted among the days of these years.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
-DATE_FORMATS = {"ymd": (1, 2, 3), "dmy": (3, 2, 1)}
+#: Groups of year, month and day. A date that may be read both ways is day first.
+DATE_FORMATS = {"ymd": (1, 2, 3), "dmy": (3, 2, 1), "mdy": (3, 1, 2)}
 #: Patterns of the kinds, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"[A-Za-z0-9+/_-]{8,128}",
+    "secret": r"[A-Za-z0-9+/_-]{8,}",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
-    "ymd": r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)",
-    "dmy": r"(?<![\d./])(\d{2})[./](\d{2})[./](\d{4})(?![\d./]*\d)",
+    "ymd": r"(?<!\d)(\d{4})(?:-(?=\d+-)|/(?=\d+/)|\.(?=\d\d\.\d\d(?!\d)))(\d{1,2})[-/.](\d{1,2})(?!\d)",
+    "dmy": r"(?<![\d./])(\d{1,2})[./](\d{1,2})[./](\d{4})(?![\d./]*\d)",
+    "mdy": r"(?<![\d./])(\d{1,2})/(\d{1,2})/(\d{4})(?![\d./]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-]*\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
 }
 #: What stands before a secret, and signs one of which is in or before every value: most texts have none of them.
-BEFORE = {"secret": r"(?:token|password|secret|api_?key)\s?[=:]\s?[\"']?"}
-SIGN = re.compile("[0-9@]|AKIA|token|password|secret|api_?key")
-#: Characters around a sign that are searched; no value is longer.
+BEFORE = {"secret": r"(?i:token|password|secret|api_?key)\s?[=:]\s?[\"']?"}
+SIGN = re.compile("[0-9@]|AKIA|(?i:token|password|secret|api_?key)")
+#: Characters around a sign that are searched, and the run after them; no value begins further before its sign.
 AROUND = 600
+RUN = re.compile("[A-Za-z0-9+/_-]*")
+#: Longer texts are permuted in blocks of so many characters, each under a digest of the pseudonym before it.
+BLOCK = 512
 EACH = {k: re.compile(f"{BEFORE.get(k, '')}(?P<{k}>{p})") for k, p in PATTERNS.items()}
 FIND = re.compile("|".join(p.pattern for p in EACH.values()))
 #: Characters of a bank account by country; those of other countries end at any group.
@@ -56,13 +61,15 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
     """The parts of ``text`` that are near signs."""
     start = end = -1
     for sign in SIGN.finditer(text):
+        if end >= 0 and sign.start() - AROUND > end:
+            end = RUN.match(text, end).end()
         if sign.start() - AROUND > end:
             if end >= 0:
                 yield start, end
             start = max(0, sign.start() - AROUND)
-        end = sign.end() + AROUND
+        end = max(end, sign.end() + AROUND)
     if end >= 0:
-        yield start, end
+        yield start, RUN.match(text, end).end()
 
 
 def places(text: str) -> Iterator[re.Match]:
@@ -91,9 +98,9 @@ def feistel(value: int, size: int, key: bytes, tweak: str, back: bool = False) -
         left, right = divmod(x, a)
         for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
             if back:
-                left, right = (right - _round(key, tweak, i, left)) % a, left
+                left, right = (right - _round(key, tweak, i, left, a)) % a, left
             else:
-                left, right = right, (left + _round(key, tweak, i, right)) % a
+                left, right = right, (left + _round(key, tweak, i, right, a)) % a
         return left * a + right
 
     out = rounds(value)
@@ -102,8 +109,12 @@ def feistel(value: int, size: int, key: bytes, tweak: str, back: bool = False) -
     return out
 
 
-def _round(key: bytes, tweak: str, i: int, x: int) -> int:
-    return int.from_bytes(hmac.digest(key, f"{tweak}|{i}|{x}".encode(), hashlib.sha256)[:16], "big")
+def _round(key: bytes, tweak: str, i: int, x: int, a: int) -> int:
+    """A keyed number, at least 8 bytes longer than ``a``, so that no leading character of a long value stays."""
+    if a.bit_length() <= 64:
+        return int.from_bytes(hmac.digest(key, f"{tweak}|{i}|{x}".encode(), hashlib.sha256)[:16], "big")
+    seed = hmac.digest(key, f"{tweak}|{i}|{x:x}".encode(), hashlib.sha256)
+    return int.from_bytes(hashlib.shake_256(seed).digest(a.bit_length() // 8 + 9), "big")
 
 
 def luhn(digits: str) -> bool:
@@ -120,6 +131,14 @@ def mod97(iban: str) -> int:
 
 def permuted(text: str, key: bytes, tweak: str, back: bool = False) -> str:
     """``text`` with its ASCII digits and letters permuted, each within its class; other characters stay."""
+    if len(text) > BLOCK:
+        done: list[str] = []
+        for i in range(0, len(text), BLOCK):
+            # the block before in its permuted form, which is given on the way back
+            last = (text[i - BLOCK : i] if back else done[-1]) if i else ""
+            tweak = hmac.digest(key, f"{tweak}|{last}".encode(), hashlib.sha256).hex()
+            done.append(permuted(text[i : i + BLOCK], key, tweak, back))
+        return "".join(done)
     sets = [next((s for s in (DIGITS, LOWER, UPPER) if c in s), "") for c in text]
     size, value = 1, 0
     for c, s in zip(text, sets, strict=True):
@@ -183,11 +202,16 @@ def _date(v: str, key: bytes, back: bool, groups: tuple[str, ...], order: tuple[
         day = date(*(int(groups[k - 1]) for k in order))
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    if not FIRST_DAY <= day <= LAST_DAY or order == DATE_FORMATS["mdy"] and day.day <= 12:
         return None
-    n = (LAST_DAY - FIRST_DAY).days + 1
-    new = FIRST_DAY + timedelta(days=feistel((day - FIRST_DAY).days, n, key, "date", back))
-    fields = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
+    n, widths = (LAST_DAY - FIRST_DAY).days + 1, [len(g) for g in groups]
+    shown = lambda d: {order[0]: f"{d.year:04d}", **{k: f"{x:0{widths[k - 1]}d}" for k, x in zip(order[1:], (d.month, d.day), strict=True)}}
+    # walk on until the day has the same widths, and is no other day when it is read day first
+    inside = lambda d: all(len(x) == widths[k - 1] for k, x in shown(d).items()) and (order != DATE_FORMATS["mdy"] or d.day > 12)
+    new = day
+    while new is day or not inside(new):
+        new = FIRST_DAY + timedelta(days=feistel((new - FIRST_DAY).days, n, key, "date", back))
+    fields = shown(new)
     return _placed(v, "".join(fields[k] for k in sorted(fields)), DIGITS)
 
 

@@ -314,6 +314,28 @@ def test_values_beside_or_inside_rejected_ones_are_found(text, kept):
     assert pii.replaced(new, KEY, back=True)[0] == text
 
 
+@pytest.mark.parametrize("word", ["TOKEN = ", "Password: ", "API_KEY=", "secret='"])
+@pytest.mark.parametrize("n", [40, 300, 1300])
+def test_secrets_of_any_case_and_length(word, n):
+    rng = random.Random(n)
+    value = "".join(rng.choice("ABCDEFGHijklmnop") for _ in range(n))
+    text = f"{'plain ' * 300}{word}{value} {'plain ' * 300}"
+    new, spans = pii.replaced(text, KEY)
+    begin = text.index(value)
+    assert spans == [("secret", begin, begin + n)] and len(new) == len(text)
+    changed = [x != y for x, y in zip(new[begin : begin + n], value, strict=True)]
+    assert all(sum(changed[i : i + 20]) > 10 for i in range(0, n - 19, 20))
+    assert pii.replaced(new, KEY, back=True)[0] == text
+
+
+@pytest.mark.parametrize("value", ["2024/05/17", "2024.05.17", "2024-5-7", "05/31/2024", "5/31/2024", "1.2.2024", "1/12/2024", "10.5.2024"])
+def test_dates_of_other_layouts(value):
+    text = f"on {value}, and {value}"
+    new, spans = pii.replaced(text, KEY)
+    assert len(spans) == 2 and len(new) == len(text) and value not in new
+    assert new[3 : 3 + len(value)] == new[-len(value) :] and pii.replaced(new, KEY, back=True)[0] == text
+
+
 def test_pseudonymise_links_and_inverts(spark):
     rows = [(1, "mail a.b@x.org and a.b@x.org, 4111111111111111"), (2, "again a.b@x.org"), (3, None), (4, ""), (5, "plain " * 3000)]
     done = pii.pseudonymise(frame(spark, rows).withColumn("pii", F.lit(1)), KEY)
