@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import new_path, small_batches
 
 WINDOW = 13
 #: Words are runs of digits, letters a to z (after lower-casing A to Z) and every byte from 128 up.
@@ -62,13 +66,23 @@ class Items:
         return np.cumsum(edge[:-1]) > 0, owners
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str | None, str | None]]]:
-    """The items, in blocks of about ``block_bytes``: one block unless the checked size of all texts is larger."""
+def item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[str, list[int]]:
+    """The items written to the shared folder by blocks of about ``block_bytes``, and the numbers of the blocks: one unless
+    the checked size of all texts is larger."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[tuple(r) for r in rows.where(part == k).collect()] for k in range(n)]
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, -(-total // block_bytes)))))
+    path = new_path(benchmark.sparkSession, "items")
+    numbered.repartition("block").write.partitionBy("block").parquet(path)
+    found = benchmark.sparkSession.read.schema(numbered.schema).parquet(path).select("block").distinct().collect()
+    return path, sorted(r[0] for r in found)
+
+
+def block_items(path: str, block: int) -> list[tuple[str | None, str | None]]:
+    """One block, read from the shared folder by a task."""
+    at = re.sub("^file:/+", "/", path)
+    found = pyarrow.dataset.dataset(f"{at}/block={block}", format="parquet").to_table(columns=["item", "text"])
+    return list(zip(found["item"].to_pylist(), found["text"].to_pylist(), strict=True))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
@@ -84,27 +98,62 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     made = ["n_words", "n_hit", "item_ids", "spans", "contaminated"]
     given = docs.select(*([c for c in docs.columns if c not in made] if keep else dict.fromkeys([key, text])))
     rows = given.withColumns({"_marks": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>")})
-    for block in item_blocks(benchmark, item, item_text, block_bytes):
-        rows = _scan(rows, spark.sparkContext.broadcast(block), text, window)
+    rows = _scan(rows, *item_blocks(benchmark, item, item_text, block_bytes), text, window)
     rows = _spans(rows, text, given.columns if keep else [key])
     return rows
 
 
-def _scan(rows: DataFrame, block, text: str, window: int) -> DataFrame:
-    """Adds to ``_marks`` the indexes of the words that a window of the block covers, to ``_items`` its items."""
+def _scan(rows: DataFrame, path: str, blocks: list[int], text: str, window: int) -> DataFrame:
+    """Sets ``_marks`` to the indexes of the words that a window of any block covers, ``_items`` to the items.
+
+    A task holds one automaton at a time: with several blocks it keeps its rows in a local file until all have been
+    scanned for, and in memory the hits only.
+    """
     at = rows.columns.index(text)
 
+    def scanned(b: pa.RecordBatch, items: Items, hits: dict[int, tuple[set[int], set[str]]], first: int) -> None:
+        for i, x in enumerate(b.column(at).to_pylist(), first):
+            hit, who = items.scan(words(x))
+            if hit.any():
+                marks, owners = hits.setdefault(i, (set(), set()))
+                marks.update(np.flatnonzero(hit).tolist())
+                owners.update(who)
+
+    def marked(b: pa.RecordBatch, hits: dict[int, tuple[set[int], set[str]]], first: int) -> pa.RecordBatch:
+        found = [hits.get(i) for i in range(first, first + b.num_rows)]
+        marks, owners = ([None if x is None else sorted(x[k]) for x in found] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(marks, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.string()))], b.schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(block.value, window)
-        for b in batches:
-            n = b.num_columns
-            marks, owners = b.column(n - 2).to_pylist(), b.column(n - 1).to_pylist()
-            for i, x in enumerate(b.column(at).to_pylist()):
-                hit, who = items.scan(words(x))
-                if hit.any():
-                    marks[i] = sorted({*(marks[i] or []), *np.flatnonzero(hit).tolist()})
-                    owners[i] = sorted({*(owners[i] or []), *who})
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(marks, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.string()))], b.schema.names)
+        if len(blocks) < 2:
+            items = Items(block_items(path, blocks[0]) if blocks else [], window)
+            for b in batches:
+                hits: dict[int, tuple[set[int], set[str]]] = {}
+                scanned(b, items, hits, 0)
+                yield marked(b, hits, 0)
+            return
+        with tempfile.TemporaryDirectory(prefix="spark-scan-") as folder:
+            kept = Path(folder, "rows")
+            writer = None
+            for b in batches:
+                writer = writer or pa.ipc.new_stream(str(kept), b.schema)
+                writer.write_batch(b)
+            if writer is None:
+                return
+            writer.close()
+            hits = {}
+            for block in blocks:
+                items, first = Items(block_items(path, block), window), 0
+                with pa.OSFile(str(kept)) as f:
+                    for b in pa.ipc.open_stream(f):
+                        scanned(b, items, hits, first)
+                        first += b.num_rows
+                del items
+            first = 0
+            with pa.OSFile(str(kept)) as f:
+                for b in pa.ipc.open_stream(f):
+                    yield marked(b, hits, first)
+                    first += b.num_rows
 
     return rows.mapInArrow(run, rows.schema)
 

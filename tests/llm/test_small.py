@@ -172,6 +172,16 @@ def brute_hits(text, items, window=13):
     return len(words), len(hit), sorted(owners)
 
 
+def test_blocks_of_items_stay_off_the_driver(spark, monkeypatch):
+    items = frame(spark, [(i, f"{ITEM} {i}") for i in range(40)]).withColumnRenamed("doc_id", "item_id")
+    path, blocks = decontam.item_blocks(items, "item_id", "text", 200)
+    assert len(blocks) > 5 and sum(len(decontam.block_items(path, k)) for k in blocks) == 40
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("items are broadcast"))
+    found = decontam.contamination(frame(spark, [(1, ITEM), (2, "none"), (3, f"{ITEM} 7")]), items, block_bytes=200)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    assert {r["doc_id"]: len(r["item_ids"]) for r in found.collect()} == {1: 40, 2: 0, 3: 40}
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 40])
 def test_contamination_matches_brute_force(spark, block_bytes):
     items = [(1, ITEM), (2, "short ITEM"), (3, None), (10, "é ü 漢字"), (11, ITEM)]
