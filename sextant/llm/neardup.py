@@ -2,21 +2,22 @@
 
 A document's set of five-word shingles has a signature of K symbols of 16 bits, each the low bits of a minimum. The
 signature is cut into chunks; by the pigeonhole principle two signatures that differ in at most
-``len(chunks) * (ERRORS + 1) - 1`` symbols have a chunk with at most ERRORS errors. For every chunk and every choice of
+``K / CHUNK * (ERRORS + 1) - 1`` symbols have a chunk with at most ERRORS errors. For every chunk and every choice of
 ERRORS positions, the other positions are hashed to a key: all pairs under that distance share a key. With K = 24,
 chunks of 4 and 2 errors the distance is 17, and a pair of similarity 0.75 (mean distance 6) lies above it with a
 probability of 4e-7. Pairs that share a key must also be near in a longer signature of SKETCH symbols of 2 bits, which
 tells apart documents that only share a common passage; they are then confirmed on their full sets.
 
 Groups may be large, so not all pairs of a key are tried: a hub of each key is compared with the others, what is linked
-becomes one component, and only keys that still hold several components go on, with 64 times as many hubs each
-round. A pair is left out only when both are in one component already, or were compared.
+becomes one component, and only keys that still hold several components go on, with GROWTH times as many hubs each
+round. A pair is tried under the first key that it shares only. It is left out only when both are in one component
+already, or were compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,22 @@ K = 24
 CHUNK = 4
 ERRORS = 2
 SALTS = 64
-#: Symbols of 2 bits for the pair filter. A pair of similarity 0.75 differs in 12 of them; more than MOST has a
-#: probability of 1e-7.
-SKETCH = 64
-MOST = 30
+#: Hubs of a key from one round to the next.
+GROWTH = 8
+#: Symbols of 2 bits for the pair filter. A pair of similarity 0.75 differs in 24 of them; more than MOST has a
+#: probability of 2e-7.
+SKETCH = 128
+MOST = 48
+#: Shingles whose minima are taken at once: what a processor's cache holds.
+AT_ONCE = 1 << 15
 _RNG = np.random.default_rng(20_240_601)
 _MUL = _RNG.integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, SKETCH, dtype=np.uint64)
+_XOR = _RNG.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Columns of a node: chunks of the signature, parts of the sketch; each is a long.
+CHUNKS = [f"g{i}" for i in range(K // CHUNK)]
+PARTS = [f"s{i}" for i in range(SKETCH // 32)]
+PLACES = list(combinations(range(CHUNK), CHUNK - ERRORS))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -46,50 +55,57 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The distinct shingles as sorted 64-bit hashes; fewer than ``size`` words are one shingle, none give none."""
-    found = words(text)
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
+def rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each ``size`` neighbours of ``h``."""
+    out = np.full(len(h) - size + 1, size, np.uint64)
+    for i in range(size):
         out = (out ^ h[i : i + len(out)]) * _MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
 
 
-def minima(shingle_set: np.ndarray) -> np.ndarray:
-    """The mixed minima of the set under SKETCH hash functions."""
-    low = np.empty(SKETCH, np.uint64)
-    for k in range(SKETCH):
-        x = shingle_set * _MUL[k] + _ADD[k]
-        x ^= x >> np.uint64(32)
-        low[k] = (x * _MIX).min()
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes; fewer than ``size`` words are one shingle, none give
+    none. Each distinct word of all the texts is hashed once."""
+    found = [words(x) for x in texts]
+    every = list(chain.from_iterable(found))
+    hashes = {w: xxhash.xxh3_64_intdigest(w) for w in set(every)}
+    h = np.fromiter(map(hashes.__getitem__, every), np.uint64, len(every))
+    whole = rolled(h, size) if len(h) >= size else h[:0]
+    sets, at = [], 0
+    for n in map(len, found):
+        sets.append(np.unique(whole[at : at + n - size + 1]) if n >= size else rolled(h[at : at + n], n) if n else h[:0])
+        at += n
+    return sets
+
+
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """The mixed minima of each set (none of them empty) under SKETCH hash functions: (sets, SKETCH)."""
+    low = np.empty((len(sets), SKETCH), np.uint64)
+    first = 0
+    while first < len(sets):
+        last, total = first, 0
+        while last < len(sets) and (last == first or total + len(sets[last]) <= AT_ONCE):
+            total += len(sets[last])
+            last += 1
+        flat = np.concatenate(sets[first:last])
+        starts = np.cumsum([0, *map(len, sets[first : last - 1])])
+        for k in range(SKETCH):
+            low[first:last, k] = np.minimum.reduceat((flat ^ _XOR[k]) * _MUL[k], starts)
+        first = last
     low = (low ^ (low >> np.uint64(31))) * _MIX
     return low ^ (low >> np.uint64(29))
 
 
-def signature(low: np.ndarray) -> np.ndarray:
-    """16 bits of the first K minima."""
-    return (low[:K] >> np.uint64(48)).astype(np.uint16)
+def signatures(low: np.ndarray) -> np.ndarray:
+    """16 bits of the first K minima, four in a long: (sets, K / 4)."""
+    return np.ascontiguousarray((low[:, :K] >> np.uint64(48)).astype("<u2")).view("<i8")
 
 
-def sketch(low: np.ndarray) -> tuple[int, int]:
-    """2 bits of each of the minima, as two longs."""
+def sketches(low: np.ndarray) -> np.ndarray:
+    """2 bits of each of the minima, 32 in a long: (sets, SKETCH / 32)."""
     bits = (low & np.uint64(3)) << (np.arange(SKETCH, dtype=np.uint64) * np.uint64(2) % np.uint64(64))
-    return tuple(signed(int(np.bitwise_or.reduce(h))) for h in bits.reshape(2, -1))
-
-
-def keys(sig: np.ndarray) -> list[int]:
-    """A key for each chunk and each choice of ERRORS positions in it that may differ."""
-    out = []
-    for c in range(0, K, CHUNK):
-        for kept in combinations(range(CHUNK), CHUNK - ERRORS):
-            seed = (c << 8) | sum(1 << i for i in kept)
-            out.append(xxhash.xxh3_64_intdigest(sig[[c + i for i in kept]].tobytes(), seed) - 2**63)
-    return out
+    return np.bitwise_or.reduce(bits.reshape(len(low), -1, 32), axis=2).view(np.int64)
 
 
 def signed(x: int) -> int:
@@ -97,47 +113,85 @@ def signed(x: int) -> int:
 
 
 def shingle_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, node, keys, print, s1, s2): set size, the set's 64-bit hash (none for an empty set), its signature's keys,
-    the text's own hash, which is that of Spark's xxhash64, and its sketch s1, s2."""
+    """(id, n, node, print, chunks and parts) for each row: set size, the set's 64-bit hash (none for an empty set), the
+    text's own hash, which is that of Spark's xxhash64, its signature and its sketch."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
+    longs = [*CHUNKS, *PARTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, key_lists, own, s1, s2 = [], [], [], [], [], []
-            for x in b.column(1).to_pylist():
-                s = shingles(x)
-                n.append(len(s))
-                node.append(signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None)
-                low = minima(s) if len(s) else None
-                key_lists.append(keys(signature(low)) if len(s) else [])
-                for column, half in zip((s1, s2), sketch(low) if len(s) else (0, 0), strict=True):
-                    column.append(half)
-                own.append(signed(xxhash.xxh64_intdigest((x or "").encode(), 42)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(key_lists, pa.list_(pa.int64())), pa.array(own, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], [key, "n", "node", "keys", "print", "s1", "s2"])
+            texts = b.column(1).to_pylist()
+            sets = shingle_sets(texts)
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            full = np.flatnonzero(n)
+            node, own = np.zeros(len(sets), np.int64), np.zeros((len(sets), len(longs)), np.int64)
+            if len(full):
+                low = minima([sets[i] for i in full])
+                own[full] = np.concatenate([signatures(low), sketches(low)], axis=1)
+                node[full] = [signed(xxhash.xxh3_64_intdigest(sets[i].tobytes())) for i in full]
+            prints = [signed(xxhash.xxh64_intdigest((x or "").encode(), 42)) for x in texts]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n), pa.array(node, mask=n == 0), pa.array(prints, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in own.T)],
+                ["id", "n", "node", "print", *longs],
+            )
+
+    kinds = ", ".join(f"{c} long" for c in longs)
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, node long, print long, {kinds}")
+
+
+def unequal(a: Column, b: Column) -> Column:
+    """Four bits: which of the four symbols in two longs differ."""
+    x = a.bitwiseXOR(b)
+    for k in (8, 4, 2, 1):  # the lowest bit of a symbol gathers its others
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    bit = lambda i: F.shiftrightunsigned(x, 15 * i).bitwiseAND(F.lit(1 << i).cast("long"))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3)).cast("int")
+
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, node long, keys array<long>, print long, s1 long, s2 long")
+def first_shared(a: list[Column], b: list[Column]) -> Column:
+    """The number of the first key that two signatures share; null if there is none."""
+
+    def number(chunk: int, differ: int) -> int | None:
+        return next((chunk * len(PLACES) + i for i, p in enumerate(PLACES) if not any(differ >> k & 1 for k in p)), None)
+
+    tables = [F.array(*(F.lit(number(c, m)).cast("int") for m in range(1 << CHUNK))) for c in range(len(a))]
+    return F.coalesce(*(F.get(t, unequal(x, y)) for t, x, y in zip(tables, a, b, strict=True)))
+
+
+def key_marks(nodes: DataFrame) -> DataFrame:
+    """(key, number, node): for each chunk and each choice of positions that must agree, a hash of these."""
+    masks = [sum(0xFFFF << 16 * i for i in p) for p in PLACES]
+    keys = [F.struct(F.xxhash64(F.lit(c * len(PLACES) + i), F.col(g).bitwiseAND(F.lit(signed(m)).cast("long"))).alias("key"), F.lit(c * len(PLACES) + i).alias("number")) for c, g in enumerate(CHUNKS) for i, m in enumerate(masks)]
+    return nodes.select(F.explode(F.array(*keys)).alias("k"), "node").select("k.key", "k.number", "node")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union. ``texts``: (node, text)."""
-    left = pairs.join(texts.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b")
-    both = left.join(texts.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    """The (a, b) of ``pairs`` (hub, node) whose full sets have 100 * intersection >= percent * union. ``texts``: (node,
+    text). A hub's text goes once to each task part that compares it, before those of its partners."""
+    salted = pairs.select("hub", "node", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    others = salted.join(texts, "node").select("hub", "salt", F.col("node").alias("other"), "text")
+    own = salted.select("hub", "salt").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("other"), "text")
+    dealt = own.unionByName(others).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("other").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.empty(0, np.uint64)
+        hub_set = np.empty(0, np.uint64)
         for batch in batches:
+            a, b, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             good = []
-            a, texts_a, texts_b = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
-            for i, node in enumerate(a):
-                if node != last:  # rows of one hub follow each other
-                    last, own = node, shingles(texts_a[i].as_py())
-                other = shingles(texts_b[i].as_py())
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                good.append(100 * common >= percent * (len(own) + len(other) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for other, s in zip(b, shingle_sets(texts), strict=True):
+                if other is None:
+                    hub_set = s
+                    good.append(False)
+                    continue
+                both = np.concatenate([hub_set, s])
+                both.sort(kind="stable")  # two sorted runs
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                good.append(100 * common >= percent * (len(both) - common))
+            low, high = ([f(x, y) for x, y, g in zip(a, b, good, strict=True) if g] for f in (min, max))
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -159,13 +213,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.unionByName(roots).toDF("node", "root")
 
 
-def multiple(rows: DataFrame, value: str | None = None) -> DataFrame:
-    """The rows of keys with two rows or more, or with two values or more of ``value``."""
+def multiple(rows: DataFrame, value: str) -> DataFrame:
+    """The rows of keys with two values or more of ``value``."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    if value is None:
-        parts = salted.groupBy("key", "_salt").agg(F.count("*").alias("n_rows")).groupBy("key").agg(F.sum("n_rows").alias("n_rows"), F.collect_list("_salt").alias("_salts")).where("n_rows > 1")
-    else:
-        parts = salted.groupBy("key", "_salt").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("_salt").alias("_salts")).where("lo <> hi")
+    parts = salted.groupBy("key", "_salt").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    parts = parts.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("_salt").alias("_salts")).where("lo <> hi")
     return salted.join(parts.select("key", F.explode("_salts").alias("_salt")), ["key", "_salt"]).select(*rows.columns)
 
 
@@ -176,17 +228,20 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def hub_pairs(rows: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of each key's hubs with its nodes of other components, a < b, whose sizes and sketches allow a link;
-    and the hubs."""
+    """Pairs (hub, node) of each key's hubs with its nodes of other components, whose sizes and sketches allow a link,
+    under the first key that both share; and the hubs (key, node)."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     slot = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(hubs))
-    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "n", "s1", "s2", "root")).alias("hub")).select("key", "hub")
+    of_hub = ["node", "n", "root", *CHUNKS, *PARTS]
+    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(*of_hub)).alias("hub")).select("key", "hub")
     salts = salted.groupBy("key").agg(F.collect_set("_salt").alias("_salts"))
-    spread = hub.join(salts, "key").select("key", F.explode("_salts").alias("_salt"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "s1", "s2", "root")))
+    spread = hub.join(salts, "key").select("key", F.explode("_salts").alias("_salt"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in of_hub))
     near = (F.col("root") != F.col("hub_root")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    near = near & (differing(F.col("s1"), F.col("hub_s1")) + differing(F.col("s2"), F.col("hub_s2")) <= MOST)
+    apart = [differing(F.col(p), F.col(f"hub_{p}")) for p in PARTS]
+    near = near & (sum(apart[1:], apart[0]) <= MOST)
+    near = near & (first_shared([F.col(g) for g in CHUNKS], [F.col(f"hub_{g}") for g in CHUNKS]) == F.col("number"))
     found = salted.join(spread, ["key", "_salt"]).where(near)
-    return found.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct(), hub.select("key", F.col("hub.node").alias("node"))
+    return found.select(F.col("hub_node").alias("hub"), "node"), hub.select("key", F.col("hub.node").alias("node"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -194,53 +249,51 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     Rows are linked where 100 * intersection >= ``percent`` * union of their sets of five-word shingles;
     component_id is the smallest key of all rows that links lead to, kept is key = component_id. Texts without words,
-    and null texts, are linked with nothing. Repeated rows are linked like other copies; rows with a null key are
-    linked with rows of the same set only. An empty table gives an empty result.
+    and null texts, are linked with nothing; very long texts are compared whole. Repeated rows are linked like other
+    copies; rows with a null key are linked with rows of the same set only. An empty table gives an empty result.
+    Other columns are not read, whatever their names.
     """
-    spark = docs.sparkSession
     rows = written(shingle_rows(docs, key, text), "shingles")
     # one node for each distinct set
-    found = group_min(rows.where("node is not null"), "node", key, "_least", salt_on=key)
-    own = written(found.select(key, "n", "node", "_least", "print", "s1", "s2"), "nodes")
-    is_least = F.col(key).eqNullSafe(F.col("_least"))
-    one = own.where(is_least).select("node", F.col("n").cast("int").alias("n"), "s1", "s2").dropDuplicates(["node"])
-    marks = found.where(is_least).select(F.explode("keys").alias("key"), "node").distinct()
-    buckets = written(multiple(marks).join(one, "node").select("key", "node", "n", "s1", "s2", F.col("node").alias("root")), "buckets")
-    labels = None
-    if not buckets.isEmpty():
-        texts = node_texts(docs, key, text, own, buckets)
-        labels = linked(buckets, texts, percent)
-    nodes = own.select(key, "n", "node", "_least")
-    if labels is None:
+    own = written(group_min(rows.where("node is not null"), "node", "id", "_least", salt_on="id"), "nodes")
+    is_least = F.col("id").eqNullSafe(F.col("_least"))
+    one = own.where(is_least).select("node", F.col("n").cast("int").alias("n"), *CHUNKS, *PARTS).dropDuplicates(["node"])
+    marks = multiple(key_marks(one), "node")
+    buckets = written(marks.join(one, "node").select("key", "number", "node", "n", *CHUNKS, *PARTS, F.col("node").alias("root")), "buckets")
+    nodes = own.select("id", "n", "node", "_least")
+    if buckets.isEmpty():
         done = nodes.withColumn("component_id", F.col("_least"))
     else:
+        labels = linked(buckets, node_texts(docs, key, text, own, buckets), percent)
         named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        done = group_min(named, "root", "_least", "component_id", salt_on=key)
-    done = done.select(key, F.col("n").alias("n_shingles"), "component_id")
-    empty = rows.where("node is null").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
-    return done.unionByName(empty).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+        done = group_min(named, "root", "_least", "component_id", salt_on="id")
+    done = done.select("id", "n", "component_id")
+    empty = rows.where("node is null").select("id", "n", F.col("id").alias("component_id"))
+    every = done.unionByName(empty)
+    return every.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def node_texts(docs: DataFrame, key: str, text: str, own: DataFrame, buckets: DataFrame) -> DataFrame:
     """(node, text) of the nodes that share a key with another."""
-    wanted = own.where(F.col(key).eqNullSafe(F.col("_least"))).join(buckets.select("node").distinct(), "node", "left_semi").select(key, "node", "print").distinct()
-    found = docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(text).alias("print")).join(wanted, [key, "print"])
-    return written(found.select("node", "text").dropDuplicates(["node"]), "texts")
+    wanted = own.where(F.col("id").eqNullSafe(F.col("_least"))).join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "print")).alias("x"))
+    wanted = wanted.select("node", "x.id", "x.print")
+    found = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
+    return written(found.join(wanted, found["id"].eqNullSafe(wanted["id"]) & (found["print"] == wanted["print"])).select("node", "text").dropDuplicates(["node"]), "texts")
 
 
-def linked(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) for all nodes that have a link; None without links."""
+def linked(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(node, root) for all nodes that have a link."""
     labels, hubs = None, 1
     while True:
         pairs, hub_rows = hub_pairs(buckets, hubs, percent)
-        links = confirmed(pairs, texts, percent)
+        links = confirmed(written(pairs, "pairs"), texts, percent)
         labels = components(links if labels is None else links.unionByName(labels.toDF("a", "b").where("a <> b")))
         rest = buckets.drop("root").join(hub_rows, ["key", "node"], "left_anti").join(labels, "node", "left")
         rest = multiple(rest.withColumn("root", F.coalesce("root", "node")), "root")
-        buckets = written(rest.select("key", "node", "n", "s1", "s2", "root"), "buckets")
+        buckets = written(rest.select("key", "number", "node", "n", *CHUNKS, *PARTS, "root"), "buckets")
         if buckets.isEmpty():
             return labels
-        hubs *= 64
+        hubs *= GROWTH
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
