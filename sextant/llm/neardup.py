@@ -11,12 +11,13 @@ tells apart documents that only share a common passage; they are then confirmed
 Groups may be large, so not all pairs of a key are tried: a hub of each key is compared with the others, what is linked
 becomes one component, and only keys that still hold several components go on, with GROWTH times as many hubs each
 round. A pair is tried under the first key that it shares only. It is left out only when both are in one component
-already, or were compared.
+already, or were compared. A first pass over few keys joins most of a large group, whose other keys then hold one
+component and go no further.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain, combinations
 
 import numpy as np
@@ -48,6 +49,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNKS = [f"g{i}" for i in range(K // CHUNK)]
 PARTS = [f"s{i}" for i in range(SKETCH // 32)]
 PLACES = list(combinations(range(CHUNK), CHUNK - ERRORS))
+#: Keys of a first pass, which joins most of a large group before all keys are made.
+PILOT = (0, 2 * len(PLACES), 4 * len(PLACES))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -149,21 +152,22 @@ def unequal(a: Column, b: Column) -> Column:
     return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3)).cast("int")
 
 
-def first_shared(a: list[Column], b: list[Column]) -> Column:
-    """The number of the first key that two signatures share; null if there is none."""
+def first_shared(a: list[Column], b: list[Column], numbers: list[int]) -> Column:
+    """The first of the key ``numbers`` that two signatures share; null if there is none."""
 
     def number(chunk: int, differ: int) -> int | None:
-        return next((chunk * len(PLACES) + i for i, p in enumerate(PLACES) if not any(differ >> k & 1 for k in p)), None)
+        return next((k for i, p in enumerate(PLACES) if (k := chunk * len(PLACES) + i) in numbers and not any(differ >> x & 1 for x in p)), None)
 
     tables = [F.array(*(F.lit(number(c, m)).cast("int") for m in range(1 << CHUNK))) for c in range(len(a))]
     return F.coalesce(*(F.get(t, unequal(x, y)) for t, x, y in zip(tables, a, b, strict=True)))
 
 
-def key_marks(nodes: DataFrame) -> DataFrame:
-    """(key, number, node): for each chunk and each choice of positions that must agree, a hash of these."""
+def key_marks(nodes: DataFrame, numbers: list[int]) -> DataFrame:
+    """(key, number, node, root): for each chunk and each choice of positions that must agree, a hash of these."""
     masks = [sum(0xFFFF << 16 * i for i in p) for p in PLACES]
-    keys = [F.struct(F.xxhash64(F.lit(c * len(PLACES) + i), F.col(g).bitwiseAND(F.lit(signed(m)).cast("long"))).alias("key"), F.lit(c * len(PLACES) + i).alias("number")) for c, g in enumerate(CHUNKS) for i, m in enumerate(masks)]
-    return nodes.select(F.explode(F.array(*keys)).alias("k"), "node").select("k.key", "k.number", "node")
+    part = lambda n: F.col(CHUNKS[n // len(PLACES)]).bitwiseAND(F.lit(signed(masks[n % len(PLACES)])).cast("long"))
+    keys = [F.struct(F.xxhash64(F.lit(n), part(n)).alias("key"), F.lit(n).alias("number")) for n in numbers]
+    return nodes.select(F.explode(F.array(*keys)).alias("k"), "node", "root").select("k.key", "k.number", "node", "root")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -213,12 +217,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.unionByName(roots).toDF("node", "root")
 
 
-def multiple(rows: DataFrame, value: str) -> DataFrame:
-    """The rows of keys with two values or more of ``value``."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy("key", "_salt").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    parts = parts.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("_salt").alias("_salts")).where("lo <> hi")
-    return salted.join(parts.select("key", F.explode("_salts").alias("_salt")), ["key", "_salt"]).select(*rows.columns)
+def multiple(rows: DataFrame) -> DataFrame:
+    """The rows of keys with two components or more. Counting combines before the shuffle, and a key with most of the
+    rows meets one row only, so that Spark can split it."""
+    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return rows.join(several.select("key"), "key", "left_semi")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -227,21 +230,19 @@ def differing(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
-def hub_pairs(rows: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def hub_pairs(rows: DataFrame, nodes: DataFrame, numbers: list[int], hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (hub, node) of each key's hubs with its nodes of other components, whose sizes and sketches allow a link,
-    under the first key that both share; and the hubs (key, node)."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    under the first key that both share; and the hubs (key, node). ``rows``: (key, number, node, root)."""
+    of_node = ["n", *CHUNKS, *PARTS]
     slot = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(hubs))
-    of_hub = ["node", "n", "root", *CHUNKS, *PARTS]
-    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(*of_hub)).alias("hub")).select("key", "hub")
-    salts = salted.groupBy("key").agg(F.collect_set("_salt").alias("_salts"))
-    spread = hub.join(salts, "key").select("key", F.explode("_salts").alias("_salt"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in of_hub))
+    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
+    wide = hub.join(nodes.select(F.col("node").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in of_node)), "hub")
     near = (F.col("root") != F.col("hub_root")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
     apart = [differing(F.col(p), F.col(f"hub_{p}")) for p in PARTS]
     near = near & (sum(apart[1:], apart[0]) <= MOST)
-    near = near & (first_shared([F.col(g) for g in CHUNKS], [F.col(f"hub_{g}") for g in CHUNKS]) == F.col("number"))
-    found = salted.join(spread, ["key", "_salt"]).where(near)
-    return found.select(F.col("hub_node").alias("hub"), "node"), hub.select("key", F.col("hub.node").alias("node"))
+    near = near & (first_shared([F.col(g) for g in CHUNKS], [F.col(f"hub_{g}") for g in CHUNKS], numbers) == F.col("number"))
+    found = rows.join(nodes.select("node", *of_node), "node").join(wide, "key").where(near)
+    return found.select("hub", "node"), hub.select("key", F.col("hub").alias("node"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -257,14 +258,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     # one node for each distinct set
     own = written(group_min(rows.where("node is not null"), "node", "id", "_least", salt_on="id"), "nodes")
     is_least = F.col("id").eqNullSafe(F.col("_least"))
-    one = own.where(is_least).select("node", F.col("n").cast("int").alias("n"), *CHUNKS, *PARTS).dropDuplicates(["node"])
-    marks = multiple(key_marks(one), "node")
-    buckets = written(marks.join(one, "node").select("key", "number", "node", "n", *CHUNKS, *PARTS, F.col("node").alias("root")), "buckets")
+    one = written(own.where(is_least).select("node", F.col("n").cast("int").alias("n"), *CHUNKS, *PARTS).dropDuplicates(["node"]), "sets")
+    labels = linked(docs, key, text, own, one, None, PILOT, percent, 2)
+    labels = linked(docs, key, text, own, one, labels, range(len(CHUNKS) * len(PLACES)), percent)
     nodes = own.select("id", "n", "node", "_least")
-    if buckets.isEmpty():
+    if labels is None:
         done = nodes.withColumn("component_id", F.col("_least"))
     else:
-        labels = linked(buckets, node_texts(docs, key, text, own, buckets), percent)
         named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         done = group_min(named, "root", "_least", "component_id", salt_on="id")
     done = done.select("id", "n", "component_id")
@@ -281,19 +281,26 @@ def node_texts(docs: DataFrame, key: str, text: str, own: DataFrame, buckets: Da
     return written(found.join(wanted, found["id"].eqNullSafe(wanted["id"]) & (found["print"] == wanted["print"])).select("node", "text").dropDuplicates(["node"]), "texts")
 
 
-def linked(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(node, root) for all nodes that have a link."""
-    labels, hubs = None, 1
+def linked(docs: DataFrame, key: str, text: str, own: DataFrame, nodes: DataFrame, labels: DataFrame | None, numbers: Sequence[int], percent: int, rounds: int | None = None) -> DataFrame | None:
+    """(node, root) for the nodes that have a link, from ``labels`` on, by the keys ``numbers``: all links, or those found
+    in ``rounds``. None if no two nodes share a key."""
+    rooted = nodes.withColumn("root", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    buckets = written(multiple(key_marks(rooted, list(numbers))), "buckets")
+    if buckets.isEmpty():
+        return labels
+    texts = node_texts(docs, key, text, own, buckets)
+    hubs = 1
     while True:
-        pairs, hub_rows = hub_pairs(buckets, hubs, percent)
+        pairs, hub_rows = hub_pairs(buckets, nodes, list(numbers), hubs, percent)
         links = confirmed(written(pairs, "pairs"), texts, percent)
         labels = components(links if labels is None else links.unionByName(labels.toDF("a", "b").where("a <> b")))
+        hubs *= GROWTH
+        if rounds and hubs >= GROWTH**rounds:
+            return labels
         rest = buckets.drop("root").join(hub_rows, ["key", "node"], "left_anti").join(labels, "node", "left")
-        rest = multiple(rest.withColumn("root", F.coalesce("root", "node")), "root")
-        buckets = written(rest.select("key", "number", "node", "n", *CHUNKS, *PARTS, "root"), "buckets")
+        buckets = written(multiple(rest.select("key", "number", "node", F.coalesce("root", "node").alias("root"))), "buckets")
         if buckets.isEmpty():
             return labels
-        hubs *= GROWTH
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
