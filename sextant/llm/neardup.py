@@ -198,23 +198,38 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def starred(edges: DataFrame) -> DataFrame:
+    """One step of alternating stars: ``edges`` (u, v), u > v, that connect the same nodes with fewer steps, written."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = group_min(both, "u", "v", "m", salt_on="v").withColumn("m", F.least("m", "u"))
+    e = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    small = group_min(e, "u", "v", "m", salt_on="v")
+    ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
+    return written(small.select(F.explode(ends).alias("x")).select("x.*").where("u <> v").distinct(), "stars")
+
+
+def downward(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) as distinct (u, v), u > v, written."""
+    return written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+
+
+def named(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest neighbour of each node that has a smaller one. After the last step this is the smallest
+    node of its component, before that some node of it."""
+    return edges.groupBy("u").agg(F.min("v").alias("v")).toDF("node", "root")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): the smallest node of its component, by alternating stars."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = written(e, "edges")
+    """(node, root) for the nodes of ``edges`` (u, v), u > v, but the roots themselves: the smallest node of their
+    component, by steps of alternating stars until nothing changes."""
     print_of = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    now = print_of(e)
+    now = print_of(edges)
     while now[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = group_min(both, "u", "v", "m", salt_on="v").withColumn("m", F.least("m", "u"))
-        e = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = group_min(e, "u", "v", "m", salt_on="v")
-        e = written(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct(), "stars")
-        before, now = now, print_of(e)
+        edges = starred(edges)
+        before, now = now, print_of(edges)
         if before == now:
             break
-    roots = e.select(F.col("v").alias("u"), "v").distinct()
-    return e.unionByName(roots).toDF("node", "root")
+    return named(edges)
 
 
 def multiple(rows: DataFrame) -> DataFrame:
@@ -259,14 +274,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     own = written(group_min(rows.where("node is not null"), "node", "id", "_least", salt_on="id"), "nodes")
     is_least = F.col("id").eqNullSafe(F.col("_least"))
     one = written(own.where(is_least).select("node", F.col("n").cast("int").alias("n"), *CHUNKS, *PARTS).dropDuplicates(["node"]), "sets")
-    labels = linked(docs, key, text, own, one, None, PILOT, percent, 2)
-    labels = linked(docs, key, text, own, one, labels, range(len(CHUNKS) * len(PLACES)), percent)
+    edges = linked(docs, key, text, own, one, None, PILOT, percent, 2)
+    edges = linked(docs, key, text, own, one, edges, range(len(CHUNKS) * len(PLACES)), percent)
     nodes = own.select("id", "n", "node", "_least")
-    if labels is None:
+    if edges is None:
         done = nodes.withColumn("component_id", F.col("_least"))
     else:
-        named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        done = group_min(named, "root", "_least", "component_id", salt_on="id")
+        found = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        done = group_min(found, "root", "_least", "component_id", salt_on="id")
     done = done.select("id", "n", "component_id")
     empty = rows.where("node is null").select("id", "n", F.col("id").alias("component_id"))
     every = done.unionByName(empty)
@@ -281,26 +296,31 @@ def node_texts(docs: DataFrame, key: str, text: str, own: DataFrame, buckets: Da
     return written(found.join(wanted, found["id"].eqNullSafe(wanted["id"]) & (found["print"] == wanted["print"])).select("node", "text").dropDuplicates(["node"]), "texts")
 
 
-def linked(docs: DataFrame, key: str, text: str, own: DataFrame, nodes: DataFrame, labels: DataFrame | None, numbers: Sequence[int], percent: int, rounds: int | None = None) -> DataFrame | None:
-    """(node, root) for the nodes that have a link, from ``labels`` on, by the keys ``numbers``: all links, or those found
-    in ``rounds``. None if no two nodes share a key."""
-    rooted = nodes.withColumn("root", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def linked(docs: DataFrame, key: str, text: str, own: DataFrame, nodes: DataFrame, edges: DataFrame | None, numbers: Sequence[int], percent: int, rounds: int | None = None) -> DataFrame | None:
+    """Edges (u, v) that connect what is linked, from ``edges`` on, by the keys ``numbers``: all links, or those found in
+    ``rounds``. None if no two nodes share a key.
+
+    Each round takes one step of alternating stars only: nodes of one component that do not have the same name yet are
+    merely compared again.
+    """
+    rooted = nodes.withColumn("root", F.col("node")) if edges is None else nodes.join(named(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     buckets = written(multiple(key_marks(rooted, list(numbers))), "buckets")
     if buckets.isEmpty():
-        return labels
+        return edges
     texts = node_texts(docs, key, text, own, buckets)
-    hubs = 1
+    hubs = 1 if edges is None else GROWTH
     while True:
         pairs, hub_rows = hub_pairs(buckets, nodes, list(numbers), hubs, percent)
-        links = confirmed(written(pairs, "pairs"), texts, percent)
-        labels = components(links if labels is None else links.unionByName(labels.toDF("a", "b").where("a <> b")))
-        hubs *= GROWTH
-        if rounds and hubs >= GROWTH**rounds:
-            return labels
-        rest = buckets.drop("root").join(hub_rows, ["key", "node"], "left_anti").join(labels, "node", "left")
+        links = downward(confirmed(written(pairs, "pairs"), texts, percent))
+        edges = starred(links if edges is None else links.unionByName(edges))
+        rounds = rounds and rounds - 1
+        if rounds == 0:
+            return edges
+        rest = buckets.drop("root").join(hub_rows, ["key", "node"], "left_anti").join(named(edges), "node", "left")
         buckets = written(multiple(rest.select("key", "number", "node", F.coalesce("root", "node").alias("root"))), "buckets")
         if buckets.isEmpty():
-            return labels
+            return edges
+        hubs *= GROWTH
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:

@@ -84,9 +84,9 @@ def test_near_duplicates_of_nothing(spark):
 
 
 def test_components_of_a_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    found = {r["node"]: r["root"] for r in neardup.components(edges).collect()}
-    assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(101, 100), (7, 7)], "a long, b long")
+    found = {r["node"]: r["root"] for r in neardup.components(neardup.downward(edges)).collect()}
+    assert found == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
 def test_group_min_spreads_a_hot_key(spark):
