@@ -10,7 +10,7 @@ tells apart documents that only share a common passage; they are then confirmed
 
 Groups may be large, so not all pairs of a key are tried: a hub of each key is compared with the others, what is linked
 becomes one component, and only keys that still hold several components go on, with GROWTH times as many hubs each
-round. A pair is tried under the first key that it shares only. It is left out only when both are in one component
+round; from the third on, shingles that no other component has are left out of the bound of what two nodes share. A pair is tried under the first key that it shares only. It is left out only when both are in one component
 already, or were compared. A first pass over few keys joins most of a large group, whose other keys then hold one
 component and go no further.
 """
@@ -163,11 +163,11 @@ def first_shared(a: list[Column], b: list[Column], numbers: list[int]) -> Column
 
 
 def key_marks(nodes: DataFrame, numbers: list[int]) -> DataFrame:
-    """(key, number, node, root): for each chunk and each choice of positions that must agree, a hash of these."""
+    """(key, number, node, root, c): for each chunk and each choice of positions that must agree, a hash of these."""
     masks = [sum(0xFFFF << 16 * i for i in p) for p in PLACES]
     part = lambda n: F.col(CHUNKS[n // len(PLACES)]).bitwiseAND(F.lit(signed(masks[n % len(PLACES)])).cast("long"))
     keys = [F.struct(F.xxhash64(F.lit(n), part(n)).alias("key"), F.lit(n).alias("number")) for n in numbers]
-    return nodes.select(F.explode(F.array(*keys)).alias("k"), "node", "root").select("k.key", "k.number", "node", "root")
+    return nodes.select(F.explode(F.array(*keys)).alias("k"), "node", "root", F.col("n").alias("c")).select("k.key", "k.number", "node", "root", "c")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -247,17 +247,42 @@ def differing(a: Column, b: Column) -> Column:
 
 def hub_pairs(rows: DataFrame, nodes: DataFrame, numbers: list[int], hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (hub, node) of each key's hubs with its nodes of other components, whose sizes and sketches allow a link,
-    under the first key that both share; and the hubs (key, node). ``rows``: (key, number, node, root)."""
+    under the first key that both share; and the hubs (key, node). ``rows``: (key, number, node, root, c), c being a
+    bound of what a node may have in common with another."""
     of_node = ["n", *CHUNKS, *PARTS]
     slot = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(hubs))
-    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
+    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root", "c")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.c").alias("hub_c"))
     wide = hub.join(nodes.select(F.col("node").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in of_node)), "hub")
-    near = (F.col("root") != F.col("hub_root")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    near = (F.col("root") != F.col("hub_root")) & ((100 + percent) * F.least("c", "hub_c") >= percent * (F.col("n") + F.col("hub_n")))
     apart = [differing(F.col(p), F.col(f"hub_{p}")) for p in PARTS]
     near = near & (sum(apart[1:], apart[0]) <= MOST)
     near = near & (first_shared([F.col(g) for g in CHUNKS], [F.col(f"hub_{g}") for g in CHUNKS], numbers) == F.col("number"))
-    found = rows.join(nodes.select("node", *of_node), "node").join(wide, "key").where(near)
-    return found.select("hub", "node"), hub.select("key", F.col("hub").alias("node"))
+    hub_rows = hub.select("key", F.col("hub").alias("node"))
+    # two hubs of a key meet twice: once is enough
+    near = near & (~F.col("is_hub") | (F.col("hub") < F.col("node")))
+    marked = rows.join(hub_rows.withColumn("is_hub", F.lit(True)), ["key", "node"], "left").withColumn("is_hub", F.coalesce("is_hub", F.lit(False)))
+    found = marked.join(nodes.select("node", *of_node), "node").join(wide, "key").where(near)
+    return found.select("hub", "node"), hub_rows
+
+
+def supported(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``rows`` with c, how many of a node's shingles a node of another component in ``rows`` has, too; nodes that cannot
+    have a link for want of them go. What is left unlinked in a large group mostly owes it to words of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(b.column(2).to_pylist())
+            at = pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets))))
+            flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(flat)], ["node", "root", "shingle"])
+
+    left = rows.select("node", "root").distinct().join(texts, "node").select("node", "root", "text")
+    every = written(left.mapInArrow(run, "node long, root long, shingle long"), "support")
+    shared = every.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    counts = every.join(shared, "shingle", "left_semi").groupBy("node").agg(F.count("*").cast("int").alias("c"))
+    sizes = every.groupBy("node").agg(F.count("*").alias("size"))
+    able = counts.join(sizes, "node").where(100 * F.col("c") >= percent * F.col("size")).select("node", "c")
+    return rows.drop("c").join(able, "node").select(*rows.columns)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -317,10 +342,14 @@ def linked(docs: DataFrame, key: str, text: str, own: DataFrame, nodes: DataFram
         if rounds == 0:
             return edges
         rest = buckets.drop("root").join(hub_rows, ["key", "node"], "left_anti").join(named(edges), "node", "left")
-        buckets = written(multiple(rest.select("key", "number", "node", F.coalesce("root", "node").alias("root"))), "buckets")
+        buckets = written(multiple(rest.select("key", "number", "node", F.coalesce("root", "node").alias("root"), "c")), "buckets")
         if buckets.isEmpty():
             return edges
         hubs *= GROWTH
+        if hubs >= GROWTH**2:
+            buckets = written(multiple(supported(buckets, texts, percent)), "buckets")
+            if buckets.isEmpty():
+                return edges
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
