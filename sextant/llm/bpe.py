@@ -9,6 +9,7 @@ the number sequences, by far the largest part, are never shuffled.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,11 +24,12 @@ from tokenizers import Tokenizer
 
 from .common import new_path, small_batches
 
-#: The word pattern of byte-level BPE, its alternatives in an order that gives the same words.
-WORD = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The published word pattern of byte-level BPE (GPT-2's encoder), as it stands there.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text whose words share one local dictionary; a longer text has a block of its own.
 BLOCK_CHARS = 16_000_000
-#: Buckets of distinct words; a task holds the words of one bucket at a time.
+#: Buckets of distinct words at least; a task holds the words of one bucket at a time. Their number grows with the square
+#: root of the input, as distinct words do.
 BUCKETS = 1024
 
 
@@ -205,7 +207,8 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
     with open(tokenizer or public_path(), encoding="utf-8") as f:
         spec = f.read()
     kind = docs.schema[key].dataType.simpleString()
-    blocks = bucketed(split_blocks(docs, key, text, spec, block_chars))
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    blocks = bucketed(split_blocks(docs, key, text, spec, block_chars, max(BUCKETS, math.isqrt(size) // 16)))
     places = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.bucket", "p.words")
     back = encoded(places, spec)
 

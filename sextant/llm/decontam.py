@@ -14,7 +14,7 @@ import pyarrow.dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import fresh, new_path, small_batches
 
 WINDOW = 13
 #: Words are runs of digits, letters a to z (after lower-casing A to Z) and every byte from 128 up.
@@ -97,7 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     small_batches(spark)
     made = ["n_words", "n_hit", "item_ids", "spans", "contaminated"]
     given = docs.select(*([c for c in docs.columns if c not in made] if keep else dict.fromkeys([key, text])))
-    rows = given.withColumns({"_marks": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>")})
+    rows = given.withColumns({fresh(given, "_marks"): F.lit(None).cast("array<int>"), fresh(given, "_items"): F.lit(None).cast("array<string>")})
     rows = _scan(rows, *item_blocks(benchmark, item, item_text, block_bytes), text, window)
     rows = _spans(rows, text, given.columns if keep else [key])
     return rows

@@ -15,12 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
-#: Shorter lines always stay: "Yes." and "No." are no boilerplate.
-MIN_CHARS = 24
-#: The SQL beside the query compares longer lines for equality only; the operator has no such bound.
-MAX_CHARS = 65_536
+#: The edit bound follows the length: shorter lines are alike when equal only, since an edit makes another word of them.
+NEAR_CHARS = 24
 #: Halvings of all lines before characters are left out.
 HALVINGS = 3
 #: Middles that are longer after these are halved on: all variants of n characters are n^2 characters to hash.
@@ -38,8 +36,8 @@ def few(df: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, at, line, h) for each line of ``docs``; h is the line's hash."""
-    lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    """(key, own, at, line, h) for each line of ``docs``; own is the whole text's hash, h the line's."""
+    lines = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("own"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     return lines.withColumn("h", F.xxhash64("line"))
 
 
@@ -115,7 +113,7 @@ def near_lines(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: D
     marks = lines.select("h", F.explode("contexts").alias("context"))
     common = written(marks.groupBy("context").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("context"), "contexts")
     some = written(marks.join(few(common), "context", "left_semi").select("h").distinct().join(firsts, "h"), "lines")
-    fit = line_rows(docs, key, text).where(F.length("line") >= MIN_CHARS).select("h", "line")
+    fit = line_rows(docs, key, text).where(F.length("line") >= NEAR_CHARS).select("h", "line")
     texts = written(fit.join(few(some.select("h")), "h", "left_semi").dropDuplicates(["h"]).join(some, "h"), "texts")
     narrow = texts.select("h", F.lit(0).cast("long").alias("context"), F.col("line").alias("middle"))
     for _ in range(HALVINGS):
@@ -138,10 +136,10 @@ def near_lines(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: D
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, at) of the lines to drop: those with an equal line earlier, or an earlier line one edit apart."""
-    rows = line_rows(docs, key, text).where(F.length("line") >= MIN_CHARS)
-    start = half_contexts(F.lit(0).cast("long"), F.col("line"))
-    lines = written(rows.select("h", F.struct("key", "at").alias("place"), start.alias("contexts")), "lines")
+    """(key, own, at) of the lines to drop: those with an equal line earlier, or an earlier line one edit apart."""
+    rows = line_rows(docs, key, text).where("line <> ''")
+    start = F.when(F.length("line") >= NEAR_CHARS, half_contexts(F.lit(0).cast("long"), F.col("line"))).otherwise(F.expr("cast(array() as array<long>)"))
+    lines = written(rows.select("h", F.struct("key", "own", "at").alias("place"), start.alias("contexts")), "lines")
     fit = lines.select("h", "place")
     salted = fit.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int"))
     part = salted.groupBy("h", "salt").agg(F.min("place").alias("first"), F.count("*").alias("n"))
@@ -155,27 +153,34 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with lines dropped that repeat an earlier one, exactly or but for one character.
 
-    Lines are parted by \\n; earlier means a smaller (key, line number). A line goes if any earlier line, dropped or not,
-    is equal to it or one edit apart. Lines under MIN_CHARS characters stay. Null texts stay null, a text that loses all lines is empty, no row goes; rows with the same key count as
-    one document. Adds n_lines and n_dropped, in place of columns of these names.
+    Lines are parted by \\n; earlier means a smaller (key, hash of the whole text, line number). A line goes if any
+    earlier line, dropped or not, is equal to it, or is one edit apart and both have NEAR_CHARS characters or more. Empty
+    lines stay. Null texts stay null, a text that loses all lines is empty, no row goes. Rows with one key and different
+    texts are documents of their own; rows that agree in both are alike and lose the same lines. Lines of any length are
+    compared whole. Adds n_lines and n_dropped, in place of columns of these names; other columns stay.
     """
-    gone = dropped_lines(docs, key, text).groupBy("key").agg(F.collect_set("at").alias("_gone")).withColumnRenamed("key", "_key")
-    joined = docs.drop("n_lines", "n_dropped").join(gone, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    rows = docs.drop("n_lines", "n_dropped")
+    key_, own_, gone_ = (fresh(rows, x) for x in ("_key", "_own", "_gone"))
+    gone = dropped_lines(docs, key, text).groupBy("key", "own").agg(F.collect_set("at")).toDF(key_, own_, gone_)
+    joined = rows.join(gone, rows[key].eqNullSafe(F.col(key_)) & (F.xxhash64(rows[text]) == F.col(own_)), "left").drop(key_, own_)
     lines = F.split(text, "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    numbers = {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    return joined.withColumns(numbers).withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_gone")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone_, i)), "\n")
+    numbers = {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_dropped": F.coalesce(F.size(gone_), F.lit(0)).cast("long")}
+    return joined.withColumns(numbers).withColumn(text, F.when(F.col(gone_).isNull(), F.col(text)).otherwise(kept)).drop(gone_)
 
 
 #: Independent of the variants: lines one edit apart agree in their first or in their last half.
 ORACLE = f"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-fit AS (SELECT line, doc_id, pos FROM l WHERE length(line) >= {MIN_CHARS}),
+fit AS (SELECT line, doc_id, pos FROM l WHERE line <> ''),
 firsts AS (SELECT line, min(row(doc_id, pos)) AS first FROM fit GROUP BY line),
 halves AS (SELECT line, first, h, part, CASE part WHEN 'l' THEN left(line, h) ELSE right(line, h) END AS half FROM
-  (SELECT *, unnest(list_distinct([length(line) // 2, (length(line) - 1) // 2])) AS h FROM firsts WHERE length(line) <= {MAX_CHARS}), (VALUES ('l'), ('r')) AS p(part)),
-near AS (SELECT DISTINCT a.line FROM halves a JOIN halves b ON a.h = b.h AND a.part = b.part AND a.half = b.half
-  WHERE b.first < a.first AND a.line <> b.line AND abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 1),
+  (SELECT *, unnest(list_distinct([length(line) // 2, (length(line) - 1) // 2])) AS h FROM firsts WHERE length(line) >= {NEAR_CHARS}), (VALUES ('l'), ('r')) AS p(part)),
+pairs AS (SELECT DISTINCT a.line AS x, b.line AS y FROM halves a JOIN halves b ON a.h = b.h AND a.part = b.part AND a.half = b.half
+  WHERE b.first < a.first AND a.line <> b.line AND abs(length(a.line) - length(b.line)) <= 1),
+long_pairs AS (SELECT x, y, coalesce(list_position(list_transform(range(1, 1 + least(length(x), length(y))), lambda i : substr(x, i, 1) = substr(y, i, 1)), false), 1 + least(length(x), length(y))) AS p FROM pairs WHERE length(x) > 4096),
+near AS (SELECT x AS line FROM pairs WHERE length(x) <= 4096 AND levenshtein(x, y) <= 1
+  UNION SELECT x FROM long_pairs WHERE substr(x, p + 1) = substr(y, p + 1) OR substr(x, p + 1) = substr(y, p) OR substr(x, p) = substr(y, p + 1)),
 gone AS (SELECT doc_id, pos FROM fit JOIN firsts USING (line) WHERE row(doc_id, pos) > first
   UNION SELECT first[1], first[2] FROM firsts WHERE line IN (SELECT line FROM near)),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text

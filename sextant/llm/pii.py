@@ -227,10 +227,10 @@ def _ssn(v: str, key: bytes, back: bool) -> str | None:
 
 def _card(v: str, key: bytes, back: bool) -> str | None:
     digits = "".join(c for c in v if c in DIGITS)
-    if luhn(digits) and len(set(digits)) > 1:
-        body = digits[0] + permuted(digits[1:-1], key, f"card|{digits[0]}", back)
-        return _placed(v, body + check_digit(body), DIGITS)
-    return _placed(v, digits[0] + permuted(digits[1:], key, f"number|{digits[0]}", back), DIGITS)
+    if not luhn(digits) or len(set(digits)) == 1:
+        return None
+    body = digits[0] + permuted(digits[1:-1], key, f"card|{digits[0]}", back)
+    return _placed(v, body + check_digit(body), DIGITS)
 
 
 def _phone(v: str, key: bytes, back: bool) -> str:
@@ -280,8 +280,9 @@ def replaced(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", back: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``pii``: array<struct<kind, start, end>> of their places.
 
-    Equal values have equal pseudonyms; ``back`` inverts. A number of 13 to 19 digits without a valid check digit is
-    permuted as a plain number. Null texts stay null and have no places; a column named pii is replaced.
+    Equal values have equal pseudonyms; ``back`` inverts. What is not valid stays: a number without its check digit, a
+    day that is not in the calendar. Null texts stay null and have no places, very long texts are searched whole, rows
+    that repeat are treated alike, an empty table gives an empty result; a column named pii is replaced.
     """
     small_batches(docs.sparkSession)
     rows = docs.drop("pii")

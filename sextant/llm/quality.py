@@ -7,6 +7,7 @@ goes against it instead.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import fresh, held_out, small_batches
 
 UPPER = bytes(range(65, 91))
 SYMBOLS = b"#$%&*|<>{}[]=\\/@^~+_`\""
@@ -75,6 +76,36 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return Model(centre, scale, w[:-1], float(w[-1]), prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1, slack: float = 0.01) -> float:
+    """The share of positives among the unlabelled, by best-bin estimation: a linear model tells positives from unlabelled
+    rows on one half of the rows; on the other, the least ratio of unlabelled to positive rows above a score counts, the
+    score being chosen with regard to how many rows there are. 0.5 where there are too few rows to halve."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    model = fit_logistic(positive[::2], unlabelled[::2])
+    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    above_p = (len(p) - np.arange(len(p))) / len(p)
+    above_u = (len(u) - np.searchsorted(u, p)) / len(u)
+    error = sum(math.sqrt(math.log(4 / doubt) / (2 * len(x))) for x in (p, u))
+    best = int(np.argmin((above_u + (1 + slack) * error) / above_p))
+    return float(min(1.0, above_u[best] / above_p[best]))
+
+
+def fit_logistic(positive: np.ndarray, other: np.ndarray, steps: int = 500, rate: float = 0.05) -> Model:
+    """A logistic model that weighs both kinds of rows alike."""
+    both = np.concatenate([positive, other])
+    centre, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
+    x = np.c_[(both - centre) / scale, np.ones(len(both))]
+    y = np.r_[np.ones(len(positive)), np.zeros(len(other))]
+    share = np.where(y == 1, 0.5 / len(positive), 0.5 / len(other))
+    w, first, second = (np.zeros(x.shape[1]) for _ in range(3))
+    for t in range(1, steps + 1):
+        slope = x.T @ (share * (1 / (1 + np.exp(-np.clip(x @ w, -50, 50))) - y))
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        w = w - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    return Model(centre, scale, w[:-1], float(w[-1]), 0.5)
+
+
 def with_features(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with an array column ``_x``."""
     at, names = docs.columns.index(text), docs.columns
@@ -87,28 +118,29 @@ def with_features(docs: DataFrame, text: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """A model from rows that are not held out: at most ``max_positive`` labelled 1 and ``max_unlabelled`` unlabelled.
+    """A model from rows that are not held out: at most ``max_positive`` labelled 1 and ``max_unlabelled`` unlabelled, the
+    same ones each time.
 
-    The prior is the share of label 1 among the labels that may be learnt from, kept within 0.05 and 0.95. Without
-    positives or unlabelled rows the model scores every text as the prior.
+    The prior is estimated from the two samples. Without positives or unlabelled rows the model scores every text 0.5. An
+    id that is labelled both 1 and 0 counts as positive; of rows with one id the smallest text is learnt from; rows
+    without id or label are not positives. Long texts count whole.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     learnt = known.where(~held_out(F.col("_key")))
-    mean = learnt.agg(F.avg("_label")).first()[0]
-    prior = min(0.95, max(0.05, 0.5 if mean is None else mean))
     turn = F.xxhash64("_key", F.lit(11))
     positive = learnt.where("_label = 1").select("_key").distinct().orderBy(turn).limit(max_positive)
     ids = docs.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull() & ~held_out(F.col("_key"))).distinct()
     unlabelled = ids.join(known, "_key", "left_anti").orderBy(turn).limit(max_unlabelled)
     wanted = positive.withColumn("_is", F.lit(1)).unionByName(unlabelled.withColumn("_is", F.lit(0)))
     chosen = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(wanted), "_key")  # at most max_positive + max_unlabelled ids
-    rows = with_features(chosen, "_text").select("_is", "_x").collect()
+    chosen = chosen.groupBy("_key", "_is").agg(F.min("_text").alias("_text"))  # one row for each id, however often it occurs
+    rows = with_features(chosen.drop("_key"), "_text").select("_is", "_x").collect()
     p, u = (np.array([r["_x"] for r in rows if r["_is"] == k]).reshape(-1, len(FEATURES)) for k in (1, 0))
     if not len(p) or not len(u):
         k = len(FEATURES)
-        return Model(np.zeros(k), np.ones(k), np.zeros(k), float(np.log(prior / (1 - prior))), prior)
-    return fit_risk(p, u, prior)
+        return Model(np.zeros(k), np.ones(k), np.zeros(k), 0.0, 0.5)
+    return fit_risk(p, u, estimated_prior(p, u))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -126,6 +158,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with a score of ``threshold`` or more, columns as given."""
-    model = fit(docs, labels, key, text)
-    return score(docs, model, text, "_score").where(F.col("_score") >= threshold).drop("_score")
+    """``docs`` with a score of ``threshold`` or more, columns as given; null texts are scored as empty ones."""
+    model, out = fit(docs, labels, key, text), fresh(docs, "_score")
+    return score(docs, model, text, out).where(F.col(out) >= threshold).drop(out)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SEED = 20_011
 
 
@@ -34,13 +36,14 @@ def slots(df: DataFrame, shard: str, order: Sequence[str], buckets: int = 1024,
     Rows are numbered inside (shard, hash bucket) and shifted by the rows of the buckets before; a shard is never
     sorted in one task. Rows that agree in all of ``order`` are alike and may swap places.
     """
-    rows = df.withColumn("_bucket", F.pmod(F.xxhash64(order[0]), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1)
-    return ranked.join(starts, [shard, "_bucket"]).withColumn(out, F.col("_start") + F.col("_rank")).drop("_bucket", "_start", "_rank")
+    bucket, n, start, rank = (fresh(df, x) for x in ("_bucket", "_n", "_start", "_rank"))
+    rows = df.withColumn(bucket, F.pmod(F.xxhash64(order[0]), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias(n))
+    starts = starts.select(shard, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(shard, bucket).orderBy(*order)
+    ranked = rows.withColumn(rank, F.row_number().over(inside) - 1)
+    return ranked.join(starts, [shard, bucket]).withColumn(out, F.col(start) + F.col(rank)).drop(bucket, start, rank)
 
 
 def shard_records(df: DataFrame, key: str, weights: Sequence[float], grown_weight: float = 1.0, text: str | None = None) -> DataFrame:

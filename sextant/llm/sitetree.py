@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fresh, small_batches, written
 
 #: Branches of nodes that at least this many pages have are cut below this importance.
 LEAST_PAGES = 3
@@ -48,6 +48,8 @@ TOKEN = regex.compile(
 )
 ATTRIBUTE = regex.compile(r"\b(id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.IGNORECASE)
 DIGITS = regex.compile(r"\d+")
+#: Inside an article: the names of its own head, which is content.
+OWN_HEADER = regex.compile(r"(?<![a-z])(?:article|entry|post|story|content)[-_]+header(?![a-z])")
 
 
 def child_id(parent: int, label: str) -> int:
@@ -70,7 +72,8 @@ def element(parent: Element, tag: str, attrs: str) -> Element:
     role = found.get("role", "")
     main = tag in ("article", "main") or role == "main"
     chrome = parent.chrome or tag in CHROME_TAGS or role in CHROME_ROLES or (tag == "header" and not parent.article)
-    chrome = chrome or bool(names and not main and tag not in ("html", "body") and CHROME_NAMES.search(names))
+    named = OWN_HEADER.sub("", names) if parent.article else names
+    chrome = chrome or bool(named and not main and tag not in ("html", "body") and CHROME_NAMES.search(named))
     label = f"{tag} {DIGITS.sub('0', names)}".strip()
     parent.children.append(label)
     return Element(child_id(parent.id, label), tag, chrome, parent.article or main)
@@ -80,6 +83,7 @@ def blocks(page: str, closed=None) -> Iterator[tuple[list[Element], str]]:
     """(open elements, raw text) of each block in page order. ``closed`` is called with (element, parent) at its end."""
     stack = [Element(0, "", False, False)]
     text: list[str] = []
+    muted: list | None = None  # an open inline element that is no content: tag, depth, and blocks open inside
 
     def pop() -> None:
         e = stack.pop()
@@ -88,7 +92,8 @@ def blocks(page: str, closed=None) -> Iterator[tuple[list[Element], str]]:
 
     for m in TOKEN.finditer(page):
         if m.group("text") is not None:
-            text.append(m.group("text"))
+            if not muted:
+                text.append(m.group("text"))
             continue
         tag = m.group("tag")
         if tag is None:
@@ -97,19 +102,25 @@ def blocks(page: str, closed=None) -> Iterator[tuple[list[Element], str]]:
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
-            elif not m.group("end"):
+            elif muted:
+                if tag == muted[0] and tag not in VOID:
+                    muted[1] += -1 if m.group("end") else 1
+                    muted = muted if muted[1] else None
+            elif not m.group("end") and tag not in VOID:
                 names = m.group("attrs")
-                if names and "class" in names.lower() and element(Element(0, "", False, True), tag, names).chrome:
-                    yield stack, "".join(text)  # an inline element that is no content stands like a block
-                    text = []
-                    stack.append(element(stack[-1], tag, names))
-            elif any(e.tag == tag for e in stack[1:]):
-                yield stack, "".join(text)
-                text = []
-                while stack[-1].tag != tag:
-                    pop()
-                pop()
+                if names and ("class" in (low := names.lower()) or "role" in low) and element(Element(0, "", False, True), tag, names).chrome:
+                    muted = [tag, 1, 0]  # the text around it stays one block
             continue
+        if muted:
+            if not m.group("end"):
+                muted[2] += tag not in VOID
+                continue
+            if muted[2]:
+                muted[2] -= 1
+                continue
+            if all(e.tag != tag for e in stack[1:]):
+                continue
+            muted = None  # what it was in ends
         if text:
             yield stack, "".join(text)
             text = []
@@ -207,19 +218,21 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
     """``pages`` with ``out``, the main text of the whole page: its blocks joined by \\n, empty if there is none.
 
     White space inside a block becomes one space, character references are decoded. A null page is empty; pages
-    without a host in their URL are cut by tags, roles and classes only; repeated rows stay. A column named like
-    ``out`` is replaced.
+    without a host in their URL are cut by tags, roles and classes only; repeated rows stay, very long pages are read
+    whole, an empty table gives an empty result. A column named like ``out`` is replaced, others stay.
     """
     small_batches(pages.sparkSession, 500)
-    rows = pages.drop(out, "_host", "_noisy").withColumn("_host", site(F.col(url)))
-    noisy = noisy_nodes(rows.where("_host <> ''").select("_host", page), threshold, least_pages).groupBy("host").agg(F.collect_list("id").alias("_noisy"))
-    noisy = noisy.withColumnRenamed("host", "_host").persist()
-    if noisy.agg(F.sum(F.size("_noisy"))).first()[0] is None:
-        joined = rows.withColumn("_noisy", F.lit(None).cast("array<long>"))
+    given = pages.drop(out)
+    host_, noisy_ = fresh(given, "_host"), fresh(given, "_noisy")
+    rows = given.withColumn(host_, site(F.col(url)))
+    noisy = noisy_nodes(rows.where(F.col(host_) != "").select(host_, page), threshold, least_pages).groupBy("host").agg(F.collect_list("id").alias(noisy_))
+    noisy = written(noisy.withColumnRenamed("host", host_), "noisy")
+    n_nodes = noisy.agg(F.sum(F.size(noisy_) + 1)).first()[0]
+    if n_nodes is None:
+        joined = rows.withColumn(noisy_, F.lit(None).cast("array<long>"))
     else:
-        fits = noisy.agg(F.sum(F.size("_noisy") + 1)).first()[0] <= SMALL_ROWS
-        joined = rows.join(F.broadcast(noisy) if fits else noisy, "_host", "left").select(*rows.columns, "_noisy")
-    names = [c for c in rows.columns if c != "_host"]
+        joined = rows.join(F.broadcast(noisy) if n_nodes <= SMALL_ROWS else noisy, host_, "left").select(*rows.columns, noisy_)
+    names = given.columns
     at, last = joined.columns.index(page), len(joined.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,4 +247,4 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
                 texts.append("\n".join(found))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i, c in enumerate(b.schema.names) if c in names), pa.array(texts, pa.string())], [*names, out])
 
-    return joined.mapInArrow(run, pages.drop(out, "_host", "_noisy").withColumn(out, F.lit("")).schema)
+    return joined.mapInArrow(run, given.withColumn(out, F.lit("")).schema)

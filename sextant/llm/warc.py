@@ -149,21 +149,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     found = files.mapInArrow(split, schema)
-    whole = found.where(F.col("segment").isNull()).drop("segment", "total").withColumn("complete", F.lit(True))
+    # an array of blocks for each page, joined once in the task that decodes it
+    whole = found.where(F.col("segment").isNull()).withColumns({"last": F.lit(1), "blocks": F.array("block")}).drop("segment", "block", "id")
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     parts = found.where(F.col("segment").isNotNull()).groupBy("id").agg(
         *[first(c) for c in ("type", "url", "key", "digest", "n", "refers_to")], F.max("total").alias("total"), F.max("segment").alias("last"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts")
     )
-    parts = parts.withColumn("block", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["block"])))
-    parts = parts.withColumn("complete", F.coalesce((F.octet_length("block") == F.col("total")) & (F.size("parts") == F.col("last")), F.lit(False)))
+    parts = parts.withColumns({"total": F.coalesce("total", F.lit(-1).cast("long")), "blocks": F.col("parts.block")})
     both = whole.unionByName(parts.select(*whole.columns))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.to_pydict()
             payload, size, sha, valid = [], [], [], []
-            for kind, block, n, said, complete in zip(x["type"], x["block"], x["n"], x["digest"], x["complete"], strict=True):
-                body, ok = None, complete
+            for kind, blocks, n, said, total, last in zip(x["type"], x["blocks"], x["n"], x["digest"], x["total"], x["last"], strict=True):
+                body, block = None, b"".join(blocks)
+                ok = len(blocks) == last and (total is None or total == len(block))
                 if kind == "response":
                     try:
                         head, _, rest = block.partition(END)

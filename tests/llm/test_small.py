@@ -116,7 +116,7 @@ def test_line_dedup_matches_all_pairs(spark):
     rng.shuffle(lines)
     rows = [(d, "\n".join(lines[d * 7 : d * 7 + 7])) for d in range(-(-len(lines) // 7))] + [(900, None), (901, "")]
     places = [((d, i), x) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
-    gone = {p for k, (p, x) in enumerate(places) if len(x) >= linedup.MIN_CHARS and any(len(y) >= linedup.MIN_CHARS and near(x, y) for _, y in places[:k])}
+    gone = {p for k, (p, x) in enumerate(places) if x and any(x == y or min(len(x), len(y)) >= linedup.NEAR_CHARS and near(x, y) for _, y in places[:k])}
     assert len(gone) > 50
     found = linedup.dedup_lines(frame(spark, rows).withColumn("n_lines", F.lit("clash"))).collect()
     for r in found:
@@ -142,7 +142,18 @@ def test_line_dedup_halves_on_to_any_length(spark, monkeypatch):
     lines = [x for t in bases for i in [rng.randrange(len(t))] for x in (t, t[:i] + "c" + t[i + 1 :], t[:i] + t[i + 1 :], t[:i] + "cc" + t[i + 1 :])]
     rng.shuffle(lines)
     found = {r["doc_id"]: r["n_dropped"] for r in linedup.dedup_lines(frame(spark, list(enumerate(lines)))).collect()}
-    assert found == {k: int(len(x) >= linedup.MIN_CHARS and any(len(y) >= linedup.MIN_CHARS and near(x, y) for y in lines[:k])) for k, x in enumerate(lines)}
+    assert found == {k: int(len(x) >= linedup.NEAR_CHARS and any(len(y) >= linedup.NEAR_CHARS and near(x, y) for y in lines[:k])) for k, x in enumerate(lines)}
+
+
+def test_line_dedup_keeps_what_is_in_one_row_only(spark):
+    a, b = "the line that two rows have in common", "a line of its own, which nothing repeats"
+    rows = [(1, a), (5, f"{b}\nx"), (5, f"{a}\nx"), (6, "ab\nab\n\n\nac"), (6, "ab\nab\n\n\nac")]
+    docs = frame(spark, rows).withColumns({"_key": F.lit(1), "_gone": F.lit(2), "_OWN": F.lit(3)})
+    found = linedup.dedup_lines(docs)
+    assert {"_key", "_gone", "_OWN"} <= set(found.columns)
+    texts = sorted(r["text"] for r in found.collect())
+    assert sum(b in t for t in texts) == 1 and sum(a in t for t in texts) == 1
+    assert texts.count("ab\n\n\nac") == 2 and sum(t.endswith("x") for t in texts) == 1
 
 
 def test_line_dedup_of_nothing(spark):
@@ -309,7 +320,7 @@ def test_places_near_signs_are_all_places():
 
 
 def test_invalid_values_stay():
-    for text in ("300.1.1.1", "2024-02-30", "000-12-3456", "4.0.", "a@b", "99.99.2020", "x"):
+    for text in ("4111111111111112", "3.141592653589793", "1609459200000", "300.1.1.1", "2024-02-30", "000-12-3456", "4.0.", "a@b", "99.99.2020", "x"):
         assert pii.replaced(text, KEY)[0] == text
 
 
@@ -367,6 +378,13 @@ def test_article_is_kept_and_chrome_cut(spark):
     assert found == [(1, "A & B\none two\nthree four"), (2, ""), (3, ""), (4, "plain text"), (4, "plain text")]
 
 
+def test_inline_adverts_and_names_inside_an_article(spark):
+    body = "<article><h1 class='article-header'>head</h1><p>a <span class='ad'><span>buy</span> now</span> b</p><p>one <span class='share'>x</span> two</p><p>in <span class='ad'>open</p><p>last</p></article>"
+    df = spark.createDataFrame([(1, "http://h/1", page(body), 7, 8)], "page_id long, url string, html string, _host int, _noisy int")
+    found = sitetree.extract(df).first()
+    assert found["text"] == "head\na b\none two\nin\nlast" and (found["_host"], found["_noisy"]) == (7, 8)
+
+
 def test_style_tree_cuts_what_a_host_repeats(spark):
     rows = [(i, "http://h/", page(f"<div id='x'><span>welcome to this site</span></div><div id='y'><p>story number {i} {i * 7}</p><p>more {i}</p></div>")) for i in range(20)]
     found = sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -387,6 +405,23 @@ def test_classifier_learns_from_positives_and_unlabelled(spark):
     assert {r["doc_id"] for r in quality.keep_good(docs, labels).collect()} == {k for k, s in found.items() if s >= 0.5}
 
 
+def test_prior_of_a_known_mixture():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.8):
+        p, n = rng.normal(3, 1, (3000, 2)), rng.normal(-1, 1, (3000, 2))
+        k = int(3000 * share)
+        assert abs(quality.estimated_prior(p, rng.permutation(np.r_[rng.normal(3, 1, (k, 2)), n[k:]])) - share) < 0.08
+
+
+def test_names_of_the_operators_own_columns_may_be_taken(spark):
+    docs = frame(spark, [(i, sentence(random.Random(i), 40)) for i in range(40)]).withColumns({c: F.lit(c) for c in ("_score", "_marks", "_items", "_bucket", "_n", "_start", "_rank")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    assert set(quality.keep_good(docs, labels, threshold=0.0).columns) == set(docs.columns)
+    kept = decontam.contamination(docs, spark.createDataFrame([(1, ITEM)], "item_id int, text string"), keep=True)
+    assert {(r["_marks"], r["_items"]) for r in kept.collect()} == {("_marks", "_items")}
+    assert {(r["_bucket"], r["_n"], r["_start"], r["_rank"]) for r in sharding.shard_records(docs, "doc_id", [1.0] * 3).collect()} == {("_bucket", "_n", "_start", "_rank")}
+
+
 def test_classifier_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
