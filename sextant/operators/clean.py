@@ -37,14 +37,14 @@ def long_panel(df: DataFrame, values: list[str]) -> DataFrame:
 
 
 def statement_pivot(df: DataFrame, items: list[str]) -> DataFrame:
-    """One row for each symbol and quarter with a column for each declared item."""
-    return df.groupBy("symbol", "quarter").pivot("item", items).agg(F.first("value", ignorenulls=True))
+    """One row for each symbol and quarter with a column for each declared item; of values of one item the largest counts."""
+    return df.groupBy("symbol", "quarter").pivot("item", items).agg(F.max("value"))
 
 
 def statement_map(df: DataFrame) -> DataFrame:
-    """One row for each symbol and quarter with all items in a map, nulls left out."""
-    rows = df.where("value is not null").groupBy("symbol", "quarter").agg(F.collect_list(F.struct("item", "value")).alias("x"))
-    return rows.select("symbol", "quarter", F.map_from_entries(F.array_distinct("x")).alias("items"))
+    """One row for each symbol and quarter with all items in a map, nulls left out; of values of one item the largest counts."""
+    rows = df.where("value is not null").groupBy("symbol", "quarter", "item").agg(F.max("value").alias("value")).groupBy("symbol", "quarter").agg(F.collect_list(F.struct("item", "value")).alias("x"))
+    return rows.select("symbol", "quarter", F.map_from_entries("x").alias("items"))
 
 
 def q4_alone(df: DataFrame, value: str = "value") -> DataFrame:

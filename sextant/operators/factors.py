@@ -8,51 +8,57 @@ from pyspark.sql import functions as F
 from ..functions import dates, panel
 from ..functions import scalars as f
 
-#: Weights of the blends.
-VALUE = (0.4, 0.4, 0.2)
+#: Weights of the value scores (for all symbols, for financial ones) and of the total; the fee of a trade.
+VALUE = {"cash_flow_share": 0.4, "earnings_yield": 0.4, "shareholder_yield": 0.2}
+VALUE_FINANCIAL = {"cash_flow_share": 0.3, "ebitda_ev": 0.3, "earnings_yield": 0.3, "shareholder_yield": 0.1}
+QUALITY = ("roe", "variability", "cash_flow_assets", "gross_profit_assets", "leverage")
+QUALITY_FINANCIAL = ("roe", "variability", "roa")
+MOMENTUM = ("income_streak", "revenue_streak")
 TOTAL = {"quality": 0.4, "value": 0.3, "momentum": 0.3}
 FEE = 1.425 / 1000 * 0.3
 
 
 def derived_ratios(df: DataFrame) -> DataFrame:
-    """Market cap, enterprise value and the ratios that the scores use; division by 0 gives null."""
-    c = F.col
-    cap = f.market_cap(c("shares"), c("close"))
-    before = F.lag("shares", 4).over(panel.series())
-    return df.withColumn("cap", cap).withColumn("ev", f.enterprise_value(F.col("cap"), c("debt"), c("cash"))).withColumns({
-        "ebitda_ev": F.try_divide(c("ebitda"), F.col("ev")), "earnings_yield": F.try_divide(c("eps"), c("close")), "shareholder_yield": f.repurchase_rate(c("shares"), before, c("close"), F.col("cap")),
-        "cash_flow_assets": F.try_divide(c("cash_flow"), c("assets")), "gross_profit_assets": F.try_divide(c("gross_profit"), c("assets")), "leverage": -F.try_divide(c("debt"), c("assets")),
-        "variability": -panel.rolling(F.stddev_samp, c("eps"), 4),
+    """Market cap, enterprise value and the ratios that the scores use; division by 0 gives null.
+
+    Shares are compared with those 12 rows before; more shares count as a higher yield, as the rule is defined.
+    """
+    c, w = F.col, panel.series()
+    rows = df.withColumns({"cap": f.market_cap(c("shares"), c("close")), "growth": panel.pct_change(c("ebitda"))})
+    return rows.withColumn("ev", f.enterprise_value(c("cap"), c("debt"), c("cash"))).withColumns({
+        "ebitda_ev": F.try_divide(c("ebitda"), c("ev")), "earnings_yield": F.try_divide(c("eps"), c("close")), "cash_flow_share": F.try_divide(c("cash_flow"), c("shares")),
+        "shareholder_yield": c("dividend_yield") + f.repurchase_rate(c("shares"), F.lag("shares", 12).over(w), c("close"), c("cap")),
+        "roe": F.try_divide(c("net_income"), c("equity")), "roa": F.try_divide(c("net_income"), c("assets")), "variability": -panel.rolling(F.stddev_samp, c("growth"), 20),
+        "cash_flow_assets": F.try_divide(c("cash_flow"), c("assets")), "gross_profit_assets": F.try_divide(c("gross_profit"), c("assets")), "leverage": F.try_divide(c("debt"), c("equity")),
     })
 
 
 def multi_factor_rating(df: DataFrame, universe: DataFrame, quantile: float = 0.75) -> DataFrame:
-    """Blended z-scores of value, quality and momentum by period, as weights, and whether they reach the quantile.
+    """Blended z-scores of quality, value and momentum by period, as weights, and whether they exceed the quantile.
 
-    Symbols of the financial category take the mean of three quality scores; ETFs go.
+    Financial symbols have a value score with the earnings of the enterprise and the mean of three quality scores in
+    place of five; momentum is the sum of the z-scores of two streaks. Any null makes the score null; ETFs go.
     """
-    rows = df.join(universe.where("category <> 'etf'").select("symbol", "category"), "symbol")
-    rows = panel.rising_streak(derived_ratios(rows), "eps", 2, 2, 1.0, "eps_streak")
-    rows = rows.withColumn("mom", panel.pct_change(F.col("close")))
-    names = ["ebitda_ev", "earnings_yield", "shareholder_yield", "cash_flow_assets", "gross_profit_assets", "leverage", "variability", "mom"]
+    rows = derived_ratios(df.join(universe.where("category <> 'etf'").select("symbol", "category"), "symbol"))
+    for value, out in zip(("net_income", "revenue"), MOMENTUM, strict=True):
+        rows = panel.rising_streak(rows, value, 5, 3, 1.0, out)
+    names = dict.fromkeys([*VALUE, *VALUE_FINANCIAL, *QUALITY, *QUALITY_FINANCIAL, *MOMENTUM])
     z = rows.withColumns({f"z_{n}": panel.zscore(F.col(n)) for n in names})
-    value = f.blend(*zip(VALUE, (F.col("z_ebitda_ev"), F.col("z_earnings_yield"), F.col("z_shareholder_yield")), strict=True))
-    five = f.blend(*((0.25, F.col(f"z_{n}")) for n in ("cash_flow_assets", "gross_profit_assets", "leverage", "variability")))
-    three = f.blend(*((1 / 2, F.col(f"z_{n}")) for n in ("cash_flow_assets", "leverage")))
-    quality = F.when(F.col("category") == "financial", three).otherwise(five)
-    z = z.withColumns({"value": value, "quality": quality, "momentum": F.col("z_mom") + F.col("eps_streak")})
+    weighted = lambda weights: f.blend(*((w, F.col(f"z_{n}")) for n, w in weights.items()))
+    mean = lambda names: weighted(dict.fromkeys(names, 1 / len(names)))
+    financial = F.col("category") == "financial"
+    z = z.withColumns({"value": F.when(financial, weighted(VALUE_FINANCIAL)).otherwise(weighted(VALUE)), "quality": F.when(financial, mean(QUALITY_FINANCIAL)).otherwise(mean(QUALITY)), "momentum": weighted(dict.fromkeys(MOMENTUM, 1.0))})
     total = f.blend(*((w, F.col(n)) for n, w in TOTAL.items()))
     scored = z.withColumn("score", F.round(f.z_weight(total), 6))
-    cut = F.percentile("score", F.lit(quantile)).over(panel.period())
-    return scored.withColumn("selected", F.coalesce(F.col("score") >= cut, F.lit(False)))
+    cut = F.round(F.percentile("score", F.lit(quantile)).over(panel.period()), 6)
+    return scored.withColumn("selected", F.coalesce(F.col("score") > cut, F.lit(False)))
 
 
-def low_price_screen(prices: DataFrame, quantile: float = 0.15, most: float | None = None, days: int = 60) -> DataFrame:
-    """Rows whose price is below the day's quantile (and ``most``), with their range tightness."""
+def low_price_screen(prices: DataFrame, quantile: float = 0.15, most: float = 15.0, days: int = 60) -> DataFrame:
+    """Rows whose price is below the day's quantile and ``most`` at most, with their range tightness."""
     cut = F.percentile("close", F.lit(quantile)).over(panel.period())
     rows = prices.withColumns({"cut": cut, "tightness": panel.range_tightness(F.col("close"), days)})
-    keep = F.col("close") < F.col("cut")
-    return rows.where(keep if most is None else keep & (F.col("close") <= most))
+    return rows.where((F.col("close") < F.col("cut")) & (F.col("close") <= most))
 
 
 def bias_backtest(prices: DataFrame, n: int = 20) -> DataFrame:

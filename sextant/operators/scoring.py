@@ -36,15 +36,20 @@ def exposure(trades: DataFrame) -> DataFrame:
 
 
 def report(trades: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row: predictions, trades, open and resolved trades, Brier score, profit and loss."""
+    """One row: predictions, trades, open and resolved trades, Brier score, profit and loss, and the calibration: each
+    bucket's label, forecasts and share that came true, in the order of the buckets."""
     pnl = f.payoff(F.col("size"), F.col("limit_price"), F.col("direction"), F.col("outcome"))
     p = F.when(F.col("direction") == "NO", 1 - F.col("probability")).otherwise(F.col("probability"))
     joined = trades.join(predictions, "prediction_id", "full_outer")
-    return joined.agg(
+    line = F.concat_ws(" ", "label", F.col("n").cast("string"), F.col("actual").cast("string"))
+    rows = calibration(resolved(trades, predictions)).agg(F.array_sort(F.collect_list(F.struct("bucket", line.alias("line")))).alias("x"))  # one row for each bucket
+    buckets = rows.select(F.array_join("x.line", "; ").alias("calibration"))
+    one = joined.agg(
         F.count_distinct("prediction_id").alias("n_predictions"), F.count("trade_id").alias("n_trades"),
         F.count_if(F.col("trade_id").isNotNull() & f.open_trade(F.col("status"), F.col("outcome"))).alias("n_open"), F.count("outcome").alias("n_resolved"),
         f.cents(F.avg(F.when(F.col("outcome").isNotNull(), F.pow(p - F.col("outcome"), 2))), 4).alias("brier"), f.cents(F.sum(pnl)).alias("pnl"),
     )
+    return one.join(F.broadcast(buckets))  # one row each
 
 
 def valid_predictions(df: DataFrame) -> tuple[DataFrame, DataFrame]:

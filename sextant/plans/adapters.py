@@ -76,15 +76,15 @@ PREDICTIONS = """predictions AS (SELECT CAST(o_orderkey AS VARCHAR) AS predictio
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trade for each order; its book is a group of customers, its outcome the order's status."""
+    """A trade for each order; its book is the customer, its outcome the order's status."""
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("t"), k.cast("string")).alias("trade_id"), k.cast("string").alias("prediction_id"), (F.col("o_custkey") % 50).alias("book"), k.alias("seq"), F.when(k % 2 == 0, "YES").otherwise("NO").alias("direction"),
+        F.concat(F.lit("t"), k.cast("string")).alias("trade_id"), k.cast("string").alias("prediction_id"), F.col("o_custkey").alias("book"), k.alias("seq"), F.when(k % 2 == 0, "YES").otherwise("NO").alias("direction"),
         ((1 + k % 100) / F.lit(100.0)).alias("size"), ((k * 61) % 99 / F.lit(100.0) + 0.01).alias("limit_price"), F.when(k % 10 == 0, "cancelled").otherwise("simulated").alias("status"),
         F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0).alias("outcome"), F.col("o_orderdate").alias("timestamp"))
 
 
-TRADES = """trades AS (SELECT 't' || CAST(o_orderkey AS VARCHAR) AS trade_id, CAST(o_orderkey AS VARCHAR) AS prediction_id, o_custkey % 50 AS book, o_orderkey AS seq,
+TRADES = """trades AS (SELECT 't' || CAST(o_orderkey AS VARCHAR) AS trade_id, CAST(o_orderkey AS VARCHAR) AS prediction_id, o_custkey AS book, o_orderkey AS seq,
   CASE WHEN o_orderkey % 2 = 0 THEN 'YES' ELSE 'NO' END AS direction, (1 + o_orderkey % 100) / 100.0::DOUBLE AS size, (o_orderkey * 61) % 99 / 100.0::DOUBLE + 0.01::DOUBLE AS limit_price,
   CASE WHEN o_orderkey % 10 = 0 THEN 'cancelled' ELSE 'simulated' END AS status, CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 0.0::DOUBLE END AS outcome, o_orderdate AS timestamp FROM orders)"""
 
@@ -95,12 +95,13 @@ def factor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.make_date(F.substring("quarter", 1, 4).cast("int"), 3 * F.substring("quarter", 6, 1).cast("int") - 2, F.lit(1))
     c = F.col
     return s.select("symbol", "quarter", d.alias("d"), (c("quantity") * 10).alias("shares"), f.cents(c("revenue") / c("quantity"), 4).alias("close"), f.cents(c("discounts") * 2, 2).alias("debt"), c("tax").alias("cash"),
-        f.cents(c("revenue") - c("discounts"), 2).alias("ebitda"), f.cents((c("revenue") - c("discounts") - c("tax")) / c("quantity"), 4).alias("eps"), c("revenue").alias("assets"), f.cents(c("revenue") - 2 * c("discounts"), 2).alias("cash_flow"), f.cents(c("revenue") - c("tax"), 2).alias("gross_profit"))
+        f.cents(c("revenue") - c("discounts"), 2).alias("ebitda"), f.cents((c("revenue") - c("discounts") - c("tax")) / c("quantity"), 4).alias("eps"), c("revenue").alias("assets"), f.cents(c("revenue") - 2 * c("discounts"), 2).alias("cash_flow"), f.cents(c("revenue") - c("tax"), 2).alias("gross_profit"),
+        f.cents(c("revenue") - 2 * c("discounts"), 2).alias("equity"), f.cents(c("revenue") - c("discounts") - c("tax"), 2).alias("net_income"), f.cents(100 * c("tax") / c("revenue"), 4).alias("dividend_yield"), c("revenue"))
 
 
 FACTOR_ROWS = """factor_rows AS (SELECT symbol, quarter, make_date(CAST(left(quarter, 4) AS INTEGER), 3 * CAST(right(quarter, 1) AS INTEGER) - 2, 1) AS d, quantity * 10 AS shares, round(revenue / quantity + 1e-9, 4) AS close,
   round(discounts * 2 + 1e-9, 2) AS debt, tax AS cash, round(revenue - discounts + 1e-9, 2) AS ebitda, round((revenue - discounts - tax) / quantity + 1e-9, 4) AS eps, revenue AS assets, round(revenue - 2 * discounts + 1e-9, 2) AS cash_flow,
-  round(revenue - tax + 1e-9, 2) AS gross_profit FROM statements)"""
+  round(revenue - tax + 1e-9, 2) AS gross_profit, round(revenue - 2 * discounts + 1e-9, 2) AS equity, round(revenue - discounts - tax + 1e-9, 2) AS net_income, round(100 * tax / revenue + 1e-9, 4) AS dividend_yield, revenue FROM statements)"""
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +109,8 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, ("google", "cnyes", "yahoo", "exchange", "symbol")))
     d = table(spark, sf_dir, "documents")
     hosts = F.array(*map(F.lit, ("www.rt.com", "ft.com", "www.breitbart.com", "example.org", "wsj.com:443")))
-    return d.select(F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("source"), F.left(F.split("text", "\n")[0], F.lit(60)).alias("title"), F.concat(F.lit("http://"), F.get(hosts, (F.col("doc_id") % 5).cast("int")), F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.col("doc_id").alias("ord"))
+    return d.select(F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("source"), F.split("text", "\n")[0].alias("title"), F.concat(F.lit("http://"), F.get(hosts, (F.col("doc_id") % 5).cast("int")), F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.col("doc_id").alias("ord"))
 
 
-NEWS = """news AS (SELECT ['google', 'cnyes', 'yahoo', 'exchange', 'symbol'][doc_id % 5 + 1] AS source, left(string_split(text, chr(10))[1], 60) AS title,
+NEWS = """news AS (SELECT ['google', 'cnyes', 'yahoo', 'exchange', 'symbol'][doc_id % 5 + 1] AS source, string_split(text, chr(10))[1] AS title,
   'http://' || ['www.rt.com', 'ft.com', 'www.breitbart.com', 'example.org', 'wsj.com:443'][doc_id % 5 + 1] || '/' || CAST(doc_id AS VARCHAR) AS url, doc_id AS ord FROM documents)"""

@@ -100,11 +100,11 @@ def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
     """Prices landed in two batches of files and merged by key: the second doubles the prices of 2001."""
     path, at = shared_path(spark, "prices"), shared_path(spark, "table")
     p = a.prices(spark, sf)
-    p.coalesce(1).write.parquet(path)
+    p.write.parquet(path)
     schema = p.schema
     ck = shared_path(spark, "ck")
     ingest.upserts(ingest.landed(spark, path, schema), at, ["symbol", "d"], ck).awaitTermination()
-    p.where("d >= date'2001-01-01'").withColumn("close", F.col("close") * 2).coalesce(1).write.mode("append").parquet(path)
+    p.where("d >= date'2001-01-01'").withColumn("close", F.col("close") * 2).write.mode("append").parquet(path)
     ingest.upserts(ingest.landed(spark, path, schema), at, ["symbol", "d"], ck).awaitTermination()
     return spark.read.schema(schema).parquet(f"{at}/v=1").select("symbol", "d", f.cents(F.col("close"), 4).alias("close"))
 

@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def r(x: Column, n: int = 6) -> Column:
-    return F.round(x + 1e-9, n)
+    return F.round(x + F.signum(x) * 1e-9, n)
 
 
 S = "PARTITION BY symbol ORDER BY d"
@@ -45,7 +45,7 @@ def roll(fn: str, x: str, n: int) -> str:
 
 
 def rd(x: str, n: int = 6) -> str:
-    return f"round({x} + 1e-9, {n}) + 0.0"
+    return f"round({x} + sign({x}) * 1e-9, {n}) + 0.0"
 
 
 # --- rolling and cross-sectional ---------------------------------------------------------------------------------
@@ -89,11 +89,13 @@ def rolling_std(spark: SparkSession, sf: str) -> DataFrame:
     return a.prices(spark, sf).select("symbol", "d", r(-panel.rolling(F.stddev_samp, c("close"), 20), 4).alias("variability"))
 
 
-@query(f"""WITH {a.PRICES}, q AS (SELECT d, quantile_cont(close, 0.15) AS cut FROM prices GROUP BY d),
-t AS (SELECT *, 1 - ({roll('min', 'close', 60)}) / ({roll('max', 'close', 60)}) AS tightness FROM prices)
-SELECT symbol, d, close, {rd('cut')} AS cut, {rd('tightness')} AS tightness FROM t JOIN q USING (d) WHERE close < cut""")
+@query(f"""WITH {a.PRICES}, p AS (SELECT symbol, d, close * 0.14::DOUBLE AS close FROM prices), q AS (SELECT d, quantile_cont(close, 0.15) AS cut FROM p GROUP BY d),
+t AS (SELECT *, 1 - ({roll('min', 'close', 60)}) / ({roll('max', 'close', 60)}) AS tightness FROM p)
+SELECT symbol, d, {rd('close')} AS close, {rd('cut')} AS cut, {rd('tightness')} AS tightness FROM t JOIN q USING (d) WHERE close < cut AND close <= 15""")
 def low_price_screen(spark: SparkSession, sf: str) -> DataFrame:
-    return factors.low_price_screen(a.prices(spark, sf)).select("symbol", "d", "close", r(c("cut")).alias("cut"), r(c("tightness")).alias("tightness"))
+    """The tables' prices are around 100; scaled to around 15, both bounds count."""
+    p = a.prices(spark, sf).select("symbol", "d", (c("close") * 0.14).alias("close"))
+    return factors.low_price_screen(p).select("symbol", "d", r(c("close")).alias("close"), r(c("cut")).alias("cut"), r(c("tightness")).alias("tightness"))
 
 
 @query(f"WITH {a.PRICES}, z AS (SELECT *, (close - avg(close) OVER (PARTITION BY d)) / nullif(stddev_pop(close) OVER (PARTITION BY d), 0) AS z FROM prices) SELECT symbol, d, CASE WHEN abs(z) <= 3 THEN {rd('z', 5)} END AS z FROM z")
@@ -150,19 +152,26 @@ def period_return(spark: SparkSession, sf: str) -> DataFrame:
     return panel.period_return(at, "close", "probe").select("symbol", "probe", r(c("period_return")).alias("period_return"))
 
 
-ZS = ("ebitda_ev", "earnings_yield", "shareholder_yield", "cash_flow_assets", "gross_profit_assets", "leverage", "variability", "mom")
+ZS = ("cash_flow_share", "earnings_yield", "shareholder_yield", "ebitda_ev", "roe", "roa", "variability", "cash_flow_assets", "gross_profit_assets", "leverage", "income_streak", "revenue_streak")
 Z_SQL = ", ".join(f"CASE WHEN abs((({n}) - avg({n}) OVER p) / nullif(stddev_pop({n}) OVER p, 0)) <= 3 THEN (({n}) - avg({n}) OVER p) / nullif(stddev_pop({n}) OVER p, 0) END AS z_{n}" for n in ZS)
 
 
-@query(f"""WITH {a.STATEMENTS}, {a.UNIVERSE}, {a.FACTOR_ROWS}, b AS (SELECT f.*, category, shares / 10 * close AS cap, shares / 10 * close + debt - cash AS ev FROM factor_rows f JOIN universe USING (symbol) WHERE category <> 'etf'),
-m AS (SELECT *, ebitda / nullif(ev, 0) AS ebitda_ev, eps / nullif(close, 0) AS earnings_yield, (shares - lag(shares, 4) OVER ({S})) * close / nullif(cap, 0) AS shareholder_yield, cash_flow / nullif(assets, 0) AS cash_flow_assets,
- gross_profit / nullif(assets, 0) AS gross_profit_assets, -debt / nullif(assets, 0) AS leverage, -({roll('stddev_samp', 'eps', 4)}) AS variability, close / lag(close) OVER ({S}) - 1 AS mom, {roll('avg', 'eps', 2)} AS ma, row_number() OVER ({S}) AS i FROM b),
-u AS (SELECT *, CASE WHEN ma > lag(ma) OVER ({S}) THEN 1 ELSE 0 END AS up FROM m), k AS (SELECT *, CASE WHEN sum(up) {frame(2)} = 2 AND i > 2 THEN 1.0 ELSE 0.0 END AS streak FROM u),
-z AS (SELECT *, {Z_SQL} FROM k WINDOW p AS (PARTITION BY d)),
-t AS (SELECT *, 0.4 * (CASE category WHEN 'financial' THEN 0.5 * z_cash_flow_assets + 0.5 * z_leverage ELSE 0.25 * z_cash_flow_assets + 0.25 * z_gross_profit_assets + 0.25 * z_leverage + 0.25 * z_variability END)
- + 0.3 * (0.4 * z_ebitda_ev + 0.4 * z_earnings_yield + 0.2 * z_shareholder_yield) + 0.3 * (z_mom + streak) AS total FROM z),
-w AS (SELECT symbol, d, {rd('CASE WHEN total >= 0 THEN 1 + total ELSE 1 / (1 - total) END')} AS score FROM t),
-q AS (SELECT d, quantile_cont(score, 0.75) AS cut FROM w GROUP BY d) SELECT symbol, d, score, coalesce(score >= cut, false) AS selected FROM w JOIN q USING (d)""")
+def streak_sql(x: str) -> str:
+    """1 where the mean of five rows rose three times running."""
+    return f"CASE WHEN i > 3 AND sum(CASE WHEN up_{x} THEN 1 ELSE 0 END) {frame(3)} = 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+@query(f"""WITH {a.STATEMENTS}, {a.UNIVERSE}, {a.FACTOR_ROWS}, b AS (SELECT f.*, category, shares / 10 * close AS cap, shares / 10 * close + debt - cash AS ev, ebitda / lag(ebitda) OVER ({S}) - 1 AS growth, row_number() OVER ({S}) AS i,
+ {roll('avg', 'net_income', 5)} AS ma_income, {roll('avg', 'revenue', 5)} AS ma_revenue FROM factor_rows f JOIN universe USING (symbol) WHERE category <> 'etf'),
+m AS (SELECT *, cash_flow / nullif(shares, 0) AS cash_flow_share, eps / nullif(close, 0) AS earnings_yield, dividend_yield + (shares - lag(shares, 12) OVER ({S})) * close / nullif(cap, 0) AS shareholder_yield, ebitda / nullif(ev, 0) AS ebitda_ev,
+ net_income / nullif(equity, 0) AS roe, net_income / nullif(assets, 0) AS roa, -({roll('stddev_samp', 'growth', 20)}) AS variability, cash_flow / nullif(assets, 0) AS cash_flow_assets, gross_profit / nullif(assets, 0) AS gross_profit_assets,
+ debt / nullif(equity, 0) AS leverage, ma_income > lag(ma_income) OVER ({S}) AS up_income, ma_revenue > lag(ma_revenue) OVER ({S}) AS up_revenue FROM b),
+k AS (SELECT *, {streak_sql('income')} AS income_streak, {streak_sql('revenue')} AS revenue_streak FROM m), z AS (SELECT *, {Z_SQL} FROM k WINDOW p AS (PARTITION BY d)),
+t AS (SELECT *, 0.4 * CASE category WHEN 'financial' THEN (z_roe + z_variability + z_roa) / 3 ELSE 0.2 * (z_roe + z_variability + z_cash_flow_assets + z_gross_profit_assets + z_leverage) END
+ + 0.3 * CASE category WHEN 'financial' THEN 0.3 * z_cash_flow_share + 0.3 * z_ebitda_ev + 0.3 * z_earnings_yield + 0.1 * z_shareholder_yield ELSE 0.4 * z_cash_flow_share + 0.4 * z_earnings_yield + 0.2 * z_shareholder_yield END
+ + 0.3 * (z_income_streak + z_revenue_streak) AS total FROM z),
+w AS (SELECT symbol, d, round(CASE WHEN total >= 0 THEN 1 + total ELSE 1 / (1 - total) END, 6) AS score FROM t),
+q AS (SELECT d, round(quantile_cont(score, 0.75), 6) AS cut FROM w GROUP BY d) SELECT symbol, d, score, coalesce(score > cut, false) AS selected FROM w JOIN q USING (d)""")
 def multi_factor_rating(spark: SparkSession, sf: str) -> DataFrame:
     return factors.multi_factor_rating(a.factor_rows(spark, sf), a.universe(spark, sf)).select("symbol", "d", "score", "selected")
 
@@ -280,13 +289,13 @@ def risk_admission(spark: SparkSession, sf: str) -> DataFrame:
 PAYOFF = "CASE WHEN outcome = 1 THEN size - CASE direction WHEN 'YES' THEN size * limit_price ELSE size * (1 - limit_price) END WHEN outcome IS NOT NULL THEN -CASE direction WHEN 'YES' THEN size * limit_price ELSE size * (1 - limit_price) END END"
 
 
-@query(f"""WITH {a.TRADES}, p AS (SELECT book, date_trunc('month', timestamp)::DATE AS d, seq, {PAYOFF} AS pnl FROM trades WHERE outcome IS NOT NULL),
-x AS (SELECT *, round(sum(pnl) OVER w + 1e-9, 2) AS day_pnl FROM p WINDOW w AS (PARTITION BY book, d ORDER BY seq ROWS UNBOUNDED PRECEDING))
+@query(f"""WITH {a.TRADES}, p AS (SELECT book, CAST(timestamp AS DATE) AS d, seq, {PAYOFF} AS pnl FROM trades WHERE outcome IS NOT NULL),
+x AS (SELECT *, round(sum(pnl) OVER w + sign(sum(pnl) OVER w) * 1e-9, 2) AS day_pnl FROM p WINDOW w AS (PARTITION BY book, d ORDER BY seq ROWS UNBOUNDED PRECEDING))
 SELECT book, d, seq, day_pnl + 0.0 AS day_pnl, bool_or(day_pnl <= -4.0) OVER (PARTITION BY book, d ORDER BY seq ROWS UNBOUNDED PRECEDING) AS halted FROM x""")
 def loss_halt(spark: SparkSession, sf: str) -> DataFrame:
     t = a.trades(spark, sf).where("outcome is not null")
     pnl = f.payoff(c("size"), c("limit_price"), c("direction"), c("outcome"))
-    rows = t.select("book", F.trunc("timestamp", "MM").alias("d"), "seq", pnl.alias("pnl"))
+    rows = t.select("book", F.to_date("timestamp").alias("d"), "seq", pnl.alias("pnl"))
     return risk.halts(rows).select("book", "d", "seq", "day_pnl", "halted")
 
 
@@ -308,14 +317,17 @@ def brier(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.brier(scoring.resolved(a.trades(spark, sf), a.predictions(spark, sf)))
 
 
-@query(f"""WITH {a.TRADES}, {a.PREDICTIONS}, x AS (SELECT CAST(floor(probability / 0.1::DOUBLE) AS BIGINT) AS bucket, outcome FROM trades JOIN predictions USING (prediction_id) WHERE outcome IS NOT NULL)
-SELECT bucket, count(*) AS n, round(avg(outcome) + 1e-9, 3) AS actual, CAST(bucket * 10 AS VARCHAR) || '%-' || CAST((bucket + 1) * 10 AS VARCHAR) || '%' AS label FROM x GROUP BY bucket""")
+CALIBRATION = """SELECT bucket, count(*) AS n, round(avg(outcome) + 1e-9, 3) AS actual, CAST(bucket * 10 AS VARCHAR) || '%-' || CAST((bucket + 1) * 10 AS VARCHAR) || '%' AS label
+ FROM (SELECT CAST(floor(probability / 0.1::DOUBLE) AS BIGINT) AS bucket, outcome FROM trades JOIN predictions USING (prediction_id) WHERE outcome IS NOT NULL) GROUP BY bucket"""
+
+
+@query(f"WITH {a.TRADES}, {a.PREDICTIONS} {CALIBRATION}")
 def calibration(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.calibration(scoring.resolved(a.trades(spark, sf), a.predictions(spark, sf)))
 
 
 @query(f"""WITH {a.TRADES}, {a.PREDICTIONS} SELECT count(DISTINCT prediction_id) AS n_predictions, count(trade_id) AS n_trades, count(*) FILTER (WHERE outcome IS NULL AND status <> 'cancelled') AS n_open, count(outcome) AS n_resolved,
- {BRIER} AS brier, round(sum({PAYOFF}) + 1e-9, 2) AS pnl FROM trades JOIN predictions USING (prediction_id)""")
+ {BRIER} AS brier, {rd(f'sum({PAYOFF})', 2)} AS pnl, (SELECT string_agg(label || ' ' || CAST(n AS VARCHAR) || ' ' || CAST(actual AS VARCHAR), '; ' ORDER BY bucket) FROM ({CALIBRATION})) AS calibration FROM trades JOIN predictions USING (prediction_id)""")
 def report(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.report(a.trades(spark, sf), a.predictions(spark, sf))
 
@@ -441,7 +453,7 @@ def statement_maps(spark: SparkSession, sf: str) -> DataFrame:
 def debt_clean(spark: SparkSession, sf: str) -> DataFrame:
     cells = [c("o_custkey").cast("string"), F.left("o_orderpriority", F.lit(1)), F.lit("name"), c("o_orderkey").cast("string"), *[F.lit(str(i)) for i in range(10)]]
     line = F.concat_ws(" ", *cells)
-    text = a.table(spark, sf, "orders").groupBy((c("o_orderkey") % 500).alias("page")).agg(F.concat(F.lit("header line\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n共 9 筆")).alias("text"))
+    text = a.table(spark, sf, "orders").groupBy(F.floor(c("o_orderkey") / 200).alias("page")).agg(F.concat(F.lit("header line\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n共 9 筆")).alias("text"))
     return clean.bond_rows(text.unionAll(text), "text", F.lit(NOW).cast("date")).select("symbol", "bond_code", "kind", "d")
 
 
@@ -476,10 +488,11 @@ def article_blocks(spark: SparkSession, sf: str) -> DataFrame:
 TAGGED = "['[標的]', '[請益]', '[心得]', '[新聞]', '[閒聊]', '']"
 
 
-@query(f"SELECT ['target', 'question', 'review', 'news', 'chat', 'general'][doc_id % 6 + 1] AS post_type, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT ['target', 'question', 'review', 'news', 'chat', 'general'][doc_id % 6 + 1] AS post_type, count(*) AS n FROM (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 50) GROUP BY 1")
 def post_type_counts(spark: SparkSession, sf: str) -> DataFrame:
     tags = F.array(*map(F.lit, (*f.POST_TAGS, "")))
-    rows = a.table(spark, sf, "documents").select(F.concat(F.get(tags, (c("doc_id") % 6).cast("int")), F.lit(" 2330 "), F.coalesce("lang", F.lit("x"))).alias("title"), F.lit("3").alias("push_count"))
+    recent = storage.recent(a.table(spark, sf, "documents").select("doc_id", "lang"), 50, "doc_id")  # the 50 newest posts, as the rule is defined
+    rows = recent.select(F.concat(F.get(tags, (c("doc_id") % 6).cast("int")), F.lit(" 2330 "), F.coalesce("lang", F.lit("x"))).alias("title"), F.lit("3").alias("push_count"))
     return clean.posts(rows).groupBy("post_type").agg(F.count("*").alias("n"))
 
 

@@ -21,16 +21,11 @@ def landed(spark: SparkSession, path: str, schema: StructType | str, files: int
 
 def upserts(stream: DataFrame, table: str, keys: list[str], checkpoint: str):
     """Merges each batch into the versions of ``table``; repeated and late rows overwrite, a repeated batch changes
-    nothing. The version of batch n is ``table``/v=n."""
+    nothing. The version of batch n is ``table``/v=n; without the version before, a batch fails rather than start anew."""
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{table}/v={n - 1}") if n else batch.limit(0)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
+        old = spark.read.parquet(f"{table}/v={n - 1}") if n else batch.limit(0)
         storage.merged(old, batch, keys).write.mode("overwrite").parquet(f"{table}/v={n}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
