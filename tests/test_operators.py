@@ -1,12 +1,15 @@
 """Golden cases of risk, scores, markets, storage and cleaning."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.operators import clean, market, risk, scoring
+from sextant.functions import scalars
+from sextant.operators import clean, factors, market, risk, scoring
 from sextant.sources import landed, storage
+from sextant.streaming import ingest
 
 TRADE = "trade_id string, prediction_id string, book long, direction string, size double, limit_price double, status string, outcome double, timestamp timestamp_ntz"
 
@@ -157,3 +160,32 @@ def test_stateful_admission_stream(spark, tmp_path):
     found = ingest.admissions(ingest.landed(spark, str(tmp_path / "in"), df.schema))
     found.writeStream.format("memory").queryName("admissions").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert [(r["accepted"], r["halted"]) for r in spark.table("admissions").orderBy("seq").collect()] == [(True, False), (False, False), (False, True), (False, True), (True, False)]
+
+
+def test_rounding_is_half_up_by_magnitude(spark):
+    df = spark.createDataFrame([(0.005,), (-0.005,), (-0.004,), (0.285,), (-1.005,)], "x double")
+    assert [r[0] for r in df.select(scalars.cents(F.col("x"))).collect()] == [0.01, -0.01, 0.0, 0.29, -1.01]
+
+
+def test_statement_items_that_repeat(spark):
+    rows = [("a", "2020Q1", "x", 1.0), ("a", "2020Q1", "x", 2.0), ("a", "2020Q1", "y", None), ("a", "2020Q1", "z", 3.0)]
+    df = spark.createDataFrame(rows, "symbol string, quarter string, item string, value double")
+    assert clean.statement_map(df).first()["items"] == {"x": 2.0, "z": 3.0}
+    assert clean.statement_pivot(df, ["x", "y"]).first()[2:] == (2.0, None)
+
+
+def test_low_prices_have_an_upper_bound(spark):
+    rows = [(s, "2020-01-01", v) for s, v in (("a", 14.0), ("b", 15.0), ("c", 15.5), ("d", 40.0), ("e", 50.0))]
+    df = spark.createDataFrame(rows, "symbol string, d string, close double")
+    assert {r["symbol"] for r in factors.low_price_screen(df, 0.7).collect()} == {"a", "b"}
+
+
+def test_upserts_do_not_start_anew(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1)], "k string, v int")
+    df.write.parquet(f"{tmp_path}/in")
+    run = lambda: ingest.upserts(ingest.landed(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/t", ["k"], f"{tmp_path}/ck").awaitTermination()
+    run()
+    df.write.mode("append").parquet(f"{tmp_path}/in")
+    shutil.rmtree(f"{tmp_path}/t/v=0")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        run()
