@@ -194,3 +194,18 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
 def _clashing(docs: DataFrame, clean: DataFrame, key: str) -> DataFrame:
     """Columns of ``docs`` that are named like the scan's own come back by the key."""
     return docs.join(clean.select(key).distinct(), key, "left_semi").select(*docs.columns)
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Windows of items and of documents as texts, joined when equal.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+i AS (SELECT item, least({WINDOW}, len(w)) AS k, unnest(list_transform(range(1, len(w) - least({WINDOW}, len(w)) + 2), lambda i : array_to_string(w[i:i + least({WINDOW}, len(w)) - 1], ' '))) AS win FROM b WHERE len(w) > 0),
+n AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS pos, unnest(list_transform(range(1, len(w) - k + 2), lambda i : array_to_string(w[i:i + k - 1], ' '))) AS win FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k),
+h AS (SELECT n.doc_id, n.pos, n.k, i.item FROM n JOIN i USING (k, win)),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS pos FROM h) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
+"""

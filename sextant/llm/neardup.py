@@ -356,3 +356,16 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     """``docs`` with one row of each group: that with the smallest key. Rows with a null key are never dropped."""
     gone = near_duplicates(docs, key, text, percent).where("not kept").select(key).distinct()
     return docs.join(gone, key, "left_anti")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: All pairs that share a shingle, without signatures; components by spreading every id over the links.
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) + any_value(b.n) AS n FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (n - c)),
+r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(r.root) AS component_id, s.doc_id = min(r.root) AS kept FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id
+"""

@@ -86,4 +86,4 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pu_quality, op2_minhash_near_duplicates, op3_site_style_tree, op4_line_dedup, op5_media_fingerprints, op6_decontaminate, op7_bpe, op8_warc, op9_rendezvous_shards, op10_pii_pseudonyms)}
-ORACLES: dict[str, str] = {"op4_line_dedup": linedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_minhash_near_duplicates": neardup.ORACLE, "op4_line_dedup": linedup.ORACLE, "op6_decontaminate": decontam.ORACLE}

@@ -32,3 +32,19 @@ def test_against_sql(spark, name):
     columns = sorted(df.columns)
     assert columns == sorted(other.columns)
     assert sorted(map(tuple, df.select(columns).collect()), key=repr) == sorted(other.select(*columns).fetchall(), key=repr)
+
+
+CONTRACT = {
+    "op1_pu_quality": "doc_id held_out score predicted", "op3_site_style_tree": "page_id url text n_chars",
+    "op5_media_fingerprints": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+    "op7_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op8_warc": "page_id payload_bytes payload_digest record_type refers_to",
+    "op9_rendezvous_shards": "doc_id size text_crc32 law shard slot grown_shard", "op10_pii_pseudonyms": "doc_id text",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_columns_and_rows_of_the_contract(spark, name):
+    found = queries.QUERIES[name](spark, DIR)
+    assert set(CONTRACT[name].split()) <= set(found.columns)
+    table = "pages" if "page_id" in found.columns else "documents"
+    assert found.count() == spark.read.parquet(f"{DIR}/{table}.parquet").count()
