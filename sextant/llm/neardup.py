@@ -6,13 +6,15 @@ signature is cut into chunks; by the pigeonhole principle two signatures that di
 ERRORS positions, the other positions are hashed to a key: all pairs under that distance share a key. With K = 24,
 chunks of 4 and 2 errors the distance is 17, and a pair of similarity 0.75 (mean distance 6) lies above it with a
 probability of 4e-7. Pairs that share a key must also be near in a longer signature of SKETCH symbols of 2 bits, which
-tells apart documents that only share a common passage; they are then confirmed on their full sets.
+tells apart documents that only share a common passage, and after the first pass in a wide one, which has the minima of
+each of BINS parts of a set: eight times the symbols for the same hashing. They are then confirmed on their full sets.
 
 Groups may be large, so not all pairs of a key are tried: a hub of each key is compared with the others, what is linked
 becomes one component, and only keys that still hold several components go on, with GROWTH times as many hubs each
-round; from the third on, shingles that no other component has are left out of the bound of what two nodes share. A pair is tried under the first key that it shares only. It is left out only when both are in one component
-already, or were compared. A first pass over few keys joins most of a large group, whose other keys then hold one
-component and go no further.
+round; from the third on, shingles that no other component has are left out of the bound of what two nodes share. A pair
+is tried under the first key that it shares only. It is left out only when both are in one component already, or were
+compared. A first pass over few keys joins most of a large group, whose other keys then hold one component and go no
+further.
 """
 
 from __future__ import annotations
@@ -39,6 +41,15 @@ GROWTH = 8
 #: probability of 2e-7.
 SKETCH = 128
 MOST = 48
+#: Parts of a set by the highest bits of its shingles, each with SKETCH symbols in the wide sketch, for sets of WIDE_FROM
+#: shingles or more, whose parts are about alike. A pair of similarity 0.75 differs in 192 of the symbols; more than
+#: WIDE_MOST has a probability of 2e-7.
+BINS = 8
+WIDE_FROM = 128
+WIDE_MOST = 266
+#: Rows of a key that meet its hubs in one task part, and pairs that are compared at once there.
+PART_ROWS = 1024
+PAIRS_AT_ONCE = 1 << 17
 #: Shingles whose minima are taken at once: what a processor's cache holds.
 AT_ONCE = 1 << 15
 _RNG = np.random.default_rng(20_240_601)
@@ -48,6 +59,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Columns of a node: chunks of the signature, parts of the sketch; each is a long.
 CHUNKS = [f"g{i}" for i in range(K // CHUNK)]
 PARTS = [f"s{i}" for i in range(SKETCH // 32)]
+WIDE = [f"w{i}" for i in range(BINS * SKETCH // 32)]
 PLACES = list(combinations(range(CHUNK), CHUNK - ERRORS))
 #: Keys of a first pass, which joins most of a large group before all keys are made.
 PILOT = (0, 2 * len(PLACES), 4 * len(PLACES))
@@ -82,9 +94,10 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarra
     return sets
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """The mixed minima of each set (none of them empty) under SKETCH hash functions: (sets, SKETCH)."""
-    low = np.empty((len(sets), SKETCH), np.uint64)
+def minima(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The mixed minima of each set (none of them empty) under SKETCH hash functions: of whole sets (sets, SKETCH), and of
+    their BINS parts (sets, BINS * SKETCH)."""
+    low = np.full((len(sets) * BINS, SKETCH), np.iinfo(np.uint64).max, np.uint64)
     first = 0
     while first < len(sets):
         last, total = first, 0
@@ -92,12 +105,19 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
             total += len(sets[last])
             last += 1
         flat = np.concatenate(sets[first:last])
-        starts = np.cumsum([0, *map(len, sets[first : last - 1])])
+        # sets are sorted, so that the parts of each lie one after another
+        part = np.repeat(np.arange(first, last), list(map(len, sets[first:last]))) * BINS + (flat // np.uint64(2**64 // BINS)).astype(np.int64)
+        starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
         for k in range(SKETCH):
-            low[first:last, k] = np.minimum.reduceat((flat ^ _XOR[k]) * _MUL[k], starts)
+            low[part[starts], k] = np.minimum.reduceat((flat ^ _XOR[k]) * _MUL[k], starts)
         first = last
-    low = (low ^ (low >> np.uint64(31))) * _MIX
-    return low ^ (low >> np.uint64(29))
+    parts = low.reshape(len(sets), BINS, SKETCH)
+    return mixed(parts.min(axis=1)), mixed(parts.reshape(len(sets), BINS * SKETCH))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(29))
 
 
 def signatures(low: np.ndarray) -> np.ndarray:
@@ -106,8 +126,8 @@ def signatures(low: np.ndarray) -> np.ndarray:
 
 
 def sketches(low: np.ndarray) -> np.ndarray:
-    """2 bits of each of the minima, 32 in a long: (sets, SKETCH / 32)."""
-    bits = (low & np.uint64(3)) << (np.arange(SKETCH, dtype=np.uint64) * np.uint64(2) % np.uint64(64))
+    """2 bits of each of the minima, 32 in a long: (sets, minima / 32)."""
+    bits = (low & np.uint64(3)) << (np.arange(low.shape[1], dtype=np.uint64) * np.uint64(2) % np.uint64(64))
     return np.bitwise_or.reduce(bits.reshape(len(low), -1, 32), axis=2).view(np.int64)
 
 
@@ -117,10 +137,10 @@ def signed(x: int) -> int:
 
 def shingle_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, n, node, print, chunks and parts) for each row: set size, the set's 64-bit hash (none for an empty set), the
-    text's own hash, which is that of Spark's xxhash64, its signature and its sketch."""
+    text's own hash, which is that of Spark's xxhash64, its signature and its sketches."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    longs = [*CHUNKS, *PARTS]
+    longs = [*CHUNKS, *PARTS, *WIDE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,8 +150,8 @@ def shingle_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
             full = np.flatnonzero(n)
             node, own = np.zeros(len(sets), np.int64), np.zeros((len(sets), len(longs)), np.int64)
             if len(full):
-                low = minima([sets[i] for i in full])
-                own[full] = np.concatenate([signatures(low), sketches(low)], axis=1)
+                low, parts = minima([sets[i] for i in full])
+                own[full] = np.concatenate([signatures(low), sketches(low), sketches(parts)], axis=1)
                 node[full] = [signed(xxhash.xxh3_64_intdigest(sets[i].tobytes())) for i in full]
             prints = [signed(xxhash.xxh64_intdigest((x or "").encode(), 42)) for x in texts]
             yield pa.RecordBatch.from_arrays(
@@ -143,25 +163,6 @@ def shingle_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, node long, print long, {kinds}")
 
 
-def unequal(a: Column, b: Column) -> Column:
-    """Four bits: which of the four symbols in two longs differ."""
-    x = a.bitwiseXOR(b)
-    for k in (8, 4, 2, 1):  # the lowest bit of a symbol gathers its others
-        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-    bit = lambda i: F.shiftrightunsigned(x, 15 * i).bitwiseAND(F.lit(1 << i).cast("long"))
-    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3)).cast("int")
-
-
-def first_shared(a: list[Column], b: list[Column], numbers: list[int]) -> Column:
-    """The first of the key ``numbers`` that two signatures share; null if there is none."""
-
-    def number(chunk: int, differ: int) -> int | None:
-        return next((k for i, p in enumerate(PLACES) if (k := chunk * len(PLACES) + i) in numbers and not any(differ >> x & 1 for x in p)), None)
-
-    tables = [F.array(*(F.lit(number(c, m)).cast("int") for m in range(1 << CHUNK))) for c in range(len(a))]
-    return F.coalesce(*(F.get(t, unequal(x, y)) for t, x, y in zip(tables, a, b, strict=True)))
-
-
 def key_marks(nodes: DataFrame, numbers: list[int]) -> DataFrame:
     """(key, number, node, root, c): for each chunk and each choice of positions that must agree, a hash of these."""
     masks = [sum(0xFFFF << 16 * i for i in p) for p in PLACES]
@@ -233,36 +234,90 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def multiple(rows: DataFrame) -> DataFrame:
-    """The rows of keys with two components or more. Counting combines before the shuffle, and a key with most of the
-    rows meets one row only, so that Spark can split it."""
-    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return rows.join(several.select("key"), "key", "left_semi")
-
-
-def differing(a: Column, b: Column) -> Column:
-    """Symbols of 2 bits in which two longs differ."""
-    x = a.bitwiseXOR(b)
-    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-
-
-def hub_pairs(rows: DataFrame, nodes: DataFrame, numbers: list[int], hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys with two components or more, with their key's number of rows as ``size``. Counting combines before
+    the shuffle, and a key with most of the rows meets one row only, so that Spark can split it."""
+    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    return rows.drop("size").join(several.select("key", "size"), "key")
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Symbols of 2 bits in which the rows of ``a`` and ``b`` differ."""
+    x = (a ^ b).view(np.uint64)
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+
+
+def first_shared(a: np.ndarray, b: np.ndarray, numbers: list[int]) -> np.ndarray:
+    """The first of the key ``numbers`` that two signatures share; -1 if there is none."""
+    same = ((a ^ b).view("<u2") == 0).reshape(len(a), len(CHUNKS), CHUNK)
+    shared = np.stack([same[:, n // len(PLACES), list(PLACES[n % len(PLACES)])].all(axis=1) for n in numbers], axis=1)
+    return np.where(shared.any(axis=1), np.asarray(numbers)[shared.argmax(axis=1)], -1)
+
+
+#: Columns of a row of a key, before its signature and sketches.
+ROW = ["key", "salt", "other", "node", "root", "c", "number", "n"]
+
+
+def near_pairs(x: np.ndarray, hubs: np.ndarray, first: np.ndarray, last: np.ndarray, numbers: list[int], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hub, node) of rows ``x`` and the rows ``first`` to ``last`` of ``hubs`` that may be linked. Columns: ROW, CHUNKS,
+    PARTS and WIDE or nothing."""
+    of = {c: i for i, c in enumerate(ROW)}
+    g, p = len(ROW), len(ROW) + len(CHUNKS)
+    w = p + len(PARTS)
+    total = np.cumsum(last - first)
+    at = 0
+    while at < len(x):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        many = (last - first)[at:end]
+        i = np.repeat(np.arange(at, end), many)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + first[i]
+        # two hubs of a key meet twice: once is enough
+        is_hub = np.zeros(len(x), bool)
+        is_hub[i[x[i, of["node"]] == hubs[j, of["node"]]]] = True
+        ok = (x[i, of["root"]] != hubs[j, of["root"]]) & (~is_hub[i] | (hubs[j, of["node"]] < x[i, of["node"]]))
+        ok &= (100 + percent) * np.minimum(x[i, of["c"]], hubs[j, of["c"]]) >= percent * (x[i, of["n"]] + hubs[j, of["n"]])
+        i, j = i[ok], j[ok]
+        ok = differing(x[i, p:w], hubs[j, p:w]) <= MOST
+        i, j = i[ok], j[ok]
+        if x.shape[1] > w:
+            ok = (np.minimum(x[i, of["n"]], hubs[j, of["n"]]) < WIDE_FROM) | (differing(x[i, w:], hubs[j, w:]) <= WIDE_MOST)
+            i, j = i[ok], j[ok]
+        if len(i):
+            ok = first_shared(x[i, g:p], hubs[j, g:p], numbers) == x[i, of["number"]]
+            yield hubs[j[ok], of["node"]], x[i[ok], of["node"]]
+        at = end
+
+
+def hub_pairs(rows: DataFrame, nodes: DataFrame, numbers: list[int], hubs: int, percent: int, wide_sketch: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs (hub, node) of each key's hubs with its nodes of other components, whose sizes and sketches allow a link,
-    under the first key that both share; and the hubs (key, node). ``rows``: (key, number, node, root, c), c being a
-    bound of what a node may have in common with another."""
-    of_node = ["n", *CHUNKS, *PARTS]
+    under the first key that both share; and the hubs (key, node). ``rows``: (key, number, node, root, c, size), c being a
+    bound of what a node may have in common with another. Keys of many rows are parted; their hubs go to each part."""
+    of_node = ["n", *CHUNKS, *PARTS, *(WIDE if wide_sketch else [])]
+    columns = ["key", "salt", "other", "node", "root", "c", "number", *of_node]
     slot = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(hubs))
-    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root", "c")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.c").alias("hub_c"))
-    wide = hub.join(nodes.select(F.col("node").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in of_node)), "hub")
-    near = (F.col("root") != F.col("hub_root")) & ((100 + percent) * F.least("c", "hub_c") >= percent * (F.col("n") + F.col("hub_n")))
-    apart = [differing(F.col(p), F.col(f"hub_{p}")) for p in PARTS]
-    near = near & (sum(apart[1:], apart[0]) <= MOST)
-    near = near & (first_shared([F.col(g) for g in CHUNKS], [F.col(f"hub_{g}") for g in CHUNKS], numbers) == F.col("number"))
-    hub_rows = hub.select("key", F.col("hub").alias("node"))
-    # two hubs of a key meet twice: once is enough
-    near = near & (~F.col("is_hub") | (F.col("hub") < F.col("node")))
-    marked = rows.join(hub_rows.withColumn("is_hub", F.lit(True)), ["key", "node"], "left").withColumn("is_hub", F.coalesce("is_hub", F.lit(False)))
-    found = marked.join(nodes.select("node", *of_node), "node").join(wide, "key").where(near)
-    return found.select("hub", "node"), hub_rows
+    parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
+    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root", "c", "number", "size")).alias("hub")).select("key", "hub.*")
+    own = hub.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("other", F.lit(0))
+    others = rows.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.lit(1))
+    met = own.unionByName(others, allowMissingColumns=True).join(nodes.select("node", *of_node), "node")
+    dealt = met.select(*(F.col(c).cast("long") for c in columns)).repartition("key", "salt").sortWithinPartitions("key", "salt", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.empty((0, len(columns)), np.int64)  # hubs of the part that the batch before ended in
+        for batch in batches:
+            y = np.concatenate([known, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
+            part = np.cumsum((y[1:, :2] != y[:-1, :2]).any(axis=1)) if len(y) else y[:, 0]
+            part = np.concatenate([[0], part])[: len(y)]
+            is_hub = y[:, 2] == 0
+            h, x, at = y[is_hub], y[~is_hub], part[is_hub]
+            first, last = (np.searchsorted(at, part[~is_hub], side) for side in ("left", "right"))
+            known = h[at == part[-1]] if len(y) else h
+            low = high = np.empty(0, np.int64)
+            found = list(near_pairs(x, h, first, last, numbers, percent))
+            if found:
+                low, high = (np.concatenate(y) for y in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["hub", "node"])
+
+    return dealt.mapInArrow(run, "hub long, node long"), hub.select("key", "node")
 
 
 def supported(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -296,9 +351,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """
     rows = written(shingle_rows(docs, key, text), "shingles")
     # one node for each distinct set
-    own = written(group_min(rows.where("node is not null"), "node", "id", "_least", salt_on="id"), "nodes")
-    is_least = F.col("id").eqNullSafe(F.col("_least"))
-    one = written(own.where(is_least).select("node", F.col("n").cast("int").alias("n"), *CHUNKS, *PARTS).dropDuplicates(["node"]), "sets")
+    full = rows.where("node is not null")
+    own = written(group_min(full.select("id", "n", "node", "print"), "node", "id", "_least", salt_on="id"), "nodes")
+    one = written(full.select("node", F.col("n").cast("int").alias("n"), *CHUNKS, *PARTS, *WIDE).dropDuplicates(["node"]), "sets")
     edges = linked(docs, key, text, own, one, None, PILOT, percent, 2)
     edges = linked(docs, key, text, own, one, edges, range(len(CHUNKS) * len(PLACES)), percent)
     nodes = own.select("id", "n", "node", "_least")
@@ -333,9 +388,9 @@ def linked(docs: DataFrame, key: str, text: str, own: DataFrame, nodes: DataFram
     if buckets.isEmpty():
         return edges
     texts = node_texts(docs, key, text, own, buckets)
-    hubs = 1 if edges is None else GROWTH
+    hubs, wide_sketch = 1 if edges is None else GROWTH, False
     while True:
-        pairs, hub_rows = hub_pairs(buckets, nodes, list(numbers), hubs, percent)
+        pairs, hub_rows = hub_pairs(buckets, nodes, list(numbers), hubs, percent, wide_sketch)
         links = downward(confirmed(written(pairs, "pairs"), texts, percent))
         edges = starred(links if edges is None else links.unionByName(edges))
         rounds = rounds and rounds - 1
@@ -347,6 +402,7 @@ def linked(docs: DataFrame, key: str, text: str, own: DataFrame, nodes: DataFram
             return edges
         hubs *= GROWTH
         if hubs >= GROWTH**2:
+            wide_sketch = True
             buckets = written(multiple(supported(buckets, texts, percent)), "buckets")
             if buckets.isEmpty():
                 return edges
