@@ -11,8 +11,8 @@ each of BINS parts of a set: eight times the symbols for the same hashing. They
 
 Groups may be large, so not all pairs of a key are tried: a hub of each key is compared with the others, what is linked
 becomes one component, and only keys that still hold several components go on, with GROWTH times as many hubs each
-round; from the third on, shingles that no other component has are left out of the bound of what two nodes share. A pair
-is tried under the first key that it shares only. It is left out only when both are in one component already, or were
+round; from the third on, shingles that no other component has are left out of the bound of what two nodes share, and
+once keys are small, all their rows are hubs, which ends the search. A pair is tried under the first key that it shares only. It is left out only when both are in one component already, or were
 compared. A first pass over few keys joins most of a large group, whose other keys then hold one component and go no
 further.
 """
@@ -287,13 +287,14 @@ def near_pairs(x: np.ndarray, hubs: np.ndarray, first: np.ndarray, last: np.ndar
         at = end
 
 
-def hub_pairs(rows: DataFrame, nodes: DataFrame, numbers: list[int], hubs: int, percent: int, wide_sketch: bool) -> tuple[DataFrame, DataFrame]:
+def hub_pairs(rows: DataFrame, nodes: DataFrame, numbers: list[int], hubs: int | None, percent: int, wide_sketch: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs (hub, node) of each key's hubs with its nodes of other components, whose sizes and sketches allow a link,
     under the first key that both share; and the hubs (key, node). ``rows``: (key, number, node, root, c, size), c being a
-    bound of what a node may have in common with another. Keys of many rows are parted; their hubs go to each part."""
+    bound of what a node may have in common with another. Keys of many rows are parted; their hubs go to each part. With
+    ``hubs`` None every row is a hub."""
     of_node = ["n", *CHUNKS, *PARTS, *(WIDE if wide_sketch else [])]
     columns = ["key", "salt", "other", "node", "root", "c", "number", *of_node]
-    slot = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(hubs))
+    slot = F.col("node") if hubs is None else F.pmod(F.xxhash64("node", F.lit(7)), F.lit(hubs))
     parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
     hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root", "c", "number", "size")).alias("hub")).select("key", "hub.*")
     own = hub.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("other", F.lit(0))
@@ -320,6 +321,13 @@ def hub_pairs(rows: DataFrame, nodes: DataFrame, numbers: list[int], hubs: int,
     return dealt.mapInArrow(run, "hub long, node long"), hub.select("key", "node")
 
 
+def small_keys(rows: DataFrame, hubs: int) -> bool:
+    """Whether all pairs within the keys of ``rows`` are no more than the next round would meet, and the copies of the hubs
+    for the parts of a key no more than the rows."""
+    n, squares = rows.agg(F.count("*"), F.sum(F.col("size").cast("double"))).first()
+    return squares <= min(GROWTH * hubs, PART_ROWS) * n
+
+
 def supported(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``rows`` with c, how many of a node's shingles a node of another component in ``rows`` has, too; nodes that cannot
     have a link for want of them go. What is left unlinked in a large group mostly owes it to words of its own."""
@@ -388,11 +396,14 @@ def linked(docs: DataFrame, key: str, text: str, own: DataFrame, nodes: DataFram
     if buckets.isEmpty():
         return edges
     texts = node_texts(docs, key, text, own, buckets)
-    hubs, wide_sketch = 1 if edges is None else GROWTH, False
+    hubs, wide_sketch, last = 1 if edges is None else GROWTH, False, False
     while True:
-        pairs, hub_rows = hub_pairs(buckets, nodes, list(numbers), hubs, percent, wide_sketch)
+        pairs, hub_rows = hub_pairs(buckets, nodes, list(numbers), None if last else hubs, percent, wide_sketch)
         links = downward(confirmed(written(pairs, "pairs"), texts, percent))
-        edges = starred(links if edges is None else links.unionByName(edges))
+        edges = links if edges is None else links.unionByName(edges)
+        if last:
+            return edges.distinct()
+        edges = starred(edges)
         rounds = rounds and rounds - 1
         if rounds == 0:
             return edges
@@ -406,6 +417,7 @@ def linked(docs: DataFrame, key: str, text: str, own: DataFrame, nodes: DataFram
             buckets = written(multiple(supported(buckets, texts, percent)), "buckets")
             if buckets.isEmpty():
                 return edges
+            last = small_keys(buckets, hubs)
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
