@@ -234,10 +234,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def multiple(rows: DataFrame) -> DataFrame:
-    """The rows of keys with two components or more, with their key's number of rows as ``size``. Counting combines before
-    the shuffle, and a key with most of the rows meets one row only, so that Spark can split it."""
-    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return rows.drop("size").join(several.select("key", "size"), "key")
+    """The rows of keys with two components or more, with their key's number of rows as ``size`` and its least node as
+    ``lead``. Counting combines before the shuffle, and a key with most of the rows meets one row only, so that Spark can
+    split it."""
+    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.min("node").alias("lead")).where("lo <> hi")
+    return rows.drop("size", "lead").join(several.select("key", "size", "lead"), "key")
+
+
+def hub_choice(hubs: int) -> Column:
+    """Whether a row of ``multiple`` is a hub: its key's lead, and others by their hash, about ``hubs`` in all, or every row
+    of a key of up to ``hubs``. The row itself tells, so that hubs are neither gathered nor joined back."""
+    rate = F.ceil(F.col("size") / hubs)
+    return (F.col("node") == F.col("lead")) | (F.lit(hubs > 1) & (F.pmod(F.xxhash64("node", F.lit(hubs)), rate) == 0))
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -287,19 +295,16 @@ def near_pairs(x: np.ndarray, hubs: np.ndarray, first: np.ndarray, last: np.ndar
         at = end
 
 
-def hub_pairs(rows: DataFrame, nodes: DataFrame, numbers: list[int], hubs: int | None, percent: int, wide_sketch: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs (hub, node) of each key's hubs with its nodes of other components, whose sizes and sketches allow a link,
-    under the first key that both share; and the hubs (key, node). ``rows``: (key, number, node, root, c, size), c being a
-    bound of what a node may have in common with another. Keys of many rows are parted; their hubs go to each part. With
-    ``hubs`` None every row is a hub."""
+def hub_pairs(rows: DataFrame, nodes: DataFrame, numbers: list[int], hub: Column, percent: int, wide_sketch: bool) -> DataFrame:
+    """Pairs (hub, node) of each key's rows that are a ``hub`` with its nodes of other components, whose sizes and sketches
+    allow a link, under the first key that both share. ``rows``: (key, number, node, root, c, size, lead), c being a bound
+    of what a node may have in common with another. Keys of many rows are parted; their hubs go to each part."""
     of_node = ["n", *CHUNKS, *PARTS, *(WIDE if wide_sketch else [])]
     columns = ["key", "salt", "other", "node", "root", "c", "number", *of_node]
-    slot = F.col("node") if hubs is None else F.pmod(F.xxhash64("node", F.lit(7)), F.lit(hubs))
     parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
-    hub = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root", "c", "number", "size")).alias("hub")).select("key", "hub.*")
-    own = hub.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("other", F.lit(0))
+    own = rows.where(hub).withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("other", F.lit(0))
     others = rows.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.lit(1))
-    met = own.unionByName(others, allowMissingColumns=True).join(nodes.select("node", *of_node), "node")
+    met = own.unionByName(others).join(nodes.select("node", *of_node), "node")
     dealt = met.select(*(F.col(c).cast("long") for c in columns)).repartition("key", "salt").sortWithinPartitions("key", "salt", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +323,7 @@ def hub_pairs(rows: DataFrame, nodes: DataFrame, numbers: list[int], hubs: int |
                 low, high = (np.concatenate(y) for y in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["hub", "node"])
 
-    return dealt.mapInArrow(run, "hub long, node long"), hub.select("key", "node")
+    return dealt.mapInArrow(run, "hub long, node long")
 
 
 def small_keys(rows: DataFrame, hubs: int) -> bool:
@@ -398,7 +403,8 @@ def linked(docs: DataFrame, key: str, text: str, own: DataFrame, nodes: DataFram
     texts = node_texts(docs, key, text, own, buckets)
     hubs, wide_sketch, last = 1 if edges is None else GROWTH, False, False
     while True:
-        pairs, hub_rows = hub_pairs(buckets, nodes, list(numbers), None if last else hubs, percent, wide_sketch)
+        hub = F.lit(True) if last else hub_choice(hubs)
+        pairs = hub_pairs(buckets, nodes, list(numbers), hub, percent, wide_sketch)
         links = downward(confirmed(written(pairs, "pairs"), texts, percent))
         edges = links if edges is None else links.unionByName(edges)
         if last:
@@ -407,7 +413,7 @@ def linked(docs: DataFrame, key: str, text: str, own: DataFrame, nodes: DataFram
         rounds = rounds and rounds - 1
         if rounds == 0:
             return edges
-        rest = buckets.drop("root").join(hub_rows, ["key", "node"], "left_anti").join(named(edges), "node", "left")
+        rest = buckets.where(~hub).drop("root").join(named(edges), "node", "left")
         buckets = written(multiple(rest.select("key", "number", "node", F.coalesce("root", "node").alias("root"), "c")), "buckets")
         if buckets.isEmpty():
             return edges
