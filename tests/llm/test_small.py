@@ -78,6 +78,29 @@ def test_near_duplicates_of_large_groups(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
 
 
+def test_near_duplicates_of_many_unlinked_texts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PART_ROWS", 4)  # keys in many parts, and no early end
+    rng = random.Random(7)
+    base = sentence(rng, 200).split()
+    rows = []
+    for i in range(120):  # each near the base, most of them not near enough to one another
+        words = list(base)
+        for place in rng.sample(range(200), rng.choice((2, 5, 8, 12))):
+            words[place] = rng.choice(WORDS)
+        rows.append((i, " ".join(words)))
+    found = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+
+
+def test_hub_choice(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 8, 0).otherwise(1).alias("key"), F.col("id").alias("node"), F.col("id").alias("root"))
+    marked = neardup.multiple(rows)
+    for hubs, small, least, most in ((1, 1, 1, 1), (8, 8, 1, 40), (64, 8, 20, 130), (1024, 8, 992, 992)):
+        found = {r["key"]: r for r in marked.where(neardup.hub_choice(hubs)).groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).collect()}
+        assert found[0]["n"] == small and least <= found[1]["n"] <= most
+        assert (found[0]["first"], found[1]["first"]) == (0, 8)  # the lead is always one
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     assert neardup.keep_first(frame(spark, [(1, None), (2, ""), (3, "a b"), (3, "a b"), (4, "a b")])).count() == 4
