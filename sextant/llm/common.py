@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,18 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most ``rows`` rows in one Arrow batch of the jobs that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the rows of an Arrow batch, so that a Python worker holds a few megabytes of text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -66,3 +80,16 @@ def group_min(df: DataFrame, key: str, value: str, out: str, salt_on: str, salts
     least = parts.groupBy(key).agg(F.min("_least").alias(out), F.collect_list("_salt").alias("_salts"))
     spread = least.select(key, out, F.explode("_salts").alias("_salt"))
     return salted.join(spread, [key, "_salt"])
+
+
+def group_total(df: DataFrame, key: str, total_parts: Column, out: str, salts: int = 64) -> DataFrame:
+    """``df`` with ``out``, the total of its ``key`` group, nulls being one group: as ``group_min``, safe for a hot key.
+
+    ``total_parts`` is a sum or a count over the rows of one (key, salt); the salt is a row's place in the scan.
+    """
+    salt, one, same = (fresh(df, x) for x in ("_salt", "_part", "_same"))
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    parts = salted.groupBy(key, salt).agg(total_parts.alias(one))
+    totals = parts.groupBy(F.col(key).alias(same)).agg(F.sum(one).alias(out), F.collect_list(salt).alias(salt))
+    spread = totals.select(same, out, F.explode(salt).alias(one))
+    return salted.join(spread, F.col(key).eqNullSafe(F.col(same)) & (F.col(salt) == F.col(one))).drop(salt, one, same)

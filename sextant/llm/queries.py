@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linedup, media, neardup, pii, quality, sharding, sitetree, warc
+from . import bpe, decontam, linedup, media, neardup, pii, quality, sharding, sitetree, toxicity, trie, vectorcode, warc
 from .common import held_out
 
 
@@ -85,5 +85,22 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("pii").cast("long").alias("n_values"), F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",").alias("kinds"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pu_quality, op2_minhash_near_duplicates, op3_site_style_tree, op4_line_dedup, op5_media_fingerprints, op6_decontaminate, op7_bpe, op8_warc, op9_rendezvous_shards, op10_pii_pseudonyms)}
-ORACLES: dict[str, str] = {"op2_minhash_near_duplicates": neardup.ORACLE, "op4_line_dedup": linedup.ORACLE, "op6_decontaminate": decontam.ORACLE}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All starts of all conversations, each opened by the first turns of its family's head."""
+    return trie.family_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored for toxicity by classifiers of confirmed toxic texts and the corpus without labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector coded by eight codebooks of sixteen entries."""
+    return vectorcode.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pu_quality, op2_minhash_near_duplicates, op3_site_style_tree, op4_line_dedup, op5_media_fingerprints, op6_decontaminate, op7_bpe, op8_warc, op9_rendezvous_shards, op10_pii_pseudonyms, op11_prefix_trie, op12_pu_toxicity, op13_dual_tree_codes)}
+ORACLES: dict[str, str] = {"op2_minhash_near_duplicates": neardup.ORACLE, "op4_line_dedup": linedup.ORACLE, "op6_decontaminate": decontam.ORACLE, "op11_prefix_trie": trie.ORACLE, "op13_dual_tree_codes": vectorcode.oracle()}

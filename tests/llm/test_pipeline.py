@@ -27,7 +27,7 @@ def test_stages_narrow_the_documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         c.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     df, other = queries.QUERIES[name](spark, DIR), c.sql(queries.ORACLES[name])
     columns = sorted(df.columns)
@@ -40,6 +40,7 @@ CONTRACT = {
     "op5_media_fingerprints": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
     "op7_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op8_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op9_rendezvous_shards": "doc_id size text_crc32 law shard slot grown_shard", "op10_pii_pseudonyms": "doc_id text",
+    "op12_pu_toxicity": "doc_id held_out score predicted",
 }
 
 
