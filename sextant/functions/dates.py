@@ -77,12 +77,16 @@ def month_gap(lo: Column, hi: Column, less: int = 3) -> Column:
 
 
 def relative_time(text: Column, now: Column) -> Column:
-    """'3 hours ago' and '2 days ago' before ``now``, three absolute formats, else ``now``."""
-    n = F.regexp_extract(text, r"(\d+)", 1).try_cast("int")
-    hours, days = F.lower(text).contains("hour"), F.lower(text).contains("day")
-    absolute = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MMM d, yyyy")), now)
-    back = lambda unit: now - F.make_interval(**{unit: n})
-    return F.when(hours & n.isNotNull(), back("hours")).when(days & n.isNotNull(), back("days")).otherwise(absolute)
+    """'3 hours ago' and '2 days ago' before ``now``, the digits before the unit counting; else an ISO time, an ISO day or
+    a day such as 'January 5, 2024' or 'Jan 5, 2024'; else ``now``."""
+    low = F.lower(text)
+    absolute = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy")), now)
+    out = absolute
+    for unit in ("day", "hour"):
+        digits = F.regexp_replace(F.substring_index(low, unit, 1), r"[^0-9]", "")
+        n = F.when(low.contains(unit), digits.try_cast("int"))
+        out = F.when(n.isNotNull(), now - F.make_interval(**{f"{unit}s": n})).otherwise(out)
+    return out
 
 
 def resume_day(latest: Column, today: Column, start: str = "2013-01-01") -> Column:

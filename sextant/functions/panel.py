@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+#: Days from 0001-01-01 to 1970-01-01.
+FIRST_DAY = 719_162
+
+
 def series() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("d")
 
@@ -81,12 +85,32 @@ def asof(left: DataFrame, right: DataFrame, values: list[str], on: str = "d", pu
     return both.select(*left.columns, *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
-def asof_dates(panel: DataFrame, probes: DataFrame, lookback: int = 366) -> DataFrame:
-    """(probe, d): the last day of ``panel`` within ``lookback`` days up to each probe, null if there is none."""
-    days = panel.select("d").distinct()
-    tried = probes.select("probe", F.explode(F.sequence(F.date_sub("probe", lookback), F.col("probe"))).alias("d"))
-    found = tried.join(days, "d").groupBy("probe").agg(F.max("d").alias("d"))
-    return probes.select("probe").distinct().join(found, "probe", "left")
+def asof_dates(panel: DataFrame, probes: DataFrame) -> DataFrame:
+    """(probe, d): the last day of ``panel`` up to each probe, however long before; null if there is none.
+
+    A probe looks among the days of its own block of 256 days, then among the last days of the earlier blocks of its block
+    of 65,536, and so on: each level carries the last day of a block to the next, and no window holds more than one block.
+    """
+    number = lambda d: F.unix_date(d) + FIRST_DAY  # noqa: E731  so that all dates are in one block of the last level
+    blocks = panel.where("d is not null").select(number("d").alias("k")).distinct().withColumn("last", F.col("k"))
+    asked = probes.select("probe").where("probe is not null").distinct().withColumns({"k": number("probe"), "at": F.lit(None).cast("int")})
+    for level in range(3):  # 2 to the 24th days, more than all dates
+        rows = blocks.withColumns({"probe": F.lit(None).cast("date"), "at": F.lit(None).cast("int"), "side": F.lit(0)})
+        rows = rows.unionByName(asked.withColumns({"last": F.lit(None).cast("int"), "side": F.lit(-1 if level else 1)}))  # a higher block has been searched below
+        held = F.last("last", ignorenulls=True).over(Window.partitionBy(F.shiftright("k", 8)).orderBy("k", "side").rowsBetween(Window.unboundedPreceding, 0))
+        found = rows.withColumn("held", held).where("probe is not null")
+        asked = found.select("probe", F.shiftright("k", 8).alias("k"), F.coalesce("at", "held").alias("at"))
+        blocks = blocks.groupBy(F.shiftright("k", 8).alias("k")).agg(F.max("last").alias("last"))
+    return asked.select("probe", F.date_from_unix_date(F.col("at") - FIRST_DAY).alias("d"))
+
+
+def period_quantile(df: DataFrame, value: str, q: float, by: str = "d", out: str = "cut", accuracy: int | None = None) -> DataFrame:
+    """(by, out): the quantile of each period, nulls left out, by one aggregation that merges partial results.
+
+    Exact with linear interpolation; with ``accuracy`` a sketch, whose rank is off by at most 1 / ``accuracy`` of the rows.
+    """
+    found = F.percentile(value, F.lit(q)) if accuracy is None else F.percentile_approx(value, F.lit(q), F.lit(accuracy))
+    return df.groupBy(by).agg(found.alias(out))
 
 
 def top_k(df: DataFrame, period: str, value: str, k: int) -> DataFrame:

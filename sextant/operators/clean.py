@@ -7,14 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, panel
 from ..functions import scalars as f
+from ..sources import landed
 
 #: The total row of revenue tables, the bond columns in order, the order of news sources.
 TOTAL_ROW = "合計"
 NO_DATA = "查無資料"
+REVENUE_HEADERS = {"公司代號": "symbol", "當月營收": "revenue", "上月營收": "revenue_before", "去年當月營收": "revenue_year_ago", "上月比較增減(%)": "change", "去年同月增減(%)": "change_year", "去年累計營收": "ytd_year_ago", "前期比較增減(%)": "ytd_change"}
+REVENUE_NUMBERS = tuple(REVENUE_HEADERS.values())[1:]
 BOND_COLUMNS = ("symbol", "kind", "company", "bond_code", "bond_name", "issued", "coupon", "due", "series", "currency", "issue_total", "month_end_balance")
 NEWS_ORDER = ("google", "cnyes", "yahoo", "exchange")
 
 
+def revenue_table(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(symbol, d, and ``REVENUE_NUMBERS``) of landed monthly revenue pages: pages without data go, the tables that are 6 to
+    11 columns wide count, the month is the page's, columns go by the last header level, totals go."""
+    known = pages.where(landed.has_data(F.col(text), NO_DATA))
+    months = known.select(F.col(key).alias("_page"), dates.roc_month(F.col(text)).alias("_month")).groupBy("_page").agg(F.max("_month").alias("_month"))  # a page's own month
+    rows = landed.fitting_tables(landed.html_tables(known, key, text))
+    cells = landed.named_cells(rows, REVENUE_HEADERS, [F.col(key).alias("_page")]).join(months, "_page")
+    return revenue_clean(cells.drop("_page"), list(REVENUE_NUMBERS), F.col("_month")).drop("_month")
+
+
 def revenue_clean(df: DataFrame, numbers: list[str], now: Column) -> DataFrame:
     """Total rows go, the sentinel becomes null, text becomes numbers, the month is added."""
     rows = df.where((F.col("symbol") != TOTAL_ROW) & F.col("symbol").isNotNull())

@@ -33,7 +33,7 @@ def derived_ratios(df: DataFrame) -> DataFrame:
     })
 
 
-def multi_factor_rating(df: DataFrame, universe: DataFrame, quantile: float = 0.75) -> DataFrame:
+def multi_factor_rating(df: DataFrame, universe: DataFrame, quantile: float = 0.75, accuracy: int | None = None) -> DataFrame:
     """Blended z-scores of quality, value and momentum by period, as weights, and whether they exceed the quantile.
 
     Financial symbols have a value score with the earnings of the enterprise and the mean of three quality scores in
@@ -50,14 +50,14 @@ def multi_factor_rating(df: DataFrame, universe: DataFrame, quantile: float = 0.
     z = z.withColumns({"value": F.when(financial, weighted(VALUE_FINANCIAL)).otherwise(weighted(VALUE)), "quality": F.when(financial, mean(QUALITY_FINANCIAL)).otherwise(mean(QUALITY)), "momentum": weighted(dict.fromkeys(MOMENTUM, 1.0))})
     total = f.blend(*((w, F.col(n)) for n, w in TOTAL.items()))
     scored = z.withColumn("score", F.round(f.z_weight(total), 6))
-    cut = F.round(F.percentile("score", F.lit(quantile)).over(panel.period()), 6)
-    return scored.withColumn("selected", F.coalesce(F.col("score") > cut, F.lit(False)))
+    cut = panel.period_quantile(scored, "score", quantile, accuracy=accuracy).select("d", F.round("cut", 6).alias("cut"))
+    return scored.join(cut, "d").withColumn("selected", F.coalesce(F.col("score") > F.col("cut"), F.lit(False)))
 
 
-def low_price_screen(prices: DataFrame, quantile: float = 0.15, most: float = 15.0, days: int = 60) -> DataFrame:
-    """Rows whose price is below the day's quantile and ``most`` at most, with their range tightness."""
-    cut = F.percentile("close", F.lit(quantile)).over(panel.period())
-    rows = prices.withColumns({"cut": cut, "tightness": panel.range_tightness(F.col("close"), days)})
+def low_price_screen(prices: DataFrame, quantile: float = 0.15, most: float = 15.0, days: int = 60, accuracy: int | None = None) -> DataFrame:
+    """Rows whose price is below the day's quantile and ``most`` at most, with their range tightness; with ``accuracy`` the
+    quantile is that of a sketch."""
+    rows = prices.withColumn("tightness", panel.range_tightness(F.col("close"), days)).join(panel.period_quantile(prices, "close", quantile, accuracy=accuracy), "d")
     return rows.where((F.col("close") < F.col("cut")) & (F.col("close") <= most))
 
 

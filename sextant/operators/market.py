@@ -68,7 +68,11 @@ def with_fallback(df: DataFrame, price: str = "market_price") -> DataFrame:
 
 def opportunities(markets: DataFrame, predictions: DataFrame, min_edge: float = MIN_EDGE) -> DataFrame:
     """Markets whose confident forecast differs enough from the price, with side, size and limit price."""
-    both = markets.join(predictions, "market_id")
+    return opportunities_of(markets.join(predictions, "market_id"), min_edge)
+
+
+def opportunities_of(both: DataFrame, min_edge: float = MIN_EDGE) -> DataFrame:
+    """``opportunities`` of forecasts that have the price of their market beside them."""
     p, price = F.col("probability"), F.col("yes_price")
     both = both.withColumns({"edge": f.edge(p, price), "direction": F.when(p > price, "YES").otherwise("NO"), "size": f.bet_size(p, price)})
     kept = both.where((F.abs("edge") >= min_edge) & F.col("confidence").isin(*CONFIDENT) & (F.col("size") > 0))

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as f
+from ..sources import storage
 from ..streaming import ingest
 from . import adapters as a
 from . import ml
+from .queries import DESK, desk_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,8 +22,12 @@ NAMES = ["eps", "debt", "cash", "assets", "gross_profit"]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares, or a local one where none is set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new path in the folder that the cluster shares; a local one only where Spark runs in one process."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -98,19 +104,47 @@ ORACLES["stream_event_windows"] = "SELECT date_trunc('hour', ts)::TIMESTAMP AS h
 
 def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
     """Prices landed in two batches of files and merged by key: the second doubles the prices of 2001."""
-    path, at = shared_path(spark, "prices"), shared_path(spark, "table")
+    path, ck = shared_path(spark, "prices"), shared_path(spark, "ck")
     p = a.prices(spark, sf)
     p.write.parquet(path)
-    schema = p.schema
-    ck = shared_path(spark, "ck")
-    ingest.upserts(ingest.landed(spark, path, schema), at, ["symbol", "d"], ck).awaitTermination()
+    table = storage.KeyedTable(spark, shared_path(spark, "table"), ["symbol", "d"], p.schema, 8)
+    ingest.upserts(ingest.landed(spark, path, p.schema), table, ck).awaitTermination()
     p.where("d >= date'2001-01-01'").withColumn("close", F.col("close") * 2).write.mode("append").parquet(path)
-    ingest.upserts(ingest.landed(spark, path, schema), at, ["symbol", "d"], ck).awaitTermination()
-    return spark.read.schema(schema).parquet(f"{at}/v=1").select("symbol", "d", f.cents(F.col("close"), 4).alias("close"))
+    ingest.upserts(ingest.landed(spark, path, p.schema), table, ck).awaitTermination()
+    return table.read().select("symbol", "d", f.cents(F.col("close"), 4).alias("close"))
 
 
 ORACLES["stream_upserts"] = f"WITH {a.PRICES} SELECT symbol, d, round(CASE WHEN d >= DATE '2001-01-01' THEN close * 2 ELSE close END + 1e-9, 4) AS close FROM prices"
 
 
-for _q in (feature_matrix, standardised_features, mean_baseline_mse, forest_mse, stream_first_articles, stream_event_windows, stream_upserts):
+def stream_pull(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices pulled above the mark of their symbol: a first landing to the middle of 1997, then all days again at double the
+    price, of which those after each symbol's mark are added."""
+    path, ck = shared_path(spark, "prices"), shared_path(spark, "ck")
+    p = a.prices(spark, sf)
+    table = storage.KeyedTable(spark, shared_path(spark, "table"), ["symbol", "d"], p.schema, 8)
+    for landing in (p.where("d < date'1997-07-01'"), p.withColumn("close", F.col("close") * 2)):
+        landing.write.mode("append").parquet(path)
+        ingest.pull(ingest.landed(spark, path, p.schema), table, ck).awaitTermination()
+    return table.read().select("symbol", "d", f.cents(F.col("close"), 4).alias("close"))
+
+
+ORACLES["stream_pull"] = f"WITH {a.PRICES}, m AS (SELECT symbol, max(d) AS mark FROM prices WHERE d < DATE '1997-07-01' GROUP BY symbol) SELECT symbol, d, round(CASE WHEN d > coalesce(mark, DATE '1900-01-01') THEN close * 2 ELSE close END + 1e-9, 4) AS close FROM prices LEFT JOIN m USING (symbol)"
+
+
+def stream_trading_desk(spark: SparkSession, sf: str) -> DataFrame:
+    """The trading desk as a stream: trades land year by year, books keep their state, timers end their days."""
+    path, out, ck = (shared_path(spark, x) for x in ("trades", "desk", "ck"))
+    rows = desk_rows(spark, sf)
+    for lo, hi in (("1900-01-01", "1994-01-01"), ("1994-01-01", "1996-01-01"), ("1996-01-01", "2100-01-01")):
+        rows.where((F.col("day") >= lo) & (F.col("day") < hi)).write.mode("append").parquet(path)
+        desk = ingest.trading_desk(ingest.landed(spark, path, rows.schema).withWatermark("timestamp", "0 seconds"))
+        ingest.started(desk.writeStream.format("parquet").option("path", out), ck).awaitTermination()
+    return spark.read.schema(ingest.OUT).parquet(out).where("seq is not null")
+
+
+ORACLES["stream_trading_desk"] = DESK
+
+
+for _q in (feature_matrix, standardised_features, mean_baseline_mse, forest_mse, stream_first_articles, stream_event_windows, stream_upserts, stream_pull, stream_trading_desk):
     QUERIES[_q.__name__] = _q

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import panel
@@ -160,13 +160,19 @@ SELECT (SELECT count(*) FROM predictions) AS scanned, (SELECT count(*) FROM o) A
 
 @query(CYCLE)
 def opportunity_cycle(spark: SparkSession, sf: str) -> DataFrame:
-    """From forecasts to admitted trades, and the counts of the cycle."""
-    p = a.predictions(spark, sf)
-    found = market.opportunities(p.select("market_id", c("market_price").alias("yes_price")), p)
+    """From forecasts to admitted trades, which are stored, and the counts of the cycle, observed as its one job runs."""
+    from .jobs import shared_path
+
+    scanned, found_, done = (Observation(x) for x in ("scanned", "found", "done"))
+    count = lambda name: F.count(F.lit(1)).alias(name)
+    p = a.predictions(spark, sf).observe(scanned, count("scanned"))
+    found = market.opportunities_of(p.withColumn("yes_price", c("market_price"))).observe(found_, count("opportunities"))
     books = a.trades(spark, sf).select("prediction_id", "book", "seq")
     orders = found.join(books, "prediction_id").withColumn("cost", f.trade_cost(c("size"), c("limit_price"), c("direction")))
-    admitted = risk.admit(orders).agg(F.count("*").alias("opportunities"), F.count_if("accepted").alias("accepted"), F.count_if(~c("accepted")).alias("rejected"))
-    return p.agg(F.count("*").alias("scanned")).join(F.broadcast(admitted))  # one row each
+    admitted = risk.admit(orders).observe(done, F.count_if("accepted").alias("accepted"), F.count_if(~c("accepted")).alias("rejected"))
+    admitted.write.parquet(shared_path(spark, "admitted"))
+    counts = {**scanned.get, **found_.get, **done.get}
+    return spark.createDataFrame([tuple(counts[x] for x in ("scanned", "opportunities", "accepted", "rejected"))], "scanned long, opportunities long, accepted long, rejected long")
 
 
 @query(f"SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS symbol, DATE '{NOW}' AS d FROM orders")

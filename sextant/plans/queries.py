@@ -142,7 +142,7 @@ def asof_quarterly_to_daily(spark: SparkSession, sf: str) -> DataFrame:
     return panel.asof(a.prices(spark, sf).select("symbol", "d"), right, ["revenue", "quarter"], published="published")
 
 
-@query(f"""WITH {a.PRICES}, e AS (SELECT DISTINCT last_day(d) AS probe FROM prices), n AS (SELECT probe, max(d) AS d FROM e JOIN prices ON d <= probe AND d >= probe - 366 GROUP BY probe),
+@query(f"""WITH {a.PRICES}, e AS (SELECT DISTINCT last_day(d) AS probe FROM prices), n AS (SELECT probe, t.d FROM e ASOF JOIN (SELECT DISTINCT d FROM prices) t ON e.probe >= t.d),
 x AS (SELECT symbol, probe, close FROM n JOIN prices USING (d)), y AS (SELECT symbol, probe, 100 * (close / lag(close) OVER (PARTITION BY symbol ORDER BY probe) - 1) AS ret FROM x)
 SELECT symbol, probe, {rd('ret')} AS period_return FROM y WHERE ret IS NOT NULL""")
 def period_return(spark: SparkSession, sf: str) -> DataFrame:
@@ -286,6 +286,32 @@ def risk_admission(spark: SparkSession, sf: str) -> DataFrame:
     return risk.admit(t).select("book", "seq", "accepted", "exposure")
 
 
+#: A book day by day: loss and halt start anew each day; what is resolved counts to the day, what is open to the exposure.
+#: Money is counted in whole hundredths of cents here.
+DESK = f"""WITH RECURSIVE {a.TRADES}, x AS (SELECT book, seq, CAST(timestamp AS DATE) AS day, size, outcome, CAST(round(size * 100) AS BIGINT) AS s,
+  CAST(round(size * 100) AS BIGINT) * CASE direction WHEN 'YES' THEN CAST(round(limit_price * 100) AS BIGINT) ELSE 100 - CAST(round(limit_price * 100) AS BIGINT) END AS cost FROM trades),
+y AS (SELECT *, CASE WHEN outcome = 1 THEN 100 * s - cost WHEN outcome IS NOT NULL THEN -cost END AS won FROM x),
+o AS (SELECT book, seq, day, size, (cost + 50) // 100 AS cents, CAST(sign(won) AS BIGINT) * ((abs(won) + 50) // 100) AS pnl, row_number() OVER (PARTITION BY book ORDER BY day, seq) AS i FROM y),
+w AS (SELECT book, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::DATE AS day, false AS accepted, 0::BIGINT AS held, 0::BIGINT AS lost, false AS halted FROM o WHERE i = 1
+ UNION ALL SELECT book, i, seq, day, ok, held + CASE WHEN ok AND pnl IS NULL THEN cents ELSE 0 END, lost + CASE WHEN ok THEN coalesce(pnl, 0) ELSE 0 END, halted OR (ok AND pnl IS NOT NULL AND lost + pnl <= -400)
+  FROM (SELECT o.book, o.i, o.seq, o.day, o.cents, o.pnl, w.held, CASE WHEN o.day = w.day THEN w.lost ELSE 0 END AS lost, coalesce(o.day = w.day AND w.halted, false) AS halted,
+   NOT coalesce(o.day = w.day AND w.halted, false) AND o.size <= 1.0 AND w.held + o.cents <= 1000 AS ok FROM w JOIN o ON o.book = w.book AND o.i = w.i + 1))
+SELECT book, seq, day, accepted, held / 100.0::DOUBLE AS exposure, lost / 100.0::DOUBLE AS day_pnl, halted FROM w WHERE i > 0"""
+
+
+def desk_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Trades with what they cost and, where they are resolved, what they earned."""
+    t = a.trades(spark, sf)
+    pnl = f.payoff(c("size"), c("limit_price"), c("direction"), c("outcome"))
+    return t.select("book", "seq", c("timestamp").cast("timestamp").alias("timestamp"), F.to_date("timestamp").alias("day"), "size", f.trade_cost(c("size"), c("limit_price"), c("direction")).alias("cost"), f.cents(pnl).alias("pnl"))
+
+
+@query(DESK)
+def trading_desk(spark: SparkSession, sf: str) -> DataFrame:
+    """Admission and daily halt of every book together."""
+    return risk.trading_desk(desk_rows(spark, sf)).select("book", "seq", "day", "accepted", "exposure", "day_pnl", "halted")
+
+
 PAYOFF = "CASE WHEN outcome = 1 THEN size - CASE direction WHEN 'YES' THEN size * limit_price ELSE size * (1 - limit_price) END WHEN outcome IS NOT NULL THEN -CASE direction WHEN 'YES' THEN size * limit_price ELSE size * (1 - limit_price) END END"
 
 

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
-import html
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import NumericType
 
 from ..functions import scalars
+from . import markup
 
-TAG = re.compile(r"<[^>]*>")
-ANCHOR = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", re.S | re.I)
-TABLE, ROW, CELL = (re.compile(rf"<{t}\b[^>]*>(.*?)</{t}>", re.S | re.I) for t in ("table", "tr", "t[dh]"))
+#: The elements of a board's entries and of a post.
+ENTRY, POST, META, COMMENT, COMMENT_TAG = ".r-ent", "main-content", ("article-metaline", "article-metaline-right"), ".push", ".push-tag"
 
 
-def plain(fragment: str) -> str:
-    return " ".join(html.unescape(TAG.sub("", fragment)).split())
+def extracted(df: DataFrame, key: str, text: str, find: Callable[[str | None], Iterable[tuple]], columns: str) -> DataFrame:
+    """``key`` and ``columns`` of every row that ``find`` gives for a text; the pages are parsed in Arrow batches.
+
+    A null text counts as an empty one, a null key stays, pages of one key are pages of their own.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    fields = df.sparkSession.createDataFrame([], columns).schema
+    types = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, *r) for i, x in enumerate(b.column(1).to_pylist()) for r in find(x)]
+            at, *values = zip(*rows, strict=True) if rows else ((),) * (1 + len(types))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(v, t.type) for v, t in zip(values, types, strict=True))], [key, *types.names])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {columns}")
 
 
 def binary_text(spark: SparkSession, path: str, charset: str = "Big5") -> DataFrame:
@@ -33,46 +46,62 @@ def binary_text(spark: SparkSession, path: str, charset: str = "Big5") -> DataFr
 
 
 def html_tables(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, table_no, row_no, cells) of every table row of a page."""
-    kind = df.schema[key].dataType.simpleString()
+    """(key, table_no, row_no, header, n_columns, names, cells) of every table row of a page.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, x in enumerate(b.column(1).to_pylist()):
-                for t, table in enumerate(TABLE.findall(x or "")):
-                    rows += [(i, t, r, [plain(c) for c in CELL.findall(row)]) for r, row in enumerate(ROW.findall(table))]
-            at, t, r, cells = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(t, pa.int32()), pa.array(r, pa.int32()), pa.array(cells, pa.list_(pa.string()))], [key, "table_no", "row_no", "cells"])
+    Cells that span rows or columns are repeated in each, so all rows of a table have its ``n_columns``; ``names`` are the
+    cells of the last header row, null without one. Tables within a cell are tables of their own.
+    """
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, table_no int, row_no int, cells array<string>")
+    def find(page: str | None) -> Iterator[tuple]:
+        for t, table in enumerate(markup.parse(page).all("table")):
+            rows, heads = markup.grid(table)
+            for r, cells in enumerate(rows):
+                yield t, r, r < heads, len(cells), rows[heads - 1] if heads else None, cells
+
+    return extracted(df, key, text, find, "table_no int, row_no int, header boolean, n_columns int, names array<string>, cells array<string>")
 
 
 def fitting_tables(rows: DataFrame, least: int = 6, most: int = 11) -> DataFrame:
-    return rows.where(F.size("cells").between(least, most))
+    """Rows of the tables that are ``least`` to ``most`` columns wide; a table is taken or left whole."""
+    return rows.where(F.col("n_columns").between(least, most))
+
+
+def named_cells(rows: DataFrame, names: dict[str, str], keep: list[str | Column]) -> DataFrame:
+    """``keep`` and a column for each of ``names`` (header to column), of body rows; null where a table has no such header."""
+    cell = lambda header: F.get("cells", F.array_position("names", header).cast("int") - 1)
+    return rows.where(~F.col("header") & F.col("names").isNotNull()).select(*keep, *(cell(header).alias(column) for header, column in names.items()))
 
 
 def announcements(rows: DataFrame) -> DataFrame:
-    """Table rows of four cells or more, the header row left out."""
-    return rows.where((F.size("cells") >= 4) & (F.col("row_no") > 0))
+    """Table rows of four cells or more, each page's first row left out: symbol, company, title, date."""
+    kept = rows.where((F.size(F.filter("cells", lambda x: x.isNotNull())) >= 4) & ((F.col("table_no") > 0) | (F.col("row_no") > 0)))
+    return kept.select(*[c for c in rows.columns if c not in ("header", "names", "cells", "n_columns")], *(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("symbol", "company", "title", "date"))))
 
 
 def page_links(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ord, title, href) of every anchor of a page."""
-    kind = df.schema[key].dataType.simpleString()
+    """(key, ord, title, href) of every anchor with an address, in page order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, n, plain(m[1]), html.unescape(m[0])) for i, x in enumerate(b.column(1).to_pylist()) for n, m in enumerate(ANCHOR.findall(x or ""))]
-            at, n, title, href = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(title, pa.string()), pa.array(href, pa.string())], [key, "ord", "title", "href"])
+    def find(page: str | None) -> Iterator[tuple]:
+        links = (a for a in markup.parse(page).all("a") if "href" in a.attributes)
+        return ((n, a.words(), a.attributes["href"]) for n, a in enumerate(links))
+
+    return extracted(df, key, text, find, "ord int, title string, href string")
+
+
+def feed_items(df: DataFrame, key: str, text: str, n: int | None = None) -> DataFrame:
+    """(key, ord, title, url, published_at, source) of the items of landed feeds, in feed order; the first ``n`` if given.
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ord int, title string, href string")
+    A feed is read as one value with its items as an array, so that an item's place is known. What is no feed gives no row.
+    """
+    feed = F.from_xml(text, F.lit("channel struct<item: array<struct<title: string, link: string, pubDate: string, source: struct<_VALUE: string, _url: string>>>>"))
+    items = df.where(F.col(text).isNotNull()).select(key, F.posexplode(feed["channel"]["item"]).alias("ord", "x"))
+    rows = items.select(key, "ord", F.coalesce(F.trim("x.title"), F.lit("")).alias("title"), F.coalesce(F.trim("x.link"), F.lit("")).alias("url"), F.coalesce(F.trim("x.pubDate"), F.lit("")).alias("published_at"), F.coalesce(F.trim("x.source._VALUE"), F.lit("google_news")).alias("source"))
+    return rows if n is None else rows.where(F.col("ord") < n)
 
 
-def rss_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of landed feeds."""
-    return spark.read.format("xml").option("rowTag", "item").load(path)
+def feed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of landed feeds, a file each."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def search_results(df: DataFrame, text: str = "value") -> DataFrame:
@@ -88,38 +117,36 @@ def has_data(text: Column, marker: str) -> Column:
     return ~text.contains(marker)
 
 
-def _inner(fragment: str, kind: str) -> str:
-    """The inside of the first element of class ``kind``, up to the next end of its tag."""
-    m = re.search(rf"<(\w+)[^>]*class=[\"'][^\"']*\b{kind}\b[^\"']*[\"'][^>]*>(.*?)</\1>", fragment, re.S)
-    return m[2] if m else ""
-
-
 def forum_listing(df: DataFrame, key: str, text: str, base: str = "") -> DataFrame:
     """(key, title, url, author, date, push_count) of a board page's entries; entries without a title link go."""
-    kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, x in enumerate(b.column(1).to_pylist()):
-                for entry in re.split(r"<div[^>]*class=[\"'][^\"']*\br-ent\b", x or "")[1:]:
-                    link = ANCHOR.search(_inner(entry, "title"))
-                    if link:
-                        rows.append((i, plain(link[2]), base + html.unescape(link[1]), plain(_inner(entry, "author")), plain(_inner(entry, "date")), plain(_inner(entry, "nrec")) or "0"))
-            at, *columns = zip(*rows, strict=True) if rows else ((),) * 6
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], [key, "title", "url", "author", "date", "push_count"])
+    def find(page: str | None) -> Iterator[tuple]:
+        for entry in markup.parse(page).all(ENTRY):
+            link = entry.path(".title", "a")
+            if link is not None:
+                found = (entry.path(".meta", ".author"), entry.path(".meta", ".date"), entry.path(".nrec", "span"))
+                yield link.text(), base + link.attributes.get("href", ""), *(e.text() if e is not None else none for e, none in zip(found, ("", "", "0"), strict=True))
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, title string, url string, author string, date string, push_count string")
+    return extracted(df, key, text, find, "title string, url string, author string, date string, push_count string")
 
 
 def forum_posts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, body, push_up, push_down, total_comments) of a post's page; a page without a main part gives no row."""
-    main = F.regexp_extract(text, r"(?s)<div[^>]*id=[\"']main-content[\"'][^>]*>(.*)", 1)
-    bare = F.regexp_replace(main, r"(?s)<div[^>]*class=[\"']article-metaline[^>]*>.*?</div>", "")
-    tags = F.regexp_extract_all(text, F.lit(r"(?s)class=[\"'][^\"']*push-tag[^\"']*[\"'][^>]*>([^<]*)<"), F.lit(1))
-    rows = df.where(F.col(text).contains("main-content")).select(key, F.regexp_replace(bare, r"<[^>]*>", "").alias("raw"), tags.alias("tags"))
-    has = lambda mark: F.size(F.filter("tags", lambda t: t.contains(mark)))
-    return rows.select(key, scalars.post_body(F.col("raw")).alias("body"), has("推").alias("push_up"), has("噓").alias("push_down"), F.size("tags").alias("total_comments"))
+    """(key, body, push_up, push_down, total_comments) of a post's page; a page without a main part gives no row.
+
+    Every comment element counts, one without a tag too; approval and objection go by the first tag inside.
+    """
+
+    def find(page: str | None) -> Iterator[tuple]:
+        root = markup.parse(page)
+        main = next(root.all(lambda e: e.attributes.get("id") == POST), None)
+        if main is not None:
+            comments = list(root.all(COMMENT))
+            tags = [e.path(COMMENT_TAG) for e in comments]
+            said = ["".join(t.strings()) for t in tags if t is not None]
+            yield "".join(main.strings(lambda e: any(c in META for c in e.classes))), sum("推" in t for t in said), sum("噓" in t for t in said), len(comments)
+
+    rows = extracted(df, key, text, find, "raw string, push_up int, push_down int, total_comments int")
+    return rows.select(key, scalars.post_body(F.col("raw")).alias("body"), "push_up", "push_down", "total_comments")
 
 
 def numeric_columns(df: DataFrame, n: int = 5) -> list[str]:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import dates
 
@@ -25,6 +29,11 @@ def recent(df: DataFrame, n: int = 100, by: str = "d", *ties: str) -> DataFrame:
     return df.orderBy(F.col(by).desc(), *ties).limit(n)
 
 
+def tail(df: DataFrame, n: int = 50, by: str = "d", *ties: str) -> DataFrame:
+    """The last ``n`` rows by ``by``, in ascending order."""
+    return recent(df, n, by, *ties).orderBy(by, *ties)
+
+
 def page(df: DataFrame, number: int, rows: int, *order) -> DataFrame:
     return df.orderBy(*order).offset(number * rows).limit(rows)
 
@@ -45,33 +54,93 @@ def resume_quarters(df: DataFrame, universe: DataFrame, start: str = "2013Q1") -
     return universe.join(latest, "symbol", "left").select("symbol", F.coalesce(dates.next_quarter(F.col("latest")), F.lit(start)).alias("resume"))
 
 
-def merged(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Upsert: a row of ``new`` sets the fields that it has and that are not null; other fields and rows stay.
+def monthly(df: DataFrame, path: str, files: int = 1) -> DataFrame:
+    """``df`` written by month of ``d``, sorted by symbol and day within ``files`` files of each month, and read again with
+    its ``month``; a scan by day or months reads the folders of those months only, one by symbol few row groups of each."""
+    spread = F.pmod(F.xxhash64("symbol"), F.lit(files))
+    rows = df.withColumn("month", F.date_format("d", "yyyy-MM")).repartition("month", spread).sortWithinPartitions("month", "symbol", "d")
+    rows.write.partitionBy("month").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def month_of(day: str) -> Column:
+    return F.date_format(F.lit(day).cast("date"), "yyyy-MM")
+
+
+def scan_day(table: DataFrame, day: str) -> DataFrame:
+    """The rows of a day of a ``monthly`` table."""
+    return by_date(table, day).where(F.col("month") == month_of(day))
+
 
-    Of rows of ``new`` with one key the last by ``order`` (default: all its columns) counts.
+def scan_months(table: DataFrame, lo: str, hi: str) -> DataFrame:
+    """``by_months`` of a ``monthly`` table, for first days of months."""
+    return by_months(table, lo, hi).where((F.col("month") >= month_of(lo)) & (F.col("month") < month_of(hi)))
+
+
+def merged(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None, supplied: str | None = None) -> DataFrame:
+    """Upsert: a row of ``new`` sets the fields that it has, nulls included; other fields and rows stay.
+
+    Of rows of ``new`` with one key the last by ``order`` (default: all its columns) counts. Where records lack some of the
+    columns, ``supplied`` names a column with the list of those that a record has (null: all).
     """
-    fields = [c for c in new.columns if c not in keys]
+    fields = [c for c in new.columns if c not in keys and c != supplied]
     last = Window.partitionBy(*keys).orderBy(*(F.col(c).desc_nulls_last() for c in order or fields))
-    one = new.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
-    renamed = one.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in fields))
+    one = new.withColumn("_rn", F.row_number().over(last)).where("_rn = 1")
+    has = lambda c: F.coalesce(F.array_contains(supplied, c), F.lit(True)) if supplied else F.lit(True)
+    renamed = one.select(*keys, *(F.struct(has(c).alias("has"), F.col(c).alias("value")).alias(f"_new_{c}") for c in fields))
     both = old.join(renamed, keys, "full_outer")
-    out = [F.coalesce(f"_new_{c}", c).alias(c) if c in fields and c in old.columns else F.col(f"_new_{c}").alias(c) if c in fields else F.col(c) for c in dict.fromkeys([*old.columns, *new.columns])]
-    return both.select(*out)
-
-
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> str:
-    """Merges ``new`` into the table at ``path`` and returns the path of the new version beside it."""
-    import uuid
-
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = new.limit(0)
-    target = f"{path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
-    merged(old, new, keys).write.parquet(target)
-    return target
+    sets = lambda c: F.col(f"_new_{c}.value") if c not in old.columns else F.when(F.col(f"_new_{c}.has"), F.col(f"_new_{c}.value")).otherwise(F.col(c))
+    return both.select(*(sets(c).alias(c) if c in fields else F.col(c) for c in dict.fromkeys([*old.columns, *keys, *fields])))
+
+
+class KeyedTable:
+    """A table by key on Parquet, in hash buckets of the key; an upsert rewrites the buckets that it touches only.
+
+    Each version has a manifest, written last: which folder holds a bucket. Readers see the newest whole version; a batch
+    that is repeated under its name changes nothing. ``buckets`` should keep one bucket to what a task can write.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: StructType | str, buckets: int = 64):
+        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), keys, buckets
+        self.schema = spark.createDataFrame([], schema).schema
+
+    def _manifest(self) -> tuple[int, dict[int, str], set[str]]:
+        """The version, the folders by bucket, and the names of the batches so far."""
+        try:
+            rows = self.spark.read.schema("bucket int, folder string, batch string, v int").parquet(f"{self.path}/manifest")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return -1, {}, set()
+        newest = rows.agg(F.max("v")).first()[0]
+        found = rows.where((F.col("v") == newest) & F.col("bucket").isNotNull()).collect()  # a row for each bucket
+        return newest, {r["bucket"]: r["folder"] for r in found}, {r["batch"] for r in rows.select("batch").distinct().collect()}
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in folders))
+
+    def read(self) -> DataFrame:
+        return self._rows(list(self._manifest()[1].values()))
+
+    def upsert(self, new: DataFrame, batch: str | None = None, order: list[str] | None = None, supplied: str | None = None) -> int:
+        """Merges ``new`` (see ``merged``) as the batch of this name; returns the number of buckets written."""
+        version, folders, done = self._manifest()
+        if batch is not None and batch in done:
+            return 0
+        new = new.withColumns({k: F.col(k).cast(self.schema[k].dataType) for k in self.keys})  # hashes differ by type
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in new.select(bucket).distinct().collect()]  # at most ``buckets``
+        if touched:
+            old = self._rows([folders[b] for b in touched if b in folders])
+            rows = merged(old, new, self.keys, order, supplied).select(*self.schema.names)
+            folder = f"data/{uuid.uuid4().hex}"
+            rows.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+            folders |= {b: f"{folder}/_bucket={b}" for b in touched}
+        lines = [(b, f, batch) for b, f in sorted(folders.items())] or [(None, None, batch)]
+        self.spark.createDataFrame(lines, "bucket int, folder string, batch string").coalesce(1).write.parquet(f"{self.path}/manifest/v={version + 1}")
+        return len(touched)
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -19,16 +21,30 @@ def landed(spark: SparkSession, path: str, schema: StructType | str, files: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def upserts(stream: DataFrame, table: str, keys: list[str], checkpoint: str):
-    """Merges each batch into the versions of ``table``; repeated and late rows overwrite, a repeated batch changes
-    nothing. The version of batch n is ``table``/v=n; without the version before, a batch fails rather than start anew."""
+def started(writer: DataStreamWriter, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """The query, run over what has landed and then ended, or again and again after ``every`` ('4 hours')."""
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
-    def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{table}/v={n - 1}") if n else batch.limit(0)
-        storage.merged(old, batch, keys).write.mode("overwrite").parquet(f"{table}/v={n}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upserts(stream: DataFrame, table: storage.KeyedTable, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Merges each batch into ``table``, in the buckets that it touches; repeated and late rows overwrite, a batch that is
+    run again changes nothing."""
+    name = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+    return started(stream.writeStream.foreachBatch(lambda batch, n: table.upsert(batch, f"{name}-{n}")), checkpoint, every)
+
+
+def newer(rows: DataFrame, stored: DataFrame, key: str = "symbol", by: str = "d") -> DataFrame:
+    """Rows later than the latest stored one of their key; all rows of a key that has none."""
+    marks = stored.groupBy(key).agg(F.max(by).alias("_mark"))
+    return rows.join(marks, key, "left").where(F.col("_mark").isNull() | (F.col(by) > F.col("_mark"))).drop("_mark")
+
+
+def pull(stream: DataFrame, table: storage.KeyedTable, checkpoint: str, key: str = "symbol", by: str = "d", every: str | None = None) -> StreamingQuery:
+    """Adds what is later than the mark of its key: the latest stored day, read again for each batch. Old days that land
+    late, and days that land again, change nothing."""
+    name = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+    return started(stream.writeStream.foreachBatch(lambda batch, n: table.upsert(newer(batch, table.read(), key, by), f"{name}-{n}")), checkpoint, every)
 
 
 def first_articles(stream: DataFrame, lateness: str = "2 days") -> DataFrame:
@@ -40,32 +56,34 @@ def windowed_counts(stream: DataFrame, lateness: str = "1 hour", size: str = "1
     return stream.withWatermark("ts", lateness).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-STATE = "exposure_cents long, day string, day_pnl_cents long, halted boolean"
-OUT = "book long, seq long, accepted boolean, exposure double, day_pnl double, halted boolean"
+STATE = "held long, day date, pnl long, halted boolean"
+OUT = "book long, seq long, day date, accepted boolean, exposure double, day_pnl double, halted boolean"
+
 
+def trading_desk(stream: DataFrame, max_size: float = risk.MAX_SIZE, max_exposure: float = risk.MAX_EXPOSURE, max_loss: float = risk.MAX_DAY_LOSS) -> DataFrame:
+    """``risk.trading_desk`` over trades as they come, with a state for each book and a timer at the end of its day.
 
-def admissions(stream: DataFrame, max_size: float = risk.MAX_SIZE, max_exposure: float = risk.MAX_EXPOSURE, max_loss: float = risk.MAX_DAY_LOSS) -> DataFrame:
-    """Admission of trades with a state for each book: exposure, the day's profit and loss, and the halt, which lasts
-    to the end of the UTC day. ``stream``: (book, seq, day, size, cost, pnl); pnl is null for a new trade, and a row
-    with a pnl settles one, giving its cost back."""
+    ``stream``: (book, seq, timestamp, size, cost, pnl), watermarked by ``timestamp``; a batch is taken in order of time and
+    seq. When the watermark passes midnight without a trade, the timer ends the day: a row without seq tells that loss and
+    halt are gone. Rows that come after their day has been passed by the watermark are late and go.
+    """
+    limits = (max_size, max_exposure, max_loss)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        exposure, today, pnl, halted = state.get if state.exists else (0, "", 0, False)
+        desk = risk.Desk(*limits, state=state.get if state.exists else None)
         out = []
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if row.day != today:
-                today, pnl, halted = row.day, 0, False
-            cents, accepted = round(100 * row.cost), False
-            if pd.notna(row.pnl):
-                exposure -= cents
-                pnl += round(100 * row.pnl)
-                halted = halted or pnl <= -round(100 * max_loss)
-            else:
-                accepted = not halted and row.size_ <= max_size + 1e-9 and exposure + cents <= round(100 * max_exposure)
-                exposure += cents if accepted else 0
-            out.append((key[0], row.seq, accepted, exposure / 100, pnl / 100, halted))
-        state.update((exposure, today, pnl, halted))
-        yield pd.DataFrame(out, columns=["book", "seq", "accepted", "exposure", "day_pnl", "halted"])
-
-    rows = stream.withColumnRenamed("size", "size_")
-    return rows.groupBy("book").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            desk.start_day(None)
+            out.append((key[0], None, None, None, desk.held / 100, 0.0, False))
+        else:
+            rows = pd.concat(list(frames)).sort_values(["timestamp", "seq"])
+            for at, seq, size, cost, pnl in zip(rows["timestamp"], rows["seq"], rows["size"], rows["cost"], rows["pnl"], strict=True):
+                desk.start_day(at.date())
+                ok = desk.admit(*(None if pd.isna(x) else x for x in (size, cost, pnl)))
+                out.append((key[0], seq, at.date(), ok, desk.held / 100, desk.pnl / 100, desk.halted))
+            midnight = pd.Timestamp(desk.day, tz="UTC") + pd.Timedelta(days=1)
+            state.setTimeoutTimestamp(max(int(midnight.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        state.update(desk.state)
+        yield pd.DataFrame(out, columns=["book", "seq", "day", "accepted", "exposure", "day_pnl", "halted"]).astype({"seq": "Int64", "accepted": "boolean"})
+
+    return stream.select("book", "seq", "timestamp", "size", "cost", "pnl").groupBy("book").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

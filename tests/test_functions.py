@@ -126,3 +126,37 @@ def test_zscore_drops_outliers_and_flat_periods(spark):
 def test_backtest_holds_from_the_next_day(spark):
     df = series(spark, [1.0, 2.0, 1.0]).withColumn("signal", F.lit(1))
     assert column(factors.signal_backtest(df), "strategy_growth") == [None, 2.0, 1.0]
+
+
+@pytest.mark.parametrize(("text", "want"), [("January 5, 2024", (2024, 1, 5)), ("Sep 9, 2023", (2023, 9, 9)), ("2023-09-08", (2023, 9, 8)), ("2023-09-08T01:02:03", (2023, 9, 8, 1, 2, 3)), ("2 days, 10:30 left", (2024, 1, 8, 12)), ("12 hours ago", (2024, 1, 10)), ("hours ago", (2024, 1, 10, 12)), ("", (2024, 1, 10, 12)), (None, (2024, 1, 10, 12))])
+def test_relative_and_absolute_times(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(dates.relative_time(F.col("t"), F.lit("2024-01-10 12:00:00").cast("timestamp")).alias("x")).first()["x"] == dt.datetime(*want)
+
+
+def test_asof_dates_reach_back_any_time(spark):
+    days = [dt.date(2000, 1, 3), dt.date(2000, 1, 1), dt.date(1800, 6, 1), dt.date(2003, 1, 1), None]
+    probes = [dt.date(2002, 12, 31), dt.date(2000, 1, 3), dt.date(2000, 1, 2), dt.date(1999, 12, 31), dt.date(1800, 5, 31), dt.date(9999, 12, 31), None]
+    panel_ = spark.createDataFrame([(d,) for d in days], "d date")
+    found = dict(panel.asof_dates(panel_, spark.createDataFrame([(p,) for p in probes * 2], "probe date")).collect())
+    known = sorted(d for d in days if d)
+    assert found == {p: max((d for d in known if d <= p), default=None) for p in probes if p}
+    rng = random.Random(1)
+    many = [dt.date(1990, 1, 1) + dt.timedelta(rng.randrange(20_000)) for _ in range(60)]
+    asked = [dt.date(1989, 1, 1) + dt.timedelta(rng.randrange(21_000)) for _ in range(300)]
+    found = dict(panel.asof_dates(spark.createDataFrame([(d,) for d in many], "d date"), spark.createDataFrame([(p,) for p in asked], "probe date")).collect())
+    assert found == {p: max((d for d in many if d <= p), default=None) for p in asked}
+    assert panel.asof_dates(panel_.where("false"), panel_.select(F.col("d").alias("probe"))).where("d is not null").count() == 0
+
+
+def test_period_quantiles_exact_and_sketched(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.random() if i % 7 else None) for k in "ab" for i in range(2000)]
+    df = spark.createDataFrame(rows, "d string, v double")
+    exact, sketch = (dict(panel.period_quantile(df, "v", 0.15, accuracy=x).collect()) for x in (None, 100))
+    for k in "ab":
+        values = sorted(v for d, v in rows if d == k and v is not None)
+        at = 0.15 * (len(values) - 1)
+        low = int(at)
+        assert exact[k] == pytest.approx(values[low] + (at - low) * (values[low + 1] - values[low]))
+        assert abs(sum(v <= sketch[k] for v in values) / len(values) - 0.15) <= 1 / 100 + 1e-3

@@ -1,7 +1,6 @@
 """Golden cases of risk, scores, markets, storage and cleaning."""
 
 import json
-import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +8,6 @@ from pyspark.sql import functions as F
 from sextant.functions import scalars
 from sextant.operators import clean, factors, market, risk, scoring
 from sextant.sources import landed, storage
-from sextant.streaming import ingest
 
 TRADE = "trade_id string, prediction_id string, book long, direction string, size double, limit_price double, status string, outcome double, timestamp timestamp_ntz"
 
@@ -29,6 +27,27 @@ def test_admission_is_no_prefix_sum(spark):
     assert admitted(spark, [2.0, 0.5]) == [False, True]
 
 
+def test_books_longer_than_a_batch_keep_their_state(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(b, i, 1.0, 0.4) for b in (1, 2, None) for i in range(100)]
+        found = risk.admit(spark.createDataFrame(rows, "book long, seq long, size double, cost double")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for b in (1, 2, None):
+        assert [r["accepted"] for r in sorted((r for r in found if r["book"] == b), key=lambda r: r["seq"])] == [True] * 25 + [False] * 75
+    assert risk.admit(spark.createDataFrame([], "book long, seq long, size double, cost double")).count() == 0
+
+
+def test_desk_halts_until_the_next_day(spark):
+    import datetime as dt
+
+    one, two = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    rows = [(1, 1, one, 1.0, 0.9, -3.0), (1, 2, one, 1.0, 0.9, -1.0), (1, 3, one, 0.1, 0.1, None), (1, 4, two, 1.0, 0.7, None), (1, 5, two, None, 0.1, None), (1, 6, two, 1.0, 0.5, 0.5)]
+    found = risk.trading_desk(spark.createDataFrame(rows, "book long, seq long, day date, size double, cost double, pnl double")).orderBy("seq").collect()
+    assert [tuple(r)[6:] for r in found] == [(True, 0.0, -3.0, False), (True, 0.0, -4.0, True), (False, 0.0, -4.0, True), (True, 0.7, 0.0, False), (False, 0.7, 0.0, False), (True, 0.7, 0.5, False)]
+
+
 @pytest.mark.parametrize(("row", "held"), [(("YES", 1.0, 0.6, "simulated", None), 0.6), (("NO", 1.0, 0.6, "simulated", None), 0.4), (("YES", 1.0, 0.6, "filled", 1.0), 0.0), (("YES", 1.0, 0.6, "cancelled", None), 0.0)])
 def test_exposure(spark, row, held):
     assert scoring.exposure(trades(spark, [row])).first()["exposure"] == held
@@ -87,13 +106,11 @@ def test_markets_skip_malformed_rows(spark):
     assert {(r["market_id"], r["yes_price"], r["category"]) for r in found.collect()} == {("m", 0.6, "crypto"), ("n", 0.6, "tech")}
 
 
-def test_upsert_keeps_fields_that_are_not_supplied(spark, tmp_path):
+def test_upsert_keeps_fields_that_are_not_supplied(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, x string, y int")
     new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "k int, x string")
     found = {tuple(r) for r in storage.merged(old, new, ["k"]).collect()}
     assert found == {(1, "a", 1), (2, "d", 2), (3, "e", None)}
-    first = storage.upsert(spark, str(tmp_path / "t"), old, ["k"])
-    assert spark.read.parquet(first).count() == 2
 
 
 def test_news_keeps_the_first_source(spark):
@@ -143,25 +160,12 @@ def test_scorer_and_helpers(spark):
     assert storage.without(a, a.where("symbol = 'y'")).count() == 2 and storage.only(a, a.where("symbol = 'y'")).count() == 1
 
 
-def test_rss_and_legacy_files(spark, tmp_path):
-    (tmp_path / "f.xml").write_text("<rss><channel><item><title>a</title><link>u</link></item><item><title>b</title><link>v</link></item></channel></rss>")
-    assert [r["title"] for r in landed.rss_items(spark, str(tmp_path / "f.xml")).orderBy("title").collect()] == ["a", "b"]
+def test_legacy_files(spark, tmp_path):
     (tmp_path / "t.html").write_bytes("<table><tr><td>合計</td></tr></table>".encode("big5"))
     rows = landed.html_tables(landed.binary_text(spark, str(tmp_path / "t.html")), "path", "text").collect()
     assert rows[0]["cells"] == ["合計"]
 
 
-def test_stateful_admission_stream(spark, tmp_path):
-    from sextant.streaming import ingest
-
-    rows = [(1, 1, "d1", 1.0, 9.0, None), (1, 2, "d1", 1.0, 2.0, None), (1, 3, "d1", 1.0, 9.0, -4.5), (1, 4, "d1", 0.1, 0.1, None), (1, 5, "d2", 0.1, 0.1, None)]
-    df = spark.createDataFrame(rows, "book long, seq long, day string, size double, cost double, pnl double")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    found = ingest.admissions(ingest.landed(spark, str(tmp_path / "in"), df.schema))
-    found.writeStream.format("memory").queryName("admissions").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    assert [(r["accepted"], r["halted"]) for r in spark.table("admissions").orderBy("seq").collect()] == [(True, False), (False, False), (False, True), (False, True), (True, False)]
-
-
 def test_rounding_is_half_up_by_magnitude(spark):
     df = spark.createDataFrame([(0.005,), (-0.005,), (-0.004,), (0.285,), (-1.005,)], "x double")
     assert [r[0] for r in df.select(scalars.cents(F.col("x"))).collect()] == [0.01, -0.01, 0.0, 0.29, -1.01]
@@ -178,14 +182,3 @@ def test_low_prices_have_an_upper_bound(spark):
     rows = [(s, "2020-01-01", v) for s, v in (("a", 14.0), ("b", 15.0), ("c", 15.5), ("d", 40.0), ("e", 50.0))]
     df = spark.createDataFrame(rows, "symbol string, d string, close double")
     assert {r["symbol"] for r in factors.low_price_screen(df, 0.7).collect()} == {"a", "b"}
-
-
-def test_upserts_do_not_start_anew(spark, tmp_path):
-    df = spark.createDataFrame([("a", 1)], "k string, v int")
-    df.write.parquet(f"{tmp_path}/in")
-    run = lambda: ingest.upserts(ingest.landed(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/t", ["k"], f"{tmp_path}/ck").awaitTermination()
-    run()
-    df.write.mode("append").parquet(f"{tmp_path}/in")
-    shutil.rmtree(f"{tmp_path}/t/v=0")
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        run()
