@@ -60,6 +60,32 @@ def statement_map(df: DataFrame) -> DataFrame:
     return rows.select("symbol", "quarter", F.map_from_entries("x").alias("items"))
 
 
+def statement_items(pages: DataFrame, text: str, modern: int = 2019) -> DataFrame:
+    """(symbol, quarter, item, value) of landed statement pages (symbol, quarter and a text with tables).
+
+    From the year ``modern`` on a row's item and value are its second and third cell, before that its first and second.
+    Items lose ideographic spaces; empty values are null.
+    """
+    key = F.struct("symbol", "quarter")
+    rows = landed.html_tables(pages.select(F.to_json(key).alias("_page"), text), "_page", text).where("not header")
+    page = F.from_json("_page", "symbol string, quarter string")
+    rows = rows.select(page["symbol"].alias("symbol"), page["quarter"].alias("quarter"), "cells")
+    first = F.when(F.substring("quarter", 1, 4).cast("int") >= modern, 1).otherwise(0)
+    item = F.trim(f.ideographic(F.get("cells", first)))
+    return rows.select("symbol", "quarter", item.alias("item"), F.nullif(F.trim(F.get("cells", first + 1)), F.lit("")).alias("value")).where("item <> ''")
+
+
+def news_rows(feed: DataFrame, links: DataFrame, announced: DataFrame, base: str, now: Column) -> DataFrame:
+    """(source, title, url, host, quality_flag, published) of feeds, listings and announcements, the first of each title."""
+    place = lambda df, at: df.withColumn("ord", F.struct(F.col("page").cast("long").alias("page"), F.col(at).cast("long").alias("place")))
+    a = place(feed, "ord").withColumn("source", F.lit("google")).withColumn("published", dates.relative_time(F.col("published_at"), now).cast("timestamp_ntz"))
+    b = place(links, "ord").select(F.lit("cnyes").alias("source"), "title", f.absolute_url(F.col("href"), base).alias("url"), "ord")
+    c = place(announced, "row_no").select(F.lit("exchange").alias("source"), "title", "ord")
+    rows = first_by_title(union_sources(a.select("source", "title", "url", "published", "ord"), b, c))
+    rows = rows.withColumn("host", f.host(F.col("url")))
+    return rows.select("source", "title", "url", "host", f.source_quality(F.col("host")).alias("quality_flag"), "published")
+
+
 def q4_alone(df: DataFrame, value: str = "value") -> DataFrame:
     """A fourth quarter, reported for the year, less the three quarters before it."""
     w = Window.partitionBy("symbol").orderBy("quarter")

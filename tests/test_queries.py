@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from sextant.plans import jobs, listings, queries
+from sextant.plans import landing, listings
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLES = listings.QUERIES | jobs.QUERIES, listings.ORACLES | jobs.ORACLES  # listings adds to those of queries
+QUERIES, ORACLES = listings.QUERIES | landing.QUERIES, listings.ORACLES | landing.ORACLES  # they add to those of queries and jobs
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 
