@@ -36,7 +36,7 @@ CHUNK = 4
 ERRORS = 2
 SALTS = 64
 #: Hubs of a key from one round to the next.
-GROWTH = 8
+GROWTH = 16
 #: Symbols of 2 bits for the pair filter. A pair of similarity 0.75 differs in 24 of them; more than MOST has a
 #: probability of 2e-7.
 SKETCH = 128
