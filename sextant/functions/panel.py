@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -40,10 +43,11 @@ def breakout(value: Column, n: int, w: WindowSpec | None = None) -> Column:
 
 
 def zscore(value: Column, cap: float | None = 3.0, w: WindowSpec | None = None) -> Column:
-    """Population z-score within a period, nulls omitted; null where there is no spread or beyond ``cap``."""
+    """Population z-score within a period, nulls omitted; null where there is no spread or beyond ``cap``, which a score that
+    only its last binary digits put above still has (of ten values one can be just 3)."""
     w = w or period()
     z = (value - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0))
-    return z if cap is None else F.when(F.abs(z) <= cap, z)
+    return z if cap is None else F.when(F.abs(z) <= cap + 1e-9, z)
 
 
 def pct_change(value: Column, w: WindowSpec | None = None) -> Column:
@@ -128,29 +132,32 @@ def period_return(df: DataFrame, value: str, by: str, w: WindowSpec | None = Non
 def record_breaker(df: DataFrame, value: str, out: str = "record") -> DataFrame:
     """For each row the longest run of rows up to it in which it is the highest (+n), or else the lowest (-n); 0 first.
 
-    One symbol's series is walked once with two monotonic stacks.
+    Symbols are sorted within their partitions and walked with two monotonic stacks, which go from batch to batch: a task
+    holds one batch and the rows that are still records.
     """
-    import pyarrow as pa
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("d")
-        values = t.column(value).to_pylist()
-        high: list[int] = []
-        low: list[int] = []
-        found = []
-        for i, v in enumerate(values):
-            while high and values[high[-1]] <= v:
-                high.pop()
-            while low and values[low[-1]] >= v:
-                low.pop()
-            up, down = i - (high[-1] if high else -1), i - (low[-1] if low else -1)
-            found.append(0 if i == 0 else up if up >= down else -down)
-            high.append(i)
-            low.append(i)
-        return pa.table({"symbol": t.column("symbol"), "d": t.column("d"), value: t.column(value), out: pa.array(found, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, i = None, 0
+        high: list[tuple[int, float]] = []
+        low: list[tuple[int, float]] = []
+        for b in batches:
+            found = []
+            for symbol, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if symbol != now or not i:
+                    now, i, high, low = symbol, 0, [], []
+                while high and high[-1][1] <= v:
+                    high.pop()
+                while low and low[-1][1] >= v:
+                    low.pop()
+                up, down = (i - (stack[-1][0] if stack else -1) for stack in (high, low))
+                found.append(0 if i == 0 else up if up >= down else -down)
+                high.append((i, v))
+                low.append((i, v))
+                i += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], ["symbol", "d", value, out])
 
     rows = df.select("symbol", "d", value).where(F.col(value).isNotNull())
-    return rows.groupBy("symbol").applyInArrow(run, f"symbol string, d date, `{value}` double, `{out}` long")
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "d").mapInArrow(run, f"symbol string, d date, `{value}` double, `{out}` long")
 
 
 def complete_symbols(df: DataFrame, value: str, period: str = "d") -> DataFrame:

@@ -130,6 +130,16 @@ def article_block(df: DataFrame, group: str) -> DataFrame:
     return rows.select(group, F.array_join("x.line", "\n").alias("block"))
 
 
+def article_blocks(df: DataFrame, group: str) -> DataFrame:
+    """The numbered articles (``rn``) of each question as blocks of title, source and day, summary and URL, flagged."""
+    text = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    flag = F.coalesce(F.concat(F.lit(" [⚠️ "), F.col("quality_flag"), F.lit("]")), F.lit(""))
+    day = F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit(""))
+    one = F.concat(F.lit("Article "), text("rn"), flag, F.lit(":\n  Title: "), text("title"), F.lit("\n  Source: "), text("source"), F.lit(" ("), day, F.lit(")\n  Summary: "), text("summary"), F.lit("\n  URL: "), text("url"))
+    rows = df.groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_list(F.struct("rn", one.alias("one")))).alias("x"))
+    return rows.select(F.col("_group").alias(group), F.array_join("x.one", "\n\n").alias("block"))
+
+
 def reaction_counts(df: DataFrame, tag: str = "tag") -> DataFrame:
     """Approvals, objections and all comments of each post."""
     return df.groupBy("post_id").agg(F.count_if(F.col(tag).contains("推")).alias("push_up"), F.count_if(F.col(tag).contains("噓")).alias("push_down"), F.count("*").alias("total_comments"))
@@ -154,7 +164,3 @@ def null_profile(df: DataFrame, values: list[str]) -> DataFrame:
 
 def revenue_growth(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("growth", 100 * panel.pct_change(F.col(value)))
-
-
-def rolled_deadline(df: DataFrame) -> DataFrame:
-    return df.withColumn("available", dates.filing_deadline(F.col("quarter")))

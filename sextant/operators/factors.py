@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, panel
@@ -25,23 +25,21 @@ def derived_ratios(df: DataFrame) -> DataFrame:
     """
     c, w = F.col, panel.series()
     rows = df.withColumns({"cap": f.market_cap(c("shares"), c("close")), "growth": panel.pct_change(c("ebitda"))})
+    return price_ratios(rows.withColumn("variability", -panel.rolling(F.stddev_samp, c("growth"), 20)), F.lag("shares", 12).over(w))
+
+
+def price_ratios(rows: DataFrame, shares_before: Column) -> DataFrame:
+    c = F.col
     return rows.withColumn("ev", f.enterprise_value(c("cap"), c("debt"), c("cash"))).withColumns({
         "ebitda_ev": F.try_divide(c("ebitda"), c("ev")), "earnings_yield": F.try_divide(c("eps"), c("close")), "cash_flow_share": F.try_divide(c("cash_flow"), c("shares")),
-        "shareholder_yield": c("dividend_yield") + f.repurchase_rate(c("shares"), F.lag("shares", 12).over(w), c("close"), c("cap")),
-        "roe": F.try_divide(c("net_income"), c("equity")), "roa": F.try_divide(c("net_income"), c("assets")), "variability": -panel.rolling(F.stddev_samp, c("growth"), 20),
+        "shareholder_yield": c("dividend_yield") + f.repurchase_rate(c("shares"), shares_before, c("close"), c("cap")),
+        "roe": F.try_divide(c("net_income"), c("equity")), "roa": F.try_divide(c("net_income"), c("assets")),
         "cash_flow_assets": F.try_divide(c("cash_flow"), c("assets")), "gross_profit_assets": F.try_divide(c("gross_profit"), c("assets")), "leverage": F.try_divide(c("debt"), c("equity")),
     })
 
 
-def multi_factor_rating(df: DataFrame, universe: DataFrame, quantile: float = 0.75, accuracy: int | None = None) -> DataFrame:
-    """Blended z-scores of quality, value and momentum by period, as weights, and whether they exceed the quantile.
-
-    Financial symbols have a value score with the earnings of the enterprise and the mean of three quality scores in
-    place of five; momentum is the sum of the z-scores of two streaks. Any null makes the score null; ETFs go.
-    """
-    rows = derived_ratios(df.join(universe.where("category <> 'etf'").select("symbol", "category"), "symbol"))
-    for value, out in zip(("net_income", "revenue"), MOMENTUM, strict=True):
-        rows = panel.rising_streak(rows, value, 5, 3, 1.0, out)
+def _total(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``score``: blended z-scores of quality, value and momentum by period, as a weight."""
     names = dict.fromkeys([*VALUE, *VALUE_FINANCIAL, *QUALITY, *QUALITY_FINANCIAL, *MOMENTUM])
     z = rows.withColumns({f"z_{n}": panel.zscore(F.col(n)) for n in names})
     weighted = lambda weights: f.blend(*((w, F.col(f"z_{n}")) for n, w in weights.items()))
@@ -49,11 +47,43 @@ def multi_factor_rating(df: DataFrame, universe: DataFrame, quantile: float = 0.
     financial = F.col("category") == "financial"
     z = z.withColumns({"value": F.when(financial, weighted(VALUE_FINANCIAL)).otherwise(weighted(VALUE)), "quality": F.when(financial, mean(QUALITY_FINANCIAL)).otherwise(mean(QUALITY)), "momentum": weighted(dict.fromkeys(MOMENTUM, 1.0))})
     total = f.blend(*((w, F.col(n)) for n, w in TOTAL.items()))
-    scored = z.withColumn("score", F.round(f.z_weight(total), 6))
+    return z.withColumn("score", F.round(f.z_weight(total), 6))
+
+
+def _with_streaks(rows: DataFrame) -> DataFrame:
+    for value, out in zip(("net_income", "revenue"), MOMENTUM, strict=True):
+        rows = panel.rising_streak(rows, value, 5, 3, 1.0, out)
+    return rows
+
+
+def _listed(df: DataFrame, universe: DataFrame) -> DataFrame:
+    """``df`` with the category of its symbols, without ETFs."""
+    return df.join(universe.where("category <> 'etf'").select("symbol", "category"), "symbol")
+
+
+def multi_factor_rating(df: DataFrame, universe: DataFrame, quantile: float = 0.75, accuracy: int | None = None) -> DataFrame:
+    """Blended z-scores of quality, value and momentum by period, as weights, and whether they exceed the quantile.
+
+    Financial symbols have a value score with the earnings of the enterprise and the mean of three quality scores in
+    place of five; momentum is the sum of the z-scores of two streaks. Any null makes the score null; ETFs go. With
+    ``accuracy`` the quantile is that of a sketch.
+    """
+    scored = _total(_with_streaks(derived_ratios(_listed(df, universe))))
     cut = panel.period_quantile(scored, "score", quantile, accuracy=accuracy).select("d", F.round("cut", 6).alias("cut"))
     return scored.join(cut, "d").withColumn("selected", F.coalesce(F.col("score") > F.col("cut"), F.lit(False)))
 
 
+def daily_rating(statements: DataFrame, prices: DataFrame, universe: DataFrame) -> DataFrame:
+    """``multi_factor_rating`` on every day that has a price: what goes by quarters (growth, streaks, shares before) is made
+    of the quarters; then each day takes the last statement published by it, and its own price."""
+    c, w = F.col, panel.series()
+    rows = _with_streaks(statements.withColumns({"growth": panel.pct_change(c("ebitda")), "shares_before": F.lag("shares", 12).over(w)}))
+    rows = rows.withColumns({"variability": -panel.rolling(F.stddev_samp, c("growth"), 20), "published": dates.filing_deadline(c("quarter"))})
+    values = [x for x in rows.columns if x not in ("symbol", "d", "close", "published")]
+    day = panel.asof(prices.select("symbol", "d", "close"), rows, values, published="published").where("quarter is not null")
+    return _total(price_ratios(_listed(day, universe).withColumn("cap", f.market_cap(c("shares"), c("close"))), c("shares_before")))
+
+
 def low_price_screen(prices: DataFrame, quantile: float = 0.15, most: float = 15.0, days: int = 60, accuracy: int | None = None) -> DataFrame:
     """Rows whose price is below the day's quantile and ``most`` at most, with their range tightness; with ``accuracy`` the
     quantile is that of a sketch."""
@@ -87,22 +117,19 @@ def top_k_backtest(features: DataFrame, prices: DataFrame, k: int = 5, capital:
     ``features``: (symbol, quarter, value), complete symbols only. With 'full' each name is sized with the whole
     capital, as the rule is defined; 'equal' splits it. Prices are filled forward to the quarters' rolled ends.
     """
-    whole = panel.complete_symbols(features, "value", "quarter")
-    picks = panel.top_k(features.join(whole, "symbol", "left_semi"), "quarter", "value", k)
-    ends = features.select("quarter").distinct().select("quarter", dates.roll_weekend(dates.quarter_end(F.col("quarter"))).alias("d"), dates.next_quarter(F.col("quarter")).alias("exit_quarter"))
-    at = panel.asof(picks.select("symbol").distinct().join(F.broadcast(ends)), prices, ["close"])  # as many quarters as the calendar has
-    entry = at.select("symbol", "quarter", F.col("close").alias("entry"), "exit_quarter")
-    leave = at.select("symbol", F.col("quarter").alias("exit_quarter"), F.col("close").alias("exit"))
-    held = picks.join(entry, ["symbol", "quarter"]).join(leave, ["symbol", "exit_quarter"])
+    c = F.col
+    quarters = features.select("quarter").distinct()
+    ends = quarters.select("quarter", dates.roll_weekend(dates.quarter_end(c("quarter"))).alias("d"), dates.next_quarter(c("quarter")).alias("exit_quarter"))
+    complete = features.withColumn("_have", F.count("value").over(Window.partitionBy("symbol"))).join(F.broadcast(quarters.agg(F.count("*").alias("_all")))).where("_have = _all")  # one row
+    picks = panel.top_k(complete, "quarter", "value", k)
+    known = F.broadcast(ends.select("quarter", "d", "exit_quarter").join(ends.select(c("quarter").alias("exit_quarter"), c("d").alias("exit_d")), "exit_quarter"))  # as many quarters as the calendar has
+    trades = picks.select("symbol", "quarter").join(known, "quarter").select("symbol", "exit_quarter", F.explode(F.array(F.struct("d", F.lit(0).alias("leaves")), F.struct(c("exit_d").alias("d"), F.lit(1).alias("leaves")))).alias("x"))
+    at = panel.asof(trades.select("symbol", "exit_quarter", "x.d", "x.leaves"), prices, ["close"])
+    held = at.groupBy("symbol", "exit_quarter").agg(*(F.max(F.when(c("leaves") == i, c("close"))).alias(n) for i, n in enumerate(("entry", "exit"))))
     gain = F.sum(F.try_divide("exit", "entry") - 1) / (1 if weighting == "full" else k)
-    roi = ends.select(F.col("quarter").alias("exit_quarter")).join(held.groupBy("exit_quarter").agg(gain.alias("gain")), "exit_quarter", "left")
-    # one row for each quarter: the calendar year parts the window, earlier years come by a join
-    roi = roi.withColumn("year", F.substring("exit_quarter", 1, 4).cast("int")).withColumn("g", 1 + F.coalesce("gain", F.lit(0.0)))
-    years = roi.groupBy("year").agg(F.product("g").alias("year_growth"))
-    before = years.alias("a").join(years.select(F.col("year").alias("later")).alias("b"), F.col("a.year") < F.col("b.later")).groupBy("later").agg(F.product("year_growth").alias("so_far"))
-    w = Window.partitionBy("year").orderBy("exit_quarter").rowsBetween(Window.unboundedPreceding, 0)
-    grown = roi.join(before.withColumnRenamed("later", "year"), "year", "left").withColumn("capital", capital * F.coalesce("so_far", F.lit(1.0)) * F.product("g").over(w))
-    return grown.select(F.col("exit_quarter").alias("quarter"), (100 * F.coalesce("gain", F.lit(0.0))).alias("roi"), "capital")
+    roi = quarters.select(c("quarter").alias("exit_quarter")).join(held.where("entry is not null and exit is not null").groupBy("exit_quarter").agg(gain.alias("gain")), "exit_quarter", "left")
+    so_far = Window.orderBy("exit_quarter").rowsBetween(Window.unboundedPreceding, 0)  # a row for each quarter
+    return roi.select(c("exit_quarter").alias("quarter"), (100 * F.coalesce("gain", F.lit(0.0))).alias("roi"), (capital * F.product(1 + F.coalesce("gain", F.lit(0.0))).over(so_far)).alias("capital"))
 
 
 def rebalance_returns(selected: DataFrame, prices: DataFrame, most: float = 0.2, fee: float = FEE) -> DataFrame:

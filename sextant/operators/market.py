@@ -59,6 +59,17 @@ def parsed_responses(df: DataFrame, response: str = "response") -> DataFrame:
     return df.withColumns({"probability": p, "bayesian_prior": prior, "confidence": x["confidence"], "reasoning": x["reasoning"], "key_evidence": x["key_evidence"], "risks": x["risks"], "valid": valid})
 
 
+def prompt(template: str, question: Column, price: Column, news: Column) -> Column:
+    """``template`` with its {question}, {price} (in percent, one digit) and {news} filled in; without news it says so."""
+    filled = F.lit(template)
+    values = {"question": question, "price": F.format_string("%.1f", 100 * price), "news": F.coalesce(news, F.lit("No recent news articles found."))}
+    marks = {n: f"\x00{n}\x00" for n in values}  # so that a value with a mark of another stays as it is
+    for n, mark in marks.items():
+        filled = F.replace(filled, F.lit(f"{{{n}}}"), F.lit(mark))
+    pieces = F.split(filled, "\x00")
+    return F.array_join(F.transform(pieces, lambda x: F.when(x == "question", values["question"]).when(x == "price", values["price"]).when(x == "news", values["news"]).otherwise(x)), "")
+
+
 def with_fallback(df: DataFrame, price: str = "market_price") -> DataFrame:
     """Where an answer is not valid the market price stands in, with an edge of 0 and low confidence."""
     ok = F.col("valid")

@@ -25,7 +25,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares; a local one only where Spark runs in one process."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -25,21 +25,23 @@ def day_scan(spark: SparkSession, sf: str) -> DataFrame:
     return storage.by_date(a.prices(spark, sf), "1997-03-03").select("symbol", r(c("close")).alias("close"))
 
 
-@query(f"WITH {a.TRADES} SELECT trade_id, timestamp FROM trades ORDER BY timestamp DESC, trade_id LIMIT 20 OFFSET 40")
+@query(f"WITH {a.TRADES} SELECT trade_id, timestamp, place FROM (SELECT *, row_number() OVER (ORDER BY timestamp DESC, trade_id) - 40 AS place FROM trades) WHERE place BETWEEN 1 AND 20")
 def trade_page(spark: SparkSession, sf: str) -> DataFrame:
     """The third page of 20 rows."""
-    return storage.page(a.trades(spark, sf).select("trade_id", "timestamp"), 2, 20, c("timestamp").desc(), "trade_id")
+    page = storage.page(a.trades(spark, sf).select("trade_id", "timestamp"), 2, 20, c("timestamp").desc(), "trade_id")
+    return storage.placed(page, "timestamp", "trade_id")
 
 
-@query(f"""WITH {a.PREDICTIONS} SELECT prediction_id, probability, predicted_at FROM predictions""")
+@query(f"""WITH {a.PREDICTIONS} SELECT prediction_id, probability, predicted_at, row_number() OVER (ORDER BY predicted_at DESC, prediction_id) AS place FROM predictions""")
 def predictions_newest_first(spark: SparkSession, sf: str) -> DataFrame:
-    return a.predictions(spark, sf).select("prediction_id", "probability", "predicted_at").orderBy(c("predicted_at").desc(), "prediction_id")
+    rows = storage.placed(a.predictions(spark, sf).select("prediction_id", "probability", "predicted_at"), "predicted_at", "prediction_id")
+    return rows.orderBy("place")
 
 
-@query(f"WITH {a.TRADES}, {a.PREDICTIONS} SELECT trade_id, prediction_id, probability, size, timestamp FROM trades JOIN predictions USING (prediction_id)")
+@query(f"WITH {a.TRADES}, {a.PREDICTIONS} SELECT trade_id, prediction_id, probability, size, timestamp, row_number() OVER (ORDER BY timestamp DESC, trade_id) AS place FROM trades JOIN predictions USING (prediction_id)")
 def trades_newest_first(spark: SparkSession, sf: str) -> DataFrame:
     rows = a.trades(spark, sf).join(a.predictions(spark, sf), "prediction_id")
-    return rows.select("trade_id", "prediction_id", "probability", "size", "timestamp").orderBy(c("timestamp").desc(), "trade_id")
+    return storage.placed(rows.select("trade_id", "prediction_id", "probability", "size", "timestamp"), "timestamp", "trade_id").orderBy("place")
 
 
 @query("SELECT event_type, event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")

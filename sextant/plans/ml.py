@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -22,15 +21,16 @@ def dataset(features: DataFrame, names: list[str], target: DataFrame) -> DataFra
 
 def part(*keys: Column) -> Column:
     """train, valid or test, from a hash of the keys: the same rows each time."""
-    n = F.pmod(F.crc32(F.concat_ws("|", *(k.cast("string") for k in keys)).cast("binary")), F.lit(100))
+    n = F.conv(F.left(F.sha2(F.concat_ws("|", *(k.cast("string") for k in keys)), 256), F.lit(8)), 16, 10).cast("long") % 100
     return F.when(n < SPLIT[0], "train").when(n < SPLIT[1], "valid").otherwise("test")
 
 
 def standardised(df: DataFrame, names: list[str]) -> DataFrame:
     """Features less the mean and over the population deviation of the training rows; 0 where there is no spread."""
-    train = df.where("part = 'train'").agg(*(F.avg(n).alias(f"m_{n}") for n in names), *(F.stddev_pop(n).alias(f"s_{n}") for n in names)).first()
-    z = {n: (F.col(n) - F.lit(train[f"m_{n}"])) / F.lit(train[f"s_{n}"]) if train[f"s_{n}"] else F.lit(0.0) for n in names}
-    return df.withColumns(z)
+    means = {n: F.avg(n).alias(f"_m_{n}") for n in names} | {f"{n} ": F.stddev_pop(n).alias(f"_s_{n}") for n in names}
+    train = df.where("part = 'train'").agg(*means.values())
+    z = {n: F.when(F.col(f"_s_{n}") > 0, (F.col(n) - F.col(f"_m_{n}")) / F.col(f"_s_{n}")).otherwise(0.0) for n in names}
+    return df.join(F.broadcast(train)).withColumns(z).select(*df.columns)  # one row
 
 
 def baseline(df: DataFrame, target: str) -> DataFrame:
@@ -46,10 +46,6 @@ def forest(df: DataFrame, names: list[str], target: str, trees: int = 100, seed:
     return model, model.transform(rows)
 
 
-def forest_error(predicted: DataFrame, target: str) -> float:
-    return RegressionEvaluator(labelCol=target, metricName="mse").evaluate(predicted)
-
-
 def next_return(features: DataFrame, price: str = "close") -> DataFrame:
     """(symbol, d, target): percent change of the price to the next period, on the earlier day."""
     w = panel.series()

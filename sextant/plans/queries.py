@@ -98,7 +98,7 @@ def low_price_screen(spark: SparkSession, sf: str) -> DataFrame:
     return factors.low_price_screen(p).select("symbol", "d", r(c("close")).alias("close"), r(c("cut")).alias("cut"), r(c("tightness")).alias("tightness"))
 
 
-@query(f"WITH {a.PRICES}, z AS (SELECT *, (close - avg(close) OVER (PARTITION BY d)) / nullif(stddev_pop(close) OVER (PARTITION BY d), 0) AS z FROM prices) SELECT symbol, d, CASE WHEN abs(z) <= 3 THEN {rd('z', 5)} END AS z FROM z")
+@query(f"WITH {a.PRICES}, z AS (SELECT *, (close - avg(close) OVER (PARTITION BY d)) / nullif(stddev_pop(close) OVER (PARTITION BY d), 0) AS z FROM prices) SELECT symbol, d, CASE WHEN abs(z) <= 3.000000001 THEN {rd('z', 5)} END AS z FROM z")
 def zscore_cross_section(spark: SparkSession, sf: str) -> DataFrame:
     return a.prices(spark, sf).select("symbol", "d", r(panel.zscore(c("close")), 5).alias("z"))
 
@@ -153,7 +153,7 @@ def period_return(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ZS = ("cash_flow_share", "earnings_yield", "shareholder_yield", "ebitda_ev", "roe", "roa", "variability", "cash_flow_assets", "gross_profit_assets", "leverage", "income_streak", "revenue_streak")
-Z_SQL = ", ".join(f"CASE WHEN abs((({n}) - avg({n}) OVER p) / nullif(stddev_pop({n}) OVER p, 0)) <= 3 THEN (({n}) - avg({n}) OVER p) / nullif(stddev_pop({n}) OVER p, 0) END AS z_{n}" for n in ZS)
+Z_SQL = ", ".join(f"CASE WHEN abs((({n}) - avg({n}) OVER p) / nullif(stddev_pop({n}) OVER p, 0)) <= 3.000000001 THEN (({n}) - avg({n}) OVER p) / nullif(stddev_pop({n}) OVER p, 0) END AS z_{n}" for n in ZS)
 
 
 def streak_sql(x: str) -> str:
@@ -273,7 +273,9 @@ def opportunities(spark: SparkSession, sf: str) -> DataFrame:
     return market.opportunities(markets, p).select("market_id", "edge", "direction", "size", "limit_price", "low_evidence")
 
 
-COST = "round(CASE direction WHEN 'YES' THEN size * limit_price ELSE size * (1 - limit_price) END + 1e-9, 2)"
+#: Money in decimals, which round a half up exactly, where Spark's side rounds doubles.
+MONEY = "CAST(size AS DECIMAL(12,2)) * CASE direction WHEN 'YES' THEN CAST(limit_price AS DECIMAL(12,2)) ELSE 1 - CAST(limit_price AS DECIMAL(12,2)) END"
+COST = f"CAST(round({MONEY}, 2) AS DOUBLE)"
 
 
 @query(f"""WITH RECURSIVE {a.TRADES}, o AS (SELECT book, seq, size, CAST(round(100 * {COST}) AS BIGINT) AS cents, row_number() OVER (PARTITION BY book ORDER BY seq) AS i FROM trades),
@@ -312,11 +314,11 @@ def trading_desk(spark: SparkSession, sf: str) -> DataFrame:
     return risk.trading_desk(desk_rows(spark, sf)).select("book", "seq", "day", "accepted", "exposure", "day_pnl", "halted")
 
 
-PAYOFF = "CASE WHEN outcome = 1 THEN size - CASE direction WHEN 'YES' THEN size * limit_price ELSE size * (1 - limit_price) END WHEN outcome IS NOT NULL THEN -CASE direction WHEN 'YES' THEN size * limit_price ELSE size * (1 - limit_price) END END"
+PAYOFF = f"CASE WHEN outcome = 1 THEN CAST(size AS DECIMAL(12,2)) - {MONEY} WHEN outcome IS NOT NULL THEN -({MONEY}) END"
 
 
 @query(f"""WITH {a.TRADES}, p AS (SELECT book, CAST(timestamp AS DATE) AS d, seq, {PAYOFF} AS pnl FROM trades WHERE outcome IS NOT NULL),
-x AS (SELECT *, round(sum(pnl) OVER w + sign(sum(pnl) OVER w) * 1e-9, 2) AS day_pnl FROM p WINDOW w AS (PARTITION BY book, d ORDER BY seq ROWS UNBOUNDED PRECEDING))
+x AS (SELECT *, CAST(round(sum(pnl) OVER w, 2) AS DOUBLE) AS day_pnl FROM p WINDOW w AS (PARTITION BY book, d ORDER BY seq ROWS UNBOUNDED PRECEDING))
 SELECT book, d, seq, day_pnl + 0.0 AS day_pnl, bool_or(day_pnl <= -4.0) OVER (PARTITION BY book, d ORDER BY seq ROWS UNBOUNDED PRECEDING) AS halted FROM x""")
 def loss_halt(spark: SparkSession, sf: str) -> DataFrame:
     t = a.trades(spark, sf).where("outcome is not null")
@@ -330,7 +332,7 @@ def open_exposure(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.exposure(a.trades(spark, sf))
 
 
-@query(f"WITH {a.TRADES} SELECT CAST(timestamp AS DATE) AS d, {rd(f'sum({PAYOFF})', 2)} AS pnl, count(*) AS n FROM trades WHERE outcome IS NOT NULL GROUP BY 1")
+@query(f"WITH {a.TRADES} SELECT CAST(timestamp AS DATE) AS d, CAST(round(sum({PAYOFF}), 2) AS DOUBLE) + 0.0 AS pnl, count(*) AS n FROM trades WHERE outcome IS NOT NULL GROUP BY 1")
 def daily_pnl(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.daily_pnl(a.trades(spark, sf))
 
@@ -353,7 +355,7 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {a.TRADES}, {a.PREDICTIONS} SELECT count(DISTINCT prediction_id) AS n_predictions, count(trade_id) AS n_trades, count(*) FILTER (WHERE outcome IS NULL AND status <> 'cancelled') AS n_open, count(outcome) AS n_resolved,
- {BRIER} AS brier, {rd(f'sum({PAYOFF})', 2)} AS pnl, (SELECT string_agg(label || ' ' || CAST(n AS VARCHAR) || ' ' || CAST(actual AS VARCHAR), '; ' ORDER BY bucket) FROM ({CALIBRATION})) AS calibration FROM trades JOIN predictions USING (prediction_id)""")
+ {BRIER} AS brier, CAST(round(sum({PAYOFF}), 2) AS DOUBLE) + 0.0 AS pnl, (SELECT string_agg(label || ' ' || CAST(n AS VARCHAR) || ' ' || CAST(actual AS VARCHAR), '; ' ORDER BY bucket) FROM ({CALIBRATION})) AS calibration FROM trades JOIN predictions USING (prediction_id)""")
 def report(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.report(a.trades(spark, sf), a.predictions(spark, sf))
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import dates
 
@@ -143,6 +143,30 @@ class KeyedTable:
         return len(touched)
 
 
+def placed(df: DataFrame, by: str, *ties: str, out: str = "place") -> DataFrame:
+    """``df`` with its places from 1 in the order of ``by`` descending and then ``ties``: rows are numbered by value of
+    ``by`` (a day or a time), and shifted by the rows of later ones, which are as many as the calendar has."""
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy(F.year(by)).orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    years = counts.groupBy(F.year(by).alias("_y")).agg(F.sum("_n").alias("_in_year"))
+    after = years.withColumn("_before", F.coalesce(F.sum("_in_year").over(Window.orderBy(F.col("_y").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each year
+    starts = counts.withColumns({"_y": F.year(by), "_later": F.coalesce(F.sum("_n").over(later), F.lit(0))}).join(after, "_y").select(by, (F.col("_later") + F.col("_before")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(by).orderBy(*ties))
+    return df.withColumn("_i", inside).join(starts, by).withColumn(out, F.col("_start") + F.col("_i")).select(*df.columns, out)
+
+
+def selected(universe: DataFrame, markets: tuple[str, ...] = (), categories: tuple[str, ...] = ()) -> DataFrame:
+    """The symbols of the named markets and categories; none named means all."""
+    for column, names in (("market", markets), ("category", categories)):
+        universe = universe.where(F.col(column).isin(*names)) if names else universe
+    return universe
+
+
+def with_json_arrays(df: DataFrame) -> DataFrame:
+    """``df`` with its array columns as JSON texts, for tables that have none."""
+    return df.withColumns({x.name: F.to_json(x.name) for x in df.schema if isinstance(x.dataType, ArrayType)})
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from sextant.plans import landing, listings
+from sextant.plans import listings, wiring
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLES = listings.QUERIES | landing.QUERIES, listings.ORACLES | landing.ORACLES  # they add to those of queries and jobs
+QUERIES, ORACLES = listings.QUERIES | wiring.QUERIES, listings.ORACLES | wiring.ORACLES  # they add to those of queries, jobs and landing
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 
