@@ -1,4 +1,9 @@
-"""The training corpus from raw documents: each stage works on what its predecessor kept."""
+"""The training corpus from raw documents: each stage works on what its predecessor kept.
+
+For all stages: null texts count as empty ones (and stay null), texts of any length are read whole, rows that repeat are
+documents like others (near duplicates keeps those with the smallest doc_id), an empty table gives an empty one, and further
+columns stay as they are, whatever their names, but n_lines and n_dropped; the last stage returns its own columns only.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +20,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat an earlier line; n_chars follows the text."""
-    kept = linedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, without lines that repeat an earlier line; n_chars, where there is one, follows the text."""
+    own = docs.drop("n_lines", "n_dropped")  # what the operator adds
+    kept = linedup.dedup_lines(own)
+    if "n_chars" in own.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*own.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
