@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches
+from .common import fresh, small_batches, written
 
 WORD = re.compile(r"\w+")
 #: Word beginnings that count, in characters.
@@ -74,6 +74,28 @@ def vector(found: Counter, words: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.log1p(100 * np.array([found[i] for i in at.tolist()], dtype=np.float32) / max(1, words)).astype(np.float32)
 
 
+VECTORS = "bag int, at binary, x binary"
+
+
+def vectors(place: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bag, text) as ``VECTORS``: the numbers of a text's terms and their values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = finder(place)
+        for b in batches:
+            found = [vector(*find(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([v[k].tobytes() for v in found], pa.binary()) for k in (0, 1))], ["bag", "at", "x"])
+
+    return run
+
+
+def dense(rows: list[tuple[bytes, bytes]], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width))
+    for i, (at, x) in enumerate(rows):
+        out[i, np.frombuffer(at, np.uint16)] = np.frombuffer(x, np.float32)
+    return out
+
+
 @dataclass
 class Model:
     terms: list[str]
@@ -168,25 +190,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     long texts whole; other columns of ``docs`` play no part. An empty table, or labels of no document, give None.
     """
     small_batches(docs.sparkSession)
-    toxic = positives(docs, labels, key, text, label, max_positive)
-    names, in_positive = frequent_terms(toxic, candidates)
-    sample = [r[0] for r in toxic.collect()]  # at most ``max_positive`` texts
-    if not sample:
+    toxic = written(positives(docs, labels, key, text, label, max_positive), "positives")
+    n_positive = toxic.count()
+    if not n_positive:
         return None
+    names, in_positive = frequent_terms(toxic, candidates)
     corpus = docs.where(~held_out(F.col(key))).select(text)
     in_corpus, n_corpus = text_counts(corpus, names)
-    p, u = in_positive / len(sample), in_corpus / n_corpus
-    both = (in_positive + in_corpus) / (len(sample) + n_corpus)
-    spread = np.sqrt(both * (1 - both) * (1 / len(sample) + 1 / n_corpus)) + 1e-12
+    p, u = in_positive / n_positive, in_corpus / n_corpus
+    both = (in_positive + in_corpus) / (n_positive + n_corpus)
+    spread = np.sqrt(both * (1 - both) * (1 / n_positive + 1 / n_corpus)) + 1e-12
     z = (p - u) / spread
     best = np.array([i for i in np.lexsort((names, -z))[:n_terms] if z[i] >= LEAST_Z] if names else [], dtype=int)
     terms = [names[i] for i in best]
-    prior = estimated_prior(in_positive[best], in_corpus[best], len(sample), n_corpus)
+    prior = estimated_prior(in_positive[best], in_corpus[best], n_positive, n_corpus)
     place = {t: i for i, t in enumerate(terms)}
-    find, x = finder(place), np.zeros((len(sample), len(terms)))
-    for i, t in enumerate(sample):
-        at, values = vector(*find(t))
-        x[i, at] = values
+    found = toxic.select(F.lit(0).alias("bag"), "_text").mapInArrow(vectors(place), VECTORS).collect()  # at most ``max_positive`` rows of ``n_terms`` numbers
+    x = dense([(r["at"], r["x"]) for r in found], len(terms))
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     w = trained(corpus, place, (x - centre) / scale, centre, scale, prior, max(1, math.ceil(n_corpus / bag_rows)))
     return Model(terms, centre, scale, w[:-1], float(w[-1]), prior)
@@ -196,23 +216,15 @@ def trained(corpus: DataFrame, place: dict[str, int], p: np.ndarray, centre: np.
     """The mean of the weights that the bags' classifiers have found, by their texts. A row's bag is the hash of its place in
     the scan, so that repeated rows never meet in one bag; texts of a bag with equal vectors are one row with a weight."""
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = finder(place)
-        for b in batches:
-            found = [vector(*find(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([v[k].tobytes() for v in found], pa.binary()) for k in (0, 1))], ["bag", "at", "x"])
-
     def train(t: pa.Table) -> pa.Table:
         rows = Counter(zip(t.column("at").to_pylist(), t.column("x").to_pylist(), strict=True))
-        u = np.zeros((len(rows), len(place)))
-        for i, (at, x) in enumerate(sorted(rows)):
-            u[i, np.frombuffer(at, np.uint16)] = np.frombuffer(x, np.float32)
+        u = dense(sorted(rows), len(place))
         weight = np.array([rows[k] for k in sorted(rows)], dtype=float)
         w = fit_risk(p, (u - centre) / scale, weight, prior)
         return pa.table({"i": pa.array(range(len(w)), pa.int32()), "w": pa.array(w * t.num_rows, pa.float64()), "n": pa.array([t.num_rows] * len(w), pa.int64())})
 
     bag = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(bags)).cast("int").alias("bag")
-    rows = corpus.select(bag, corpus.columns[0]).mapInArrow(vectors, "bag int, at binary, x binary")
+    rows = corpus.select(bag, corpus.columns[0]).mapInArrow(vectors(place), VECTORS)
     found = rows.groupBy("bag").applyInArrow(train, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # a row for each weight
     return np.array([r["w"] for r in sorted(found, key=lambda r: r["i"])])
 
