@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import new_path, small_batches
+from .common import fresh, new_path, small_batches
 
 #: The published word pattern of byte-level BPE (GPT-2's encoder), as it stands there.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -199,7 +199,8 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
     the ids decode to.
 
     Equals what the tokenizers library gives for the whole text with add_special_tokens=False. Null and empty texts
-    have no ids; repeated rows stay; an empty table gives an empty result. ``tokenizer`` is the path of a byte-level
+    have no ids; repeated rows stay; an empty table gives an empty result; very long texts are encoded whole. A key column
+    named ids or decoded leaves that name to the key, and the output's has an underscore after it; other columns are not read. ``tokenizer`` is the path of a byte-level
     BPE file, read on the driver.
     """
     spark = docs.sparkSession
@@ -207,6 +208,7 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
     with open(tokenizer or public_path(), encoding="utf-8") as f:
         spec = f.read()
     kind = docs.schema[key].dataType.simpleString()
+    out = [fresh(docs.select(key), x) for x in ("ids", "decoded")]
     size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     blocks = bucketed(split_blocks(docs, key, text, spec, block_chars, max(BUCKETS, math.isqrt(size) // 16)))
     places = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.bucket", "p.words")
@@ -227,7 +229,7 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
         found = rows.column("rows").combine_chunks().flatten()
         ends = np.cumsum(found.field("n").to_numpy())
         spans = [seq[e - n : e] for e, n in zip(ends, found.field("n").to_pylist(), strict=True)]
-        return pa.Table.from_arrays([found.field("key"), pa.array([b"".join(ids[s]) for s in spans], pa.binary()), pa.array([b"".join(pieces[s]).decode("utf-8", "replace") for s in spans], pa.string())], [key, "ids", "decoded"])
+        return pa.Table.from_arrays([found.field("key"), pa.array([b"".join(ids[s]) for s in spans], pa.binary()), pa.array([b"".join(pieces[s]).decode("utf-8", "replace") for s in spans], pa.string())], ["_key", *out])
 
     own = blocks.select("block", "rows", "seq", F.transform("parts", lambda p: F.struct(p["bucket"], p["at"])).alias("parts"))
-    return own.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(join, f"`{key}` {kind}, ids binary, decoded string")
+    return own.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(join, f"_key {kind}, {out[0]} binary, {out[1]} string").withColumnRenamed("_key", key)

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, new_path, small_batches
+from .common import fresh, new_path, small_batches, written
 
 WINDOW = 13
 #: Words are runs of digits, letters a to z (after lower-casing A to Z) and every byte from 128 up.
 WORD_BYTES = bytes(c if c >= 0x80 or chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else c + 32 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 32 for c in range(256))
 #: Item text, in bytes, that one automaton holds. Beyond it the items are scanned for in several blocks.
 BLOCK_BYTES = 1 << 20
+#: Words of an item that are kept together; longer items go in pieces that overlap by a window less one word.
+PIECE_WORDS = 1 << 14
 
 
 def words(text: str | None) -> list[bytes]:
@@ -66,23 +64,34 @@ class Items:
         return np.cumsum(edge[:-1]) > 0, owners
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[str, list[int]]:
-    """The items written to the shared folder by blocks of about ``block_bytes``, and the numbers of the blocks: one unless
-    the checked size of all texts is larger."""
+def item_pieces(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """(item, text) of distinct items, those of more than PIECE_WORDS words in pieces that have all their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = words(x)
+                starts = range(0, max(1, len(found) - window + 1), PIECE_WORDS)
+                out += [(name, b" ".join(found[i : i + PIECE_WORDS + window - 1]).decode()) for i in starts]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["item", "text"])
+
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).distinct()
+    return rows.mapInArrow(run, "item string, text string")
+
+
+def item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> tuple[DataFrame, int]:
+    """The items' pieces with the block of each, written, and how many blocks there are: one unless the checked size of all
+    texts is over ``block_bytes``, else blocks of about that size."""
+    rows = written(item_pieces(benchmark, item, text, window), "items")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, -(-total // block_bytes)))))
-    path = new_path(benchmark.sparkSession, "items")
-    numbered.repartition("block").write.partitionBy("block").parquet(path)
-    found = benchmark.sparkSession.read.schema(numbered.schema).parquet(path).select("block").distinct().collect()
-    return path, sorted(r[0] for r in found)
+    blocks = max(1, -(-total // block_bytes))
+    return rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), blocks
 
 
-def block_items(path: str, block: int) -> list[tuple[str | None, str | None]]:
-    """One block, read from the shared folder by a task."""
-    at = re.sub("^file:/+", "/", path)
-    found = pyarrow.dataset.dataset(f"{at}/block={block}", format="parquet").to_table(columns=["item", "text"])
-    return list(zip(found["item"].to_pylist(), found["text"].to_pylist(), strict=True))
+def block_items(items: DataFrame, block: int) -> list[tuple[str | None, str | None]]:
+    """One block, about ``block_bytes`` of text, which goes to the tasks with the function that scans for it."""
+    return [(r["item"], r["text"]) for r in items.where(F.col("block") == block).select("item", "text").collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
@@ -91,73 +100,60 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     Returns, for each row: ``key`` (or with ``keep`` all columns), n_words, n_hit, item_ids (sorted as strings),
     spans array<struct<start, end>> (hit runs, in characters of the original text) and contaminated
     (n_hit > 0 and 20 * n_hit >= n_words). Null and empty texts and items have no words; items without an id
-    mark words but are not listed. Columns named like an output are replaced.
+    mark words but are not listed. Columns named like an output are replaced. Very long texts and items are taken whole,
+    rows that repeat stay, repeated items count once; an empty table, of either kind, leaves nothing covered.
     """
     spark = docs.sparkSession
     small_batches(spark)
     made = ["n_words", "n_hit", "item_ids", "spans", "contaminated"]
     given = docs.select(*([c for c in docs.columns if c not in made] if keep else dict.fromkeys([key, text])))
     rows = given.withColumns({fresh(given, "_marks"): F.lit(None).cast("array<int>"), fresh(given, "_items"): F.lit(None).cast("array<string>")})
-    rows = _scan(rows, *item_blocks(benchmark, item, item_text, block_bytes), text, window)
+    rows = _scan(rows, *item_blocks(benchmark, item, item_text, block_bytes, window), text, window)
     rows = _spans(rows, text, given.columns if keep else [key])
     return rows
 
 
-def _scan(rows: DataFrame, path: str, blocks: list[int], text: str, window: int) -> DataFrame:
-    """Sets ``_marks`` to the indexes of the words that a window of any block covers, ``_items`` to the items.
-
-    A task holds one automaton at a time: with several blocks it keeps its rows in a local file until all have been
-    scanned for, and in memory the hits only.
-    """
+def _marked(rows: DataFrame, found: list[tuple[str | None, str | None]], text: str, window: int) -> DataFrame:
+    """Sets the last two columns to the indexes of the words that a window covers and the items of the windows; null where
+    nothing is covered."""
     at = rows.columns.index(text)
 
-    def scanned(b: pa.RecordBatch, items: Items, hits: dict[int, tuple[set[int], set[str]]], first: int) -> None:
-        for i, x in enumerate(b.column(at).to_pylist(), first):
-            hit, who = items.scan(words(x))
-            if hit.any():
-                marks, owners = hits.setdefault(i, (set(), set()))
-                marks.update(np.flatnonzero(hit).tolist())
-                owners.update(who)
-
-    def marked(b: pa.RecordBatch, hits: dict[int, tuple[set[int], set[str]]], first: int) -> pa.RecordBatch:
-        found = [hits.get(i) for i in range(first, first + b.num_rows)]
-        marks, owners = ([None if x is None else sorted(x[k]) for x in found] for k in (0, 1))
-        return pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(marks, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.string()))], b.schema.names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if len(blocks) < 2:
-            items = Items(block_items(path, blocks[0]) if blocks else [], window)
-            for b in batches:
-                hits: dict[int, tuple[set[int], set[str]]] = {}
-                scanned(b, items, hits, 0)
-                yield marked(b, hits, 0)
-            return
-        with tempfile.TemporaryDirectory(prefix="spark-scan-") as folder:
-            kept = Path(folder, "rows")
-            writer = None
-            for b in batches:
-                writer = writer or pa.ipc.new_stream(str(kept), b.schema)
-                writer.write_batch(b)
-            if writer is None:
-                return
-            writer.close()
-            hits = {}
-            for block in blocks:
-                items, first = Items(block_items(path, block), window), 0
-                with pa.OSFile(str(kept)) as f:
-                    for b in pa.ipc.open_stream(f):
-                        scanned(b, items, hits, first)
-                        first += b.num_rows
-                del items
-            first = 0
-            with pa.OSFile(str(kept)) as f:
-                for b in pa.ipc.open_stream(f):
-                    yield marked(b, hits, first)
-                    first += b.num_rows
+        items = Items(found, window)
+        for b in batches:
+            marks, owners = [], []
+            for x in b.column(at).to_pylist():
+                hit, who = items.scan(words(x))
+                marks.append(np.flatnonzero(hit).tolist() if hit.any() else None)
+                owners.append(sorted(who) if hit.any() else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(marks, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.string()))], b.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
+def _scan(rows: DataFrame, items: DataFrame, blocks: int, text: str, window: int) -> DataFrame:
+    """Sets the last two columns of ``rows`` (see ``_marked``) for the windows of any block.
+
+    With one block the texts are scanned once, in the result itself. With several each block scans the distinct texts for
+    itself; what is covered in a text, few rows of numbers, is written, united by the text's 128-bit hash and joined back.
+    """
+    if blocks == 1:
+        return _marked(rows, block_items(items, 0), text, window)
+    hashes = [F.xxhash64(text), F.xxhash64(text, F.lit(1))]
+    h = [fresh(rows, x) for x in ("_h1", "_h2")]
+    path = new_path(rows.sparkSession, "hits")
+    marks, owners = rows.columns[-2:]
+    texts = rows.select(*(x.alias(n) for x, n in zip(hashes, h, strict=True)), text, marks, owners)
+    for block in range(blocks):
+        found = _marked(texts, block_items(items, block), text, window).drop(text).where(F.col(marks).isNotNull()).dropDuplicates(h)
+        found.write.mode("append").parquet(path)
+    hits = rows.sparkSession.read.schema(texts.drop(text).schema).parquet(path)
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  of one text, a row for each block at most
+    hits = hits.groupBy(*h).agg(union(marks), union(owners))
+    keyed = rows.drop(marks, owners).withColumns(dict(zip(h, hashes, strict=True)))
+    return keyed.join(hits, h, "left").select(*rows.columns)
+
+
 def _spans(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     at, names = rows.columns.index(text), rows.columns

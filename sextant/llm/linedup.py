@@ -108,12 +108,12 @@ def last_variants(text: Column, context: Column) -> Column:
     )
 
 
-def near_lines(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: DataFrame, near_chars: int) -> DataFrame:
     """The h of lines that have an earlier line one edit apart. ``lines``: (h, contexts); ``firsts``: (h, first)."""
     marks = lines.select("h", F.explode("contexts").alias("context"))
     common = written(marks.groupBy("context").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("context"), "contexts")
     some = written(marks.join(few(common), "context", "left_semi").select("h").distinct().join(firsts, "h"), "lines")
-    fit = line_rows(docs, key, text).where(F.length("line") >= NEAR_CHARS).select("h", "line")
+    fit = line_rows(docs, key, text).where(F.length("line") >= near_chars).select("h", "line")
     texts = written(fit.join(few(some.select("h")), "h", "left_semi").dropDuplicates(["h"]).join(some, "h"), "texts")
     narrow = texts.select("h", F.lit(0).cast("long").alias("context"), F.col("line").alias("middle"))
     for _ in range(HALVINGS):
@@ -135,10 +135,10 @@ def near_lines(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: D
     return checked.where(F.when(short, F.levenshtein(a, b, 1) >= 0).otherwise(one_edit(a, b))).select("h").distinct()
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
     """(key, own, at) of the lines to drop: those with an equal line earlier, or an earlier line one edit apart."""
     rows = line_rows(docs, key, text).where("line <> ''")
-    start = F.when(F.length("line") >= NEAR_CHARS, half_contexts(F.lit(0).cast("long"), F.col("line"))).otherwise(F.expr("cast(array() as array<long>)"))
+    start = F.when(F.length("line") >= near_chars, half_contexts(F.lit(0).cast("long"), F.col("line"))).otherwise(F.expr("cast(array() as array<long>)"))
     lines = written(rows.select("h", F.struct("key", "own", "at").alias("place"), start.alias("contexts")), "lines")
     fit = lines.select("h", "place")
     salted = fit.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int"))
@@ -146,22 +146,22 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     whole = part.groupBy("h").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))
     whole = written(whole, "firsts")
     again = salted.join(whole.where("n > 1").select("h", "first", F.explode("salts").alias("salt")), ["h", "salt"]).where("place > first").select("place.*")
-    near = near_lines(docs, key, text, lines, whole.select("h", "first")).join(whole, "h").select("first.*")
+    near = near_lines(docs, key, text, lines, whole.select("h", "first"), near_chars).join(whole, "h").select("first.*")
     return again.unionByName(near).distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
     """``docs`` with lines dropped that repeat an earlier one, exactly or but for one character.
 
     Lines are parted by \\n; earlier means a smaller (key, hash of the whole text, line number). A line goes if any
-    earlier line, dropped or not, is equal to it, or is one edit apart and both have NEAR_CHARS characters or more. Empty
-    lines stay. Null texts stay null, a text that loses all lines is empty, no row goes. Rows with one key and different
+    earlier line, dropped or not, is equal to it, or is one edit apart and both have ``near_chars`` characters or more (1:
+    the bound holds for all lines). Empty lines stay, an empty table gives an empty result. Null texts stay null, a text that loses all lines is empty, no row goes. Rows with one key and different
     texts are documents of their own; rows that agree in both are alike and lose the same lines. Lines of any length are
     compared whole. Adds n_lines and n_dropped, in place of columns of these names; other columns stay.
     """
     rows = docs.drop("n_lines", "n_dropped")
     key_, own_, gone_ = (fresh(rows, x) for x in ("_key", "_own", "_gone"))
-    gone = dropped_lines(docs, key, text).groupBy("key", "own").agg(F.collect_set("at")).toDF(key_, own_, gone_)
+    gone = dropped_lines(docs, key, text, near_chars).groupBy("key", "own").agg(F.collect_set("at")).toDF(key_, own_, gone_)
     joined = rows.join(gone, rows[key].eqNullSafe(F.col(key_)) & (F.xxhash64(rows[text]) == F.col(own_)), "left").drop(key_, own_)
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone_, i)), "\n")

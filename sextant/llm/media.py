@@ -120,7 +120,11 @@ def read_media(df: DataFrame, key: str = "doc_id", media: str = "media") -> Data
 
 
 def media_features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores every text as a medium, reads it back and fingerprints it; one row for each row of ``df``."""
+    """Stores every text as a medium, reads it back and fingerprints it; one row for each row of ``df``.
+
+    Null texts count as empty ones, very long texts are stored and transformed whole, in chunks of frames; rows that repeat,
+    and rows with a null key, stay; an empty table gives an empty result; other columns are not read, whatever their names.
+    """
     small_batches(df.sparkSession)
     stored = media_column(df, key, text)
     carried = stored.withColumn("_id", F.struct(key, "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")))

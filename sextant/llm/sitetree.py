@@ -5,8 +5,9 @@ id and class). Its presentation importance is the entropy, to the base of its pa
 with; the content importance of its texts is 1 less the mean entropy of a text over the pages that have it. A node's
 composite importance is (1 - 0.9^l) * presentation + 0.9^l * mean importance of what is below it, l being its child
 sequences. Branches below a threshold are cut from each page, and so are branches whose tag, role or class says that
-they are no content. Inside an article or main element only the latter are cut: its paragraphs belong to one text,
-also where other pages of the host repeat some of them.
+they are no content. Inside an article or main element its paragraphs belong to one text, also where other pages of the
+host repeat some of them: there a name has to say that a branch is no content, and where it says so only in part
+('related-work', 'ad-hoc'), the importance decides.
 """
 
 from __future__ import annotations
@@ -37,10 +38,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CHROME_TAGS = frozenset("head title script style noscript template nav footer aside form button select textarea input option iframe svg canvas object menu dialog".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
-CHROME_NAMES = regex.compile(
-    r"(?<![a-z])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|sidebar|footer|header|masthead|"
-    r"breadcrumb|breadcrumbs|comment|comments|disqus|cookie|cookies|consent|gdpr|notice|alert|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|widget|pagination|pager)(?![a-z])"
+CHROME_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar footer header masthead "
+    "breadcrumb breadcrumbs comment comments disqus cookie cookies consent gdpr notice alert share sharing social related recommended newsletter subscribe signup login popup modal widget pagination pager".split()
 )
+CHROME_NAMES = regex.compile(rf"(?<![a-z])(?:{'|'.join(sorted(CHROME_WORDS))})(?![a-z])")
+#: Words beside which a chrome word keeps its meaning: 'ad-slot' is an advert, 'ad-hoc' need not be.
+PLAIN_WORDS = frozenset("area articles bar block bottom box button buttons close container content form frame global google holder icons inline inner item items label left link links list main media native outer overlay page panel posts primary right secondary section site slot space stories text top unit wrap wrapper zone".split())
 TOKEN = regex.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|"
     r"<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>|(?P<text>[^<]+|<)",
@@ -58,25 +62,42 @@ def child_id(parent: int, label: str) -> int:
 
 
 class Element:
-    __slots__ = ("id", "tag", "chrome", "article", "children")
+    __slots__ = ("id", "tag", "chrome", "article", "doubtful", "children")
 
-    def __init__(self, id: int, tag: str, chrome: bool, article: bool):
-        self.id, self.tag, self.chrome, self.article = id, tag, chrome, article
+    def __init__(self, id: int, tag: str, chrome: bool, article: bool, doubtful: bool = False):
+        self.id, self.tag, self.chrome, self.article, self.doubtful = id, tag, chrome, article, doubtful
         self.children: list[str] = []
 
 
+def says(names: str) -> str:
+    """'chrome' if one of the ``names`` is made of chrome words, and plain ones, only; 'doubtful' if one has a chrome word
+    beside others; else ''."""
+    found = ""
+    for name in names.split():
+        parts = [x for x in regex.split(r"[^a-z]+", name) if x]
+        if not CHROME_WORDS.isdisjoint(parts):
+            if all(x in CHROME_WORDS or x in PLAIN_WORDS for x in parts):
+                return "chrome"
+            found = "doubtful"
+    return found
+
+
 def element(parent: Element, tag: str, attrs: str) -> Element:
-    """A node below ``parent``; chrome and article hold for what is inside, too."""
+    """A node below ``parent``; chrome and article hold for what is inside, too. Inside an article a name that is chrome
+    only in part leaves the node in doubt, for its importance to tell."""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attrs)} if attrs else {}
     names = f"{found.get('id', '')} {found.get('class', '')}".strip()
     role = found.get("role", "")
     main = tag in ("article", "main") or role == "main"
     chrome = parent.chrome or tag in CHROME_TAGS or role in CHROME_ROLES or (tag == "header" and not parent.article)
     named = OWN_HEADER.sub("", names) if parent.article else names
-    chrome = chrome or bool(named and not main and tag not in ("html", "body") and CHROME_NAMES.search(named))
+    doubtful = False
+    if named and not chrome and not main and tag not in ("html", "body") and CHROME_NAMES.search(named):
+        doubtful = parent.article and says(named) == "doubtful"
+        chrome = not doubtful
     label = f"{tag} {DIGITS.sub('0', names)}".strip()
     parent.children.append(label)
-    return Element(child_id(parent.id, label), tag, chrome, parent.article or main)
+    return Element(child_id(parent.id, label), tag, chrome, parent.article or main, doubtful)
 
 
 def blocks(page: str, closed=None) -> Iterator[tuple[list[Element], str]]:
@@ -242,7 +263,8 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
                 gone = set(cut or ())
                 found = []
                 for stack, raw in blocks(x or ""):
-                    if not stack[-1].chrome and (stack[-1].article or gone.isdisjoint(e.id for e in stack)) and (text := clean(raw)):
+                    judged = (e.id for e in stack if e.doubtful or not stack[-1].article)
+                    if not stack[-1].chrome and gone.isdisjoint(judged) and (text := clean(raw)):
                         found.append(text)
                 texts.append("\n".join(found))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i, c in enumerate(b.schema.names) if c in names), pa.array(texts, pa.string())], [*names, out])

@@ -182,7 +182,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, key: str = "page_id", **options) -> DataFrame:
-    """Writes ``pages`` to new archives in the shared folder and reads them back."""
+    """Writes ``pages`` to new archives in the shared folder and reads them back. Very long pages go in segments; an empty
+    table gives an empty result."""
     path = new_path(pages.sparkSession, "warc")
     write_warc(pages, path, key, **options)
     return read_warc(pages.sparkSession, path)

@@ -24,6 +24,17 @@ def test_stages_narrow_the_documents(spark):
     assert done.count() == docs.count() > 0
 
 
+def test_stages_take_odd_documents(spark):
+    text = "the word of a clean text that has some length, twice over.\nA second line of this text is here."
+    rows = [(1, text, "x"), (1, text, "x"), (2, None, "y"), (3, "", None), (None, text + " more", "z"), (4, "w " * 30_000, "v"), (5, "\n\n", "u")]
+    docs = spark.createDataFrame([(*r, 7, 0.5, [1], "s") for r in rows], "doc_id long, text string, lang string, n_lines int, score double, _x array<int>, own string")
+    for frame in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, frame, DIR)
+            assert set(kept.columns) >= {"doc_id", "text", "lang", "score", "_x", "own"} and kept.count() <= frame.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, DIR).count() == frame.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, name):
     c = duckdb.connect()
