@@ -96,10 +96,16 @@ def q4_alone(df: DataFrame, value: str = "value") -> DataFrame:
 
 def bond_rows(df: DataFrame, text: str, month: Column) -> DataFrame:
     """Bond tables landed as lines of space-parted cells: the header line and the footer (a row count) go."""
-    lines = df.select(F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    lines = df.select(month.alias("_month"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     cells = lines.where((F.col("at") > 0) & (F.trim("line") != "")).withColumn("c", F.slice(F.split("line", " "), 1, 14))
     kept = cells.where(F.size("c") >= len(BOND_COLUMNS))
-    return kept.select(*(F.get("c", F.lit(i)).alias(n) for i, n in enumerate(BOND_COLUMNS)), month.alias("d")).distinct()
+    return kept.select(*(F.get("c", F.lit(i)).alias(n) for i, n in enumerate(BOND_COLUMNS)), F.col("_month").alias("d")).distinct()
+
+
+def bond_extracts(pages: DataFrame, text: str) -> DataFrame:
+    """Bonds of several extracts (outstanding and settled ones, present and past months), each row once; a page's month is the
+    one that its first line names."""
+    return bond_rows(pages, text, dates.roc_month(F.substring_index(text, "\n", 1)))
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

@@ -169,6 +169,22 @@ def forum_job(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("conv_id", "post_type", F.array_join("mentioned", ",").alias("mentioned"), c("push_number").cast("long").alias("push_number"), "url", "body", *long)
 
 
+# --- bonds -----------------------------------------------------------------------------------------------------------
+
+EXTRACTS = ((0, 1), (1, 2), (2, 3), (3, 0))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS symbol, CAST(o_orderkey AS VARCHAR) AS bond_code, CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders")
+def bond_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Four extracts of landed bond tables that overlap, each bond once with the month of its page."""
+    o = a.table(spark, sf, "orders").withColumn("m", F.trunc("o_orderdate", "MM"))
+    line = F.concat_ws(" ", c("o_custkey").cast("string"), F.lit("k"), F.lit("n"), c("o_orderkey").cast("string"), *[F.lit(str(i)) for i in range(10)])
+    head = F.concat(F.lit("公司債 查詢月份： "), (F.year("m") - 1911).cast("string"), F.lit(" 年 "), F.month("m").cast("string"), F.lit(" 月份\n"))
+    page = lambda kinds: o.where((c("o_orderkey") % 4).isin(*kinds)).groupBy("m", (c("o_orderkey") % 32).alias("p")).agg(F.array_join(F.collect_list(line), "\n").alias("x")).select(F.concat(head, "x", F.lit("\n共 9 筆")).alias("text"))
+    pages = [page(kinds) for kinds in EXTRACTS]
+    return clean.bond_extracts(clean.union_sources(*pages), "text").select("symbol", "bond_code", "d")
+
+
 # --- scans -----------------------------------------------------------------------------------------------------------
 
 

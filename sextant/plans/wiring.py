@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, panel
 from ..functions import scalars as f
-from ..operators import clean, factors, fundamentals, market
+from ..operators import clean, factors, fundamentals, market, risk
 from ..sources import landed, storage
 from . import adapters as a
 from . import ml
@@ -130,6 +130,21 @@ def market_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return market.opportunities(markets.select("market_id", "yes_price"), a.predictions(spark, sf)).select("market_id", "direction", "edge")
 
 
+@query(f"""WITH RECURSIVE {a.PREDICTIONS}, e AS (SELECT *, CAST(round(100 * market_price) AS BIGINT) AS pc, CAST(round(100 * probability) AS BIGINT) AS fc, CAST(market_id AS BIGINT) AS k FROM predictions WHERE {ELIGIBLE}),
+g AS (SELECT *, fc > pc AS yes, CASE WHEN fc > pc THEN (fc - pc) / (100.0 - pc) ELSE (pc - fc) / CAST(pc AS DOUBLE) END AS kelly FROM e WHERE abs(fc - pc) >= 15 AND confidence IN ('medium', 'high') AND fc > 0 AND fc < 100),
+z AS (SELECT *, CAST(round(100 * least(kelly * 0.25, 1.0) + 1e-7) AS BIGINT) AS s, least(99, greatest(1, CASE WHEN yes THEN pc + 1 ELSE pc END)) AS lp FROM g),
+o AS (SELECT k % 40 AS book, k AS seq, (s * CASE WHEN yes THEN lp ELSE 100 - lp END + 50) // 100 AS cents, row_number() OVER (PARTITION BY k % 40 ORDER BY k) AS i FROM z WHERE s > 0),
+w AS (SELECT book, 0::BIGINT AS i, NULL::BIGINT AS seq, false AS accepted, 0::BIGINT AS held FROM o WHERE i = 1
+ UNION ALL SELECT o.book, o.i, o.seq, w.held + o.cents <= 1000, w.held + CASE WHEN w.held + o.cents <= 1000 THEN o.cents ELSE 0 END FROM w JOIN o ON o.book = w.book AND o.i = w.i + 1)
+SELECT book, seq, accepted, held / 100.0::DOUBLE AS exposure FROM w WHERE i > 0""")
+def market_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain: landed texts, eligible markets, forecasts, opportunities, and admission book by book."""
+    markets = market.eligible(market.landed_markets(landed_market_rows(spark, sf)), F.lit(f"{NOW} 00:00:00").cast("timestamp"))
+    found = market.opportunities(markets.select("market_id", "yes_price"), a.predictions(spark, sf))
+    orders = found.withColumns({"seq": c("market_id").cast("long"), "book": c("market_id").cast("long") % 40, "cost": f.trade_cost(c("size"), c("limit_price"), c("direction"))})
+    return risk.admit(orders).select("book", "seq", "accepted", "exposure")
+
+
 def even_scorer(rows: list[dict]) -> list[str]:
     """A scorer for tests: the price moved towards a half; every seventh answer is none."""
     answer = lambda p: json.dumps({"estimated_probability": round((p + 0.5) / 2, 6), "confidence": "medium", "reasoning": "r", "key_evidence": [], "risks": [], "bayesian_prior": 0.5})

@@ -43,10 +43,11 @@ def bounds(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol").agg(F.min("d").alias("oldest"), F.max("d").alias("latest"), F.count("*").alias("n"))
 
 
-def resume_points(df: DataFrame, universe: DataFrame, today: Column) -> DataFrame:
-    """For each symbol of the universe the day from which to go on; symbols that are up to date go."""
+def resume_points(df: DataFrame, universe: DataFrame, today: Column, weekdays_only: bool = False) -> DataFrame:
+    """For each symbol of the universe the day from which to go on; symbols that are up to date go. With ``weekdays_only``
+    there is nothing to do on a Saturday or Sunday."""
     latest = df.groupBy("symbol").agg(F.max("d").alias("latest"))
-    return universe.join(latest, "symbol", "left").select("symbol", dates.resume_day(F.col("latest"), today).alias("resume")).where("resume is not null")
+    return universe.join(latest, "symbol", "left").select("symbol", dates.resume_day(F.col("latest"), today).alias("resume")).where(F.col("resume").isNotNull() & (F.weekday(today) < 5 if weekdays_only else F.lit(True)))
 
 
 def resume_quarters(df: DataFrame, universe: DataFrame, start: str = "2013Q1") -> DataFrame:

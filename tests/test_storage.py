@@ -60,6 +60,12 @@ def test_records_that_lack_fields(spark):
     assert found == {(1, None, 1), (2, None, None), (3, "c", 3), (4, "n", None)}
 
 
+def test_no_update_on_a_weekend(spark):
+    universe = spark.createDataFrame([("a",), ("z",)], "symbol string")
+    found = {day: storage.resume_points(prices(spark), universe, F.lit(day).cast("date"), weekdays_only=True).count() for day in ("2020-07-03", "2020-07-04", "2020-07-05", "2020-07-06")}
+    assert found == {"2020-07-03": 2, "2020-07-04": 0, "2020-07-05": 0, "2020-07-06": 2}
+
+
 def test_reload_replaces_and_listings_keep_order(spark, tmp_path):
     path = str(tmp_path / "r")
     storage.append(spark.range(3), path)
