@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sextant.llm import media, quality, sharding
 
@@ -39,7 +40,7 @@ def test_shards_by_every_draw(spark):
                 draws.append((-math.log(((h >> 11) + 0.5) / 2**53) / w, i))
         return min(draws)[1]
 
-    found = spark.range(300).select("id", sharding.rendezvous(spark.range(1).id, weights).alias("shard")).collect()
+    found = spark.range(300).select("id", sharding.rendezvous(F.col("id"), weights).alias("shard")).collect()
     assert {r["id"]: r["shard"] for r in found} == {k: winner(k) for k in range(300)}
 
 
