@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Iterator
 
@@ -56,34 +57,46 @@ def windowed_counts(stream: DataFrame, lateness: str = "1 hour", size: str = "1
     return stream.withWatermark("ts", lateness).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-STATE = "held long, day date, pnl long, halted boolean"
+#: Books of 2 to the ``BOOK_BITS`` neighbouring numbers share a group: pandas is called for the group, not for each book.
+BOOK_BITS = 6
+STATE = "books array<struct<book: long, until: long, held: long, day: date, pnl: long, halted: boolean>>"
 OUT = "book long, seq long, day date, accepted boolean, exposure double, day_pnl double, halted boolean"
+DAY_MS = 86_400_000
+EPOCH = dt.date(1970, 1, 1)
 
 
 def trading_desk(stream: DataFrame, max_size: float = risk.MAX_SIZE, max_exposure: float = risk.MAX_EXPOSURE, max_loss: float = risk.MAX_DAY_LOSS) -> DataFrame:
-    """``risk.trading_desk`` over trades as they come, with a state for each book and a timer at the end of its day.
+    """``risk.trading_desk`` over trades as they come, with what is kept of each book and the time at which its day ends.
 
     ``stream``: (book, seq, timestamp, size, cost, pnl), watermarked by ``timestamp``; a batch is taken in order of time and
-    seq. When the watermark passes midnight without a trade, the timer ends the day: a row without seq tells that loss and
-    halt are gone. Rows that come after their day has been passed by the watermark are late and go.
+    seq. When the watermark passes midnight without a trade, a timer ends the day: a row without seq tells that loss and
+    halt are gone. Rows that come after their day has been passed by the watermark are late and go. A group has 64 books at
+    most, and the timer of the first day that ends among them.
     """
     limits = (max_size, max_exposure, max_loss)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        desk = risk.Desk(*limits, state=state.get if state.exists else None)
+        now = state.getCurrentWatermarkMs()
+        books = {book: (until, risk.Desk(*limits, state=tuple(held))) for book, until, *held in (state.get[0] if state.exists else ())}
         out = []
-        if state.hasTimedOut:
-            desk.start_day(None)
-            out.append((key[0], None, None, None, desk.held / 100, 0.0, False))
-        else:
+        if not state.hasTimedOut:
             rows = pd.concat(list(frames)).sort_values(["timestamp", "seq"])
-            for at, seq, size, cost, pnl in zip(rows["timestamp"], rows["seq"], rows["size"], rows["cost"], rows["pnl"], strict=True):
-                desk.start_day(at.date())
-                ok = desk.admit(*(None if pd.isna(x) else x for x in (size, cost, pnl)))
-                out.append((key[0], seq, at.date(), ok, desk.held / 100, desk.pnl / 100, desk.halted))
-            midnight = pd.Timestamp(desk.day, tz="UTC") + pd.Timedelta(days=1)
-            state.setTimeoutTimestamp(max(int(midnight.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        state.update(desk.state)
-        yield pd.DataFrame(out, columns=["book", "seq", "day", "accepted", "exposure", "day_pnl", "halted"]).astype({"seq": "Int64", "accepted": "boolean"})
-
-    return stream.select("book", "seq", "timestamp", "size", "cost", "pnl").groupBy("book").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+            plain = ([None if pd.isna(x) else x for x in rows[n].tolist()] for n in ("book", "seq", "size", "cost", "pnl"))
+            for day, book, seq, size, cost, pnl in zip(rows["timestamp"].dt.date, *plain, strict=True):
+                _, desk = books.get(book) or (None, risk.Desk(*limits))
+                desk.start_day(day)
+                ok = desk.admit(size, cost, pnl)
+                out.append((book, seq, day, ok, desk.held / 100, desk.pnl / 100, desk.halted))
+                books[book] = max(((day - EPOCH).days + 1) * DAY_MS, now + 1), desk
+        for book, (until, desk) in books.items():
+            if until is not None and until < now:  # no trade since: those of this batch end later
+                desk.start_day(None)
+                out.append((book, None, None, None, desk.held / 100, 0.0, False))
+                books[book] = None, desk
+        if ends := [until for until, _ in books.values() if until is not None]:
+            state.setTimeoutTimestamp(max(min(ends), now + 1))
+        state.update(([(book, until, *desk.state) for book, (until, desk) in books.items()],))
+        yield pd.DataFrame(out, columns=["book", "seq", "day", "accepted", "exposure", "day_pnl", "halted"]).astype({"book": "Int64", "seq": "Int64", "accepted": "boolean"})
+
+    rows = stream.select(F.shiftright("book", BOOK_BITS).alias("books"), "book", "seq", "timestamp", "size", "cost", "pnl")
+    return rows.groupBy("books").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -62,3 +62,27 @@ def test_a_query_runs_again_after_an_interval(spark, tmp_path):
         assert table.read().count() == 2 and running.isActive
     finally:
         running.stop()
+
+
+def test_the_desk_takes_neighbouring_books_in_one_group(spark, tmp_path):
+    schema = "book long, seq long, timestamp timestamp, size double, cost double, pnl double"
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    first = [(b, s, at(1 + b % 2, 9 + s), 1.0, 0.5 + b / 100, -2.5 if b % 3 == 0 else None) for b in (*range(128), 1 << 40, None) if b is not None for s in range(3)]
+    landings = [[*first, (None, 1, at(1, 9), 1.0, 0.5, None)], [(b, 5, at(3, 9), 1.0, 0.5, None) for b in range(0, 128, 2)], [(5, 6, at(5, 9), 1.0, 0.5, None)]]
+    rows, states = [], []
+    for landing in landings:
+        spark.createDataFrame(landing, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        desk = ingest.trading_desk(ingest.landed(spark, str(tmp_path / "in"), schema).withWatermark("timestamp", "0 seconds"))
+        running = ingest.started(desk.writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "ck"))
+        running.awaitTermination()
+        states.append(running.lastProgress["stateOperators"][0]["numRowsTotal"])
+        rows += landing
+    assert states[-1] == 4  # 0 to 63, 64 to 127, the one far off, and null
+    found = spark.read.schema(ingest.OUT).parquet(str(tmp_path / "out"))
+    want = risk.trading_desk(spark.createDataFrame(rows, schema).selectExpr("book", "seq", "to_date(timestamp) day", "size", "cost", "pnl")).drop("size", "cost", "pnl")
+    assert sorted(map(repr, map(tuple, found.where("seq is not null").collect()))) == sorted(map(repr, map(tuple, want.select(*found.columns).collect())))
+    ended = {}
+    for r in found.where("seq is null").collect():
+        assert not r["halted"] and r["day_pnl"] == 0
+        ended[r["book"]] = ended.get(r["book"], 0) + 1
+    assert all(ended[b] >= 1 for b in (*range(128), 1 << 40, None)) and ended[4] == ended[2] and ended[1] == 1
