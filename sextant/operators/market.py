@@ -78,8 +78,11 @@ def with_fallback(df: DataFrame, price: str = "market_price") -> DataFrame:
 
 
 def opportunities(markets: DataFrame, predictions: DataFrame, min_edge: float = MIN_EDGE) -> DataFrame:
-    """Markets whose confident forecast differs enough from the price, with side, size and limit price."""
-    return opportunities_of(markets.join(predictions, "market_id"), min_edge)
+    """Markets whose confident forecast differs enough from the price, with side, size and limit price.
+
+    Both sides grow with the input, so that they are merged: Spark takes texts of markets for few and would send them whole
+    through the driver to every task."""
+    return opportunities_of(markets.hint("merge").join(predictions, "market_id"), min_edge)
 
 
 def opportunities_of(both: DataFrame, min_edge: float = MIN_EDGE) -> DataFrame:

@@ -40,8 +40,7 @@ def test_books_longer_than_a_batch_keep_their_state(spark):
 
 
 def test_desk_halts_until_the_next_day(spark):
-    import datetime as dt
-
+    
     one, two = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
     rows = [(1, 1, one, 1.0, 0.9, -3.0), (1, 2, one, 1.0, 0.9, -1.0), (1, 3, one, 0.1, 0.1, None), (1, 4, two, 1.0, 0.7, None), (1, 5, two, None, 0.1, None), (1, 6, two, 1.0, 0.5, 0.5)]
     found = risk.trading_desk(spark.createDataFrame(rows, "book long, seq long, day date, size double, cost double, pnl double")).orderBy("seq").collect()
@@ -98,6 +97,13 @@ def test_opportunities(spark):
     assert found == {"1": False, "3": True}
 
 
+def test_markets_are_merged_with_forecasts(spark):
+    markets = spark.range(3).selectExpr("cast(id as string) market_id", "0.3d yes_price")
+    forecasts = spark.range(3).selectExpr("cast(id as string) market_id", "0.8d probability", "'high' confidence", "5 n_articles")
+    plan = market.opportunities(markets, forecasts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_markets_skip_malformed_rows(spark):
     one = {"tokens": [{"outcome": "No", "price": 0.4}, {"outcome": "yes", "price": "0.6"}], "tags": ["Crypto"], "volume_num_24hr": 2000, "end_date_iso": "2024-02-01T00:00:00Z", "condition_id": "m", "question": "q"}
     texts = [json.dumps([one]), json.dumps({"data": [one | {"condition_id": "n", "tags": ["x"], "category": "Tech"}]}), json.dumps([one | {"tokens": one["tokens"][:1]}, one | {"volume_num_24hr": "x"}, one | {"end_date_iso": "2024-01-02T00:00:00Z"}, one | {"tags": []}]), "broken", ""]
