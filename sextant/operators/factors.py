@@ -91,13 +91,16 @@ def low_price_screen(prices: DataFrame, quantile: float = 0.15, most: float = 15
     return rows.where((F.col("close") < F.col("cut")) & (F.col("close") <= most))
 
 
-def bias_backtest(prices: DataFrame, n: int = 20) -> DataFrame:
+def bias_backtest(prices: DataFrame, n: int = 20, digits: int = 4) -> DataFrame:
     """Signals from the bias ratio against its mean highs and lows, held from the next day, compounded.
 
-    The means are those of the symbol's whole history, as the rule is defined; a sale overrides a purchase.
+    The means are those of the symbol's whole history, as the rule is defined; a sale overrides a purchase. Prices count
+    in whole units of their last digit, whose sums are exact: a price that equals its mean has a bias of just 0.
     """
     c = F.col
-    b = prices.withColumn("bias", panel.bias_ratio(c("close"), n)).where("bias is not null")
+    units = F.round(c("close") * 10**digits).try_cast("long")
+    total = panel.rolling(F.sum, units, n)
+    b = prices.withColumn("bias", F.try_divide((n * units - total).cast("double"), total.cast("double"))).where("bias is not null")
     by = Window.partitionBy("symbol")
     b = b.withColumns({"pos_mean": F.avg(F.when(c("bias") > 0, c("bias"))).over(by), "neg_mean": F.avg(F.when(c("bias") < 0, c("bias"))).over(by)})
     signal = F.when(c("bias") < c("pos_mean"), -1).when(c("bias") > c("neg_mean"), 1).otherwise(0)

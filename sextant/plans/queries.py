@@ -63,7 +63,8 @@ def bias_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("i > 20").select("symbol", "d", "bias")
 
 
-BACKTEST = f"""WITH {a.PRICES}, m AS (SELECT *, {roll('avg', 'close', 20)} AS ma FROM prices), b AS (SELECT *, (close - ma) / ma AS bias FROM m WHERE ma IS NOT NULL),
+#: Prices as whole ten-thousandths: whether a bias is 0 is not left to the order in which doubles are added.
+BACKTEST = f"""WITH {a.PRICES}, u AS (SELECT *, CAST(round(close * 10000) AS BIGINT) AS units FROM prices), m AS (SELECT *, {roll('sum', 'units', 20)} AS total FROM u), b AS (SELECT *, CAST(20 * units - total AS DOUBLE) / CAST(total AS DOUBLE) AS bias FROM m WHERE total IS NOT NULL),
 s AS (SELECT *, CASE WHEN bias < avg(bias) FILTER (WHERE bias > 0) OVER (PARTITION BY symbol) THEN -1 WHEN bias > avg(bias) FILTER (WHERE bias < 0) OVER (PARTITION BY symbol) THEN 1 ELSE 0 END AS signal FROM b),
 t AS (SELECT *, close / lag(close) OVER ({S}) - 1 AS ret, lag(signal) OVER ({S}) AS position FROM s)
 SELECT symbol, d, {rd('bias')} AS bias, signal, {rd('product(1 + ret) OVER (' + S + ' ROWS UNBOUNDED PRECEDING)')} AS market_growth, {rd('product(1 + ret * position) OVER (' + S + ' ROWS UNBOUNDED PRECEDING)')} AS strategy_growth FROM t"""

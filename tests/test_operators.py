@@ -1,6 +1,8 @@
 """Golden cases of risk, scores, markets, storage and cleaning."""
 
+import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,7 +42,8 @@ def test_books_longer_than_a_batch_keep_their_state(spark):
 
 
 def test_desk_halts_until_the_next_day(spark):
-    
+    import datetime as dt
+
     one, two = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
     rows = [(1, 1, one, 1.0, 0.9, -3.0), (1, 2, one, 1.0, 0.9, -1.0), (1, 3, one, 0.1, 0.1, None), (1, 4, two, 1.0, 0.7, None), (1, 5, two, None, 0.1, None), (1, 6, two, 1.0, 0.5, 0.5)]
     found = risk.trading_desk(spark.createDataFrame(rows, "book long, seq long, day date, size double, cost double, pnl double")).orderBy("seq").collect()
@@ -104,6 +107,16 @@ def test_markets_are_merged_with_forecasts(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_a_price_that_is_its_mean_has_no_bias(spark):
+    rng, rows = random.Random(7), []
+    for s in range(40):
+        middle, steps = rng.randrange(1_050_000, 1_090_000), [rng.randrange(1, 9_000) for _ in range(9)]
+        units = [middle, *(middle + x for x in steps), *(middle - x for x in steps), middle]
+        rows += [(str(s), dt.date(2020, 1, 1 + i), x / 10_000) for i, x in enumerate(units)]
+    found = factors.bias_backtest(spark.createDataFrame(rows, "symbol string, d date, close double")).collect()
+    assert [(r["bias"], r["signal"]) for r in found] == [(0.0, 0)] * 40
+
+
 def test_markets_skip_malformed_rows(spark):
     one = {"tokens": [{"outcome": "No", "price": 0.4}, {"outcome": "yes", "price": "0.6"}], "tags": ["Crypto"], "volume_num_24hr": 2000, "end_date_iso": "2024-02-01T00:00:00Z", "condition_id": "m", "question": "q"}
     texts = [json.dumps([one]), json.dumps({"data": [one | {"condition_id": "n", "tags": ["x"], "category": "Tech"}]}), json.dumps([one | {"tokens": one["tokens"][:1]}, one | {"volume_num_24hr": "x"}, one | {"end_date_iso": "2024-01-02T00:00:00Z"}, one | {"tags": []}]), "broken", ""]
