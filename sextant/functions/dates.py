@@ -47,13 +47,18 @@ def next_quarter(q: Column) -> Column:
 
 
 def filing_deadline(q: Column) -> Column:
-    """The day on which a quarter's report is due, moved off weekends."""
-    n, y = _number(q), _year(q)
-    day = None
-    for k, (month, date) in DEADLINES.items():
-        made = F.make_date(y + (1 if k == 4 else 0), F.lit(month), F.lit(date))
-        day = F.when(n == k, made) if day is None else day.when(n == k, made)
-    return roll_weekend(day)
+    """The day on which a quarter's report is due, moved off weekends; what is used more than once is bound, not repeated."""
+
+    def due(x: Column) -> Column:
+        n, y = F.substring(x, 6, 1).cast("int"), F.substring(x, 1, 4).cast("int")
+        day = None
+        for k, (month, date) in DEADLINES.items():
+            made = F.make_date(y + (1 if k == 4 else 0), F.lit(month), F.lit(date))
+            day = F.when(n == k, made) if day is None else day.when(n == k, made)
+        return day
+
+    days = F.transform(F.array(canonical_quarter(q)), due)
+    return F.get(F.transform(days, roll_weekend), F.lit(0))
 
 
 def roc_month(text: Column) -> Column:

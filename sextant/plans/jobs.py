@@ -31,6 +31,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def held(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once and read back, for what reads them again and again, as a fit does."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def rows(spark: SparkSession, sf: str) -> DataFrame:
     features = a.factor_rows(spark, sf)
     found = ml.dataset(features, NAMES, ml.next_return(features))
@@ -69,7 +76,7 @@ SELECT part, round(any_value(mean) + 1e-9, 5) + 0.0 AS mean, round(avg(pow(targe
 
 def forest_mse(spark: SparkSession, sf: str) -> DataFrame:
     """Squared error of a forest of 100 trees on each part."""
-    _, predicted = ml.forest(rows(spark, sf), NAMES, "target")
+    _, predicted = ml.forest(held(rows(spark, sf), "forest_rows"), NAMES, "target")
     return predicted.groupBy("part").agg(F.avg(F.pow(F.col("target") - F.col("prediction"), 2)).alias("mse"), F.count("*").alias("n"))
 
 

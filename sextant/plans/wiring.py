@@ -13,7 +13,7 @@ from ..operators import clean, factors, fundamentals, market, risk
 from ..sources import landed, storage
 from . import adapters as a
 from . import ml
-from .jobs import ORACLES, QUERIES, shared_path
+from .jobs import ORACLES, QUERIES, held, shared_path
 from .landing import query
 from .queries import DEADLINE, NOW, S, Z_SQL, c, r, rd, roll, rolled, streak_sql
 
@@ -67,7 +67,7 @@ def model_features(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def return_model(spark: SparkSession, sf: str) -> DataFrame:
     """Error by part of a forest over the 47 features, beside that of the training mean."""
-    rows = model_rows(spark, sf).withColumn("part", ml.part(c("symbol"), c("d")))
+    rows = held(model_rows(spark, sf).withColumn("part", ml.part(c("symbol"), c("d"))), "model_rows")
     _, predicted = ml.forest(rows, list(fundamentals.FEATURES), "target")
     found = predicted.groupBy("part").agg(F.avg(F.pow(c("target") - c("prediction"), 2)).alias("forest_mse"), F.count("*").alias("n"))
     return found.join(ml.baseline(rows, "target").select("part", "mean", c("mse").alias("baseline_mse")), "part")

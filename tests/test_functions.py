@@ -160,3 +160,9 @@ def test_period_quantiles_exact_and_sketched(spark):
         low = int(at)
         assert exact[k] == pytest.approx(values[low] + (at - low) * (values[low + 1] - values[low]))
         assert abs(sum(v <= sketch[k] for v in values) / len(values) - 0.15) <= 1 / 100 + 1e-3
+
+
+def test_a_deadline_parses_its_quarter_once(spark):
+    df = spark.createDataFrame([("2013Q4",), ("2013-Q1",), ("2013Q5",), (None,)], "q string").select(dates.filing_deadline(F.col("q")).alias("d"))
+    assert [str(r["d"]) for r in df.collect()] == ["2014-03-31", "2013-05-15", "None", "None"]
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract") <= 3

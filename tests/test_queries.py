@@ -51,3 +51,9 @@ def test_windows_are_parted(spark, name):
     plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange SinglePartition, ENSURE_REQUIREMENTS" not in "\n".join(x for x in plan.splitlines() if "Window" in x)
     assert "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["return_model", "forest_mse"])
+def test_a_forest_reads_its_rows_from_a_table(spark, name):
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "_rows-" in plan and "lineitem" not in plan
