@@ -50,6 +50,17 @@ def zscore(value: Column, cap: float | None = 3.0, w: WindowSpec | None = None)
     return z if cap is None else F.when(F.abs(z) <= cap + 1e-9, z)
 
 
+def zscores(df: DataFrame, names: list[str], by: str = "d", cap: float = 3.0) -> DataFrame:
+    """``df`` with ``z_`` and each of ``names``: ``zscore`` by one aggregation of the periods, joined back, so that rows are
+    neither dealt nor sorted by period. Equal values have no spread, however their parts are merged."""
+    c = F.col
+    spread = lambda n: F.nullif(F.when(F.max(n) > F.min(n), F.stddev_pop(n)), F.lit(0.0))
+    stats = df.groupBy(c(by).alias("_by")).agg(*(x for n in names for x in (F.avg(n).alias(f"_m_{n}"), spread(n).alias(f"_s_{n}"))))
+    z = {n: (c(n) - c(f"_m_{n}")) / c(f"_s_{n}") for n in names}
+    both = df.join(F.broadcast(stats), c(by).eqNullSafe(c("_by")))  # as many periods as the calendar has
+    return both.select(*df.columns, *(F.when(F.abs(x) <= cap + 1e-9, x).alias(f"z_{n}") for n, x in z.items()))
+
+
 def pct_change(value: Column, w: WindowSpec | None = None) -> Column:
     """Change from the last value that is not null."""
     w = w or series()

@@ -41,7 +41,7 @@ def price_ratios(rows: DataFrame, shares_before: Column) -> DataFrame:
 def _total(rows: DataFrame) -> DataFrame:
     """``rows`` with ``score``: blended z-scores of quality, value and momentum by period, as a weight."""
     names = dict.fromkeys([*VALUE, *VALUE_FINANCIAL, *QUALITY, *QUALITY_FINANCIAL, *MOMENTUM])
-    z = rows.withColumns({f"z_{n}": panel.zscore(F.col(n)) for n in names})
+    z = panel.zscores(rows, list(names))
     weighted = lambda weights: f.blend(*((w, F.col(f"z_{n}")) for n, w in weights.items()))
     mean = lambda names: weighted(dict.fromkeys(names, 1 / len(names)))
     financial = F.col("category") == "financial"

@@ -166,3 +166,20 @@ def test_a_deadline_parses_its_quarter_once(spark):
     df = spark.createDataFrame([("2013Q4",), ("2013-Q1",), ("2013Q5",), (None,)], "q string").select(dates.filing_deadline(F.col("q")).alias("d"))
     assert [str(r["d"]) for r in df.collect()] == ["2014-03-31", "2013-05-15", "None", "None"]
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract") <= 3
+
+
+def test_zscores_of_periods_without_windows(spark):
+    rng = random.Random(3)
+    rows = [(dt.date(2020, 1, 1 + i % 5) if i % 7 else None, rng.choice([None, 1.5, 2.5, 9.0]), 0.1) for i in range(300)]
+    df = spark.createDataFrame(rows, "d date, a double, same double").repartition(7)
+    found = panel.zscores(df, ["a", "same"])
+    want = found.withColumn("w", panel.zscore(F.col("a"))).collect()
+    assert len(want) == 300 and all((r["w"] is None) == (r["z_a"] is None) and (r["w"] is None or abs(r["w"] - r["z_a"]) < 1e-9) and r["z_same"] is None for r in want)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_days_of_a_rating_are_not_sorted(spark):
+    from sextant.plans import wiring
+
+    plan = wiring.QUERIES["daily_factor_rating"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(d#" not in plan
