@@ -36,22 +36,23 @@ def escaped(text: Column) -> Column:
 
 # --- monthly revenues ------------------------------------------------------------------------------------------------
 
-REVENUE_PAGES = 16
+REVENUE_PAGES, PAGE_ROWS = 16, 200
 LEVELS = "<tr><th rowspan=2>公司代號</th><th rowspan=2>公司名稱</th><th colspan=5>營業收入</th><th colspan=3>累計營業收入</th><th rowspan=2>備註</th></tr><tr><th>當月營收</th><th>上月營收</th><th>去年當月營收</th><th>上月比較增減(%)</th><th>去年同月增減(%)</th><th>當月累計營收</th><th>去年累計營收</th><th>前期比較增減(%)</th></tr>"
 
 
 def revenue_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """(page, text): a month's revenues of a sixteenth of the suppliers, with a narrow table, a total and absent values."""
+    """(page, text): a month's revenues of a sixteenth of the suppliers, 200 keys a page, with a narrow table, a total and
+    absent values."""
     month = F.trunc("l_shipdate", "MM")
     money = F.sum("l_extendedprice").cast("decimal(20,2)")
     rows = a.table(spark, sf, "lineitem").groupBy(c("l_suppkey").alias("k"), month.alias("m")).agg(money.alias("now"))
     line = cells(c("k"), F.lit("x"), F.format_number(c("now").cast("double"), 2), F.lit("不適用"), F.lit("7"), F.lit("-"), F.lit("1.5"), F.lit("9"), F.lit("8"), F.lit("2.5"), F.lit(""))
-    page = rows.groupBy("m", (c("k") % REVENUE_PAGES).alias("p")).agg(F.array_join(F.collect_list(line), "").alias("lines"))
+    page = rows.groupBy("m", (c("k") % REVENUE_PAGES).alias("p"), F.expr(f"k div {REVENUE_PAGES * PAGE_ROWS}").alias("n")).agg(F.array_join(F.collect_list(line), "").alias("lines"))
     total = cells(F.lit(clean.TOTAL_ROW), *[F.lit("1")] * 10)
     roc = F.concat(F.lit("查詢月份： "), (F.year("m") - 1911).cast("string"), F.lit(" 年 "), F.lpad(F.month("m").cast("string"), 2, "0"), F.lit(" 月份"))
     table = F.concat(F.lit(f"<table>{LEVELS}"), c("lines"), total, F.lit("</table>"))
     text = F.concat(roc, F.lit("<table><tr><td>a</td><td>b</td></tr></table>"), table, F.when(c("p") == 15, F.lit(clean.NO_DATA)).otherwise(""))
-    return page.select(F.concat_ws("-", c("m").cast("string"), c("p").cast("string")).alias("page"), text.alias("text"))
+    return page.select(F.concat_ws("-", *(c(x).cast("string") for x in "mpn")).alias("page"), text.alias("text"))
 
 
 @query(f"""WITH m AS (SELECT l_suppkey AS k, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, round(sum(CAST(l_extendedprice AS DECIMAL(20,2))), 2) AS now FROM lineitem WHERE l_suppkey % {REVENUE_PAGES} <> 15 GROUP BY 1, 2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,19 @@ from . import markup
 
 #: The elements of a board's entries and of a post.
 ENTRY, POST, META, COMMENT, COMMENT_TAG = ".r-ent", "main-content", ("article-metaline", "article-metaline-right"), ".push", ".push-tag"
+#: Rows that an extractor gives at a time.
+CHUNK = 2_000
+
+
+def chunks(rows: Iterator[tuple], n: int) -> Iterator[list[tuple]]:
+    """Lists of ``n`` rows and a last shorter one, none of them ahead of its turn."""
+    while found := list(islice(rows, n)):
+        yield found
 
 
 def extracted(df: DataFrame, key: str, text: str, find: Callable[[str | None], Iterable[tuple]], columns: str) -> DataFrame:
-    """``key`` and ``columns`` of every row that ``find`` gives for a text; the pages are parsed in Arrow batches.
+    """``key`` and ``columns`` of every row that ``find`` gives for a text; the pages are parsed one by
+    one, and a task holds one page and ``CHUNK`` of its rows beside the Arrow batch.
 
     A null text counts as an empty one, a null key stays, pages of one key are pages of their own.
     """
@@ -28,9 +38,9 @@ def extracted(df: DataFrame, key: str, text: str, find: Callable[[str | None], I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *r) for i, x in enumerate(b.column(1).to_pylist()) for r in find(x)]
-            at, *values = zip(*rows, strict=True) if rows else ((),) * (1 + len(types))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(v, t.type) for v, t in zip(values, types, strict=True))], [key, *types.names])
+            for rows in chunks(((i, *r) for i, x in enumerate(b.column(1)) for r in find(x.as_py())), CHUNK):
+                at, *values = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(v, t.type) for v, t in zip(values, types, strict=True))], [key, *types.names])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {columns}")
 

@@ -54,3 +54,15 @@ def test_nested_markup_and_comments_without_a_tag(spark):
     post = "<div id='main-content'><div class='article-metaline'><div><span>作者</span></div>meta</div>body <div>in <div>side</div></div>※ 發信站: x<div class=push><span class='push-tag'>推 </span><span>hi</span></div><div class='push'>no tag</div><div class=push><b><span class=push-tag>噓 </span></b></div></div>"
     rows = landed.forum_posts(spark.createDataFrame([(1, post), (2, "<p>x"), (3, None)], "id int, t string"), "id", "t").collect()
     assert [tuple(r) for r in rows] == [(1, "body in side", 1, 1, 3)]
+
+
+def test_revenue_pages_and_their_rows_are_bounded(spark, tmp_path):
+    from sextant.plans import landing
+
+    spark.range(4000).selectExpr("id l_suppkey", "timestamp'1996-03-05 00:00:00' l_shipdate", "100.0d l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    pages = landing.revenue_pages(spark, str(tmp_path))
+    rows = landed.html_tables(pages, "page", "text").where("table_no = 1 and not header")
+    assert max(r["count"] for r in rows.groupBy("page").count().collect()) == 201 and rows.count() == 4000 + 32
+    at = []
+    taken = landed.chunks((at.append(i) or (i,) for i in range(7)), 3)
+    assert next(taken) == [(0,), (1,), (2,)] and at == [0, 1, 2] and [len(x) for x in taken] == [3, 1]
